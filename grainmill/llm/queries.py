@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_content import exact_duplicates
+from .language import identify
 from .mixing import mix
 from .secrets import scan_secrets
 from .simhash import near_duplicates
@@ -21,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), power=0.7, unit="chars", seed=2024)
 
@@ -46,7 +51,7 @@ def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix_sources_poisson, op3_secret_ownership, op4_exact_content_sort, op5_url_trie, op8_simhash_pivots, op10_warc_transactions)
+    f.__name__: f for f in (op1_language_kernel, op2_mix_sources_poisson, op3_secret_ownership, op4_exact_content_sort, op5_url_trie, op8_simhash_pivots, op10_warc_transactions)
 }
 
 _PATTERNS = {
