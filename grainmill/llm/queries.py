@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contaminated
 from .exact_content import exact_duplicates
 from .language import identify
 from .mixing import mix
@@ -42,6 +43,10 @@ def op5_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), bits=4, size=4)
 
@@ -51,7 +56,7 @@ def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_kernel, op2_mix_sources_poisson, op3_secret_ownership, op4_exact_content_sort, op5_url_trie, op8_simhash_pivots, op10_warc_transactions)
+    f.__name__: f for f in (op1_language_kernel, op2_mix_sources_poisson, op3_secret_ownership, op4_exact_content_sort, op5_url_trie, op7_latent_decontamination, op8_simhash_pivots, op10_warc_transactions)
 }
 
 _PATTERNS = {
