@@ -31,8 +31,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text number) of each word of ``texts`` in order.
+def word_places(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, then of each word hash, text number, first byte, byte after the last, and each text's first byte).
 
     A word is a run of ASCII letters and digits and of bytes beyond ASCII; letters of ASCII and Latin-1 are compared in
     lower case. A null text has no words.
@@ -43,11 +43,17 @@ def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     start = np.flatnonzero(is_word & ~np.r_[False, is_word[:-1]])
     stop = np.flatnonzero(is_word & ~np.r_[is_word[1:], False]) + 1
     low = _LOWER[data]
-    after = np.flatnonzero(data == 0xC3) + 1  # the capitals of Latin-1 follow this byte in UTF-8
+    after = np.flatnonzero(data[:-1] == 0xC3) + 1  # the capitals of Latin-1 follow this byte in UTF-8
     capital = after[(data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)]
     low[capital] += 0x20
     up, down = _power(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mixed((sums[stop] - sums[start]) * down[start]), np.searchsorted(ends, start, side="right")
+    return data, mixed((sums[stop] - sums[start]) * down[start]), np.searchsorted(ends, start, side="right"), start, stop, np.r_[0, ends[:-1]].astype(np.int64)
+
+
+def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text number) of each word of ``texts`` in order."""
+    _, h, doc, *_ = word_places(texts)
+    return h, doc

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .backoff import scores
 from .decontaminate import contaminated
 from .exact_content import exact_duplicates
 from .language import identify
 from .mixing import mix
 from .secrets import scan_secrets
+from .sentences import remove_repeated_spans
 from .simhash import near_duplicates
 from .urls import judge_urls
 from .warc import archive_round_trip
@@ -43,6 +45,10 @@ def op5_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -51,12 +57,16 @@ def op8_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), bits=4, size=4)
 
 
+def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(_table(spark, sf_dir, "documents"), order=2, least=2)
+
+
 def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_table(spark, sf_dir, "pages"), least=0).drop("target_uri")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_kernel, op2_mix_sources_poisson, op3_secret_ownership, op4_exact_content_sort, op5_url_trie, op7_latent_decontamination, op8_simhash_pivots, op10_warc_transactions)
+    f.__name__: f for f in (op1_language_kernel, op2_mix_sources_poisson, op3_secret_ownership, op4_exact_content_sort, op5_url_trie, op6_sentence_spans, op7_latent_decontamination, op8_simhash_pivots, op9_stupid_backoff, op10_warc_transactions)
 }
 
 _PATTERNS = {
