@@ -2,7 +2,7 @@
 
 A text is cut into sentences at full stops, question and exclamation marks and line breaks, and long ones further after
 words whose hash says so (on average every ``CUT`` words), so that cuts inside a shared passage don't depend on where it
-begins. From each sentence on, the shortest span of at least ``SENTENCES`` sentences and ``WORDS`` words is hashed. Spans
+begins, and after ``LONGEST`` words at the latest. From each sentence on, the shortest span of at least ``SENTENCES`` sentences and ``WORDS`` words is hashed. Spans
 are counted over the corpus; the occurrences of repeated spans are ranked by (id, position), and the sentences that any
 occurrence but the first covers are removed.
 
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from ._shared import written
 from ._tokens import _R, _power, mixed, word_places
 
-SENTENCES, WORDS, CUT = 3, 20, 16
+SENTENCES, WORDS, CUT, LONGEST = 3, 20, 10, 16
 _END = np.zeros(256, np.int64)
 _END[list(b".!?\n\r")] = 1
 PIECE = 4_000_000
@@ -46,6 +46,8 @@ class Cut:
             marked = ends[start[1:] - 1] > ends[stop[:-1] - 1]
             cut = (self.h[:-1] >> np.uint64(13)) % np.uint64(CUT) == 0
             new[1:] = (doc[1:] != doc[:-1]) | marked | cut
+        begun = np.flatnonzero(new)
+        new |= (np.arange(n) - np.repeat(begun, np.diff(np.r_[begun, n]))) % LONGEST == 0
         self.first = np.flatnonzero(new)
         self.doc = doc[self.first]
         self.byte = start[self.first] - self.offsets[self.doc]  # within its text
