@@ -31,7 +31,7 @@ def normalize_full(text: Column, lowercase: bool = True, strip_html: bool = True
         return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", html.unescape(t) if strip_html else t))
 
     out = F.regexp_replace(text, "<[^>]+>", " ") if strip_html else text
-    out = decoded(out)
+    out = decoded.asNondeterministic()(out)  # in name only: so that the optimizer doesn't move it into a lambda, where it can't run
     out = F.lower(out) if lowercase else out
     return F.trim(F.regexp_replace(out, SPACES, " ")) if collapse_whitespace else out
 

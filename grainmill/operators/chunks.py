@@ -12,7 +12,7 @@ from ..functions import text as X
 
 def build_chunks(docs: DataFrame, size: int, stride: int, least: int = 0, prefix: str = "train", full_only: bool = False, tokens: Callable[[Column], Column] = X.word_tokens, normalize: Callable[[Column], Column] = X.normalize_simple, glue: str = " ") -> DataFrame:
     """(chunk_id, doc_id, position, tokens, text, length). Positions are given before windows below ``least`` tokens go."""
-    cut = docs.select("doc_id", X.windows(tokens(normalize(F.col("text"))), size, stride, full_only).alias("w"))
+    cut = docs.select("doc_id", normalize(F.col("text")).alias("t")).select("doc_id", X.windows(tokens(F.col("t")), size, stride, full_only).alias("w"))
     out = cut.select("doc_id", F.posexplode("w").alias("position", "tokens")).withColumn("length", F.size("tokens"))
     return out.where(F.col("length") >= least).select(X.chunk_id(prefix, F.col("doc_id"), F.col("position")).alias("chunk_id"), "doc_id", "position", "tokens", F.array_join("tokens", glue).alias("text"), "length")
 

@@ -39,7 +39,8 @@ def minhash(values: Column, num_perm: int = 128, seed: int = 17) -> Column:
                     np.minimum(row, ((a[:, None] * np.asarray(x[s : s + 4096]).astype(np.uint64)[None, :] + b[:, None]) % np.uint64(PRIME)).min(axis=1), out=row)
             yield pd.Series(list(out.astype(np.int64)))
 
-    return signature(values)
+    # not deterministic in name only: so that the optimizer neither repeats it nor moves it into a lambda, where it can't run
+    return signature.asNondeterministic()(values)
 
 
 def fast_minhash(values: Column, num_perm: int = 128, seed: int = 17) -> Column:
@@ -98,7 +99,7 @@ def manifest_near(chunks: DataFrame, threshold: float = 0.85, num_perm: int = 12
     A B A with A like B loses both contents; chunks of up to 32 characters have empty sets, which all match one another.
     """
     own = chunks.withColumn("ord", F.struct("doc_id", "position")).withColumn("hash", X.xxh64_hex(F.col("text")))
-    own = own.withColumn("shingles", F.transform(X.char_shingles(F.col("text")), X.sha1_signed64))
+    own = own.withColumn("shingles", F.transform(X.char_shingles(F.col("text")), X.sha1_signed64)).persist()
     signed = own.withColumn("signature", minhash(F.col("shingles"), num_perm, seed)).select("ord", "hash", "signature").persist()
     pairs = candidate_pairs(signed, num_perm // bands, bands, "hash").where("hash_a <> hash_b")
     s = lambda side: signed.select(F.col("ord").alias(side), F.col("signature").alias(f"s_{side}"))

@@ -41,8 +41,8 @@ _GRAMS = "CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i : i + 4]
 _SETS = f"sets AS (SELECT doc_id, len(w) AS words, unnest({_GRAMS.format(short='list_distinct(w)')}) AS g FROM u)"
 _FIRST = f"{_D}, u AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1)"
 _JACCARD = """sz AS (SELECT doc_id, any_value(words) AS words, count(*) AS k FROM sets GROUP BY doc_id),
-    sh2 AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-    p AS (SELECT a, b, both / (x.k + y.k - both) AS jaccard, x.words AS len_a, y.words AS len_b FROM sh2 JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE both / (x.k + y.k - both) >= 0.7)"""
+    sh2 AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    p AS (SELECT a, b, shared / (x.k + y.k - shared) AS jaccard, x.words AS len_a, y.words AS len_b FROM sh2 JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE shared / (x.k + y.k - shared) >= 0.7)"""
 _LONGER = "CASE WHEN len_b > len_a THEN a ELSE b END"
 
 _A, _B = permutations(16, 17)
@@ -62,9 +62,9 @@ def _like(left: str, right: str) -> str:
     """doc_id of rows of one relation that are like a row of the other (t, w), by brute force."""
     g = _GRAMS.format(short="list_distinct(w)")
     return f"""SELECT DISTINCT a FROM (
-        SELECT x.doc_id AS a, x.k AS ka, y.k AS kb, count(*) AS both
+        SELECT x.doc_id AS a, x.k AS ka, y.k AS kb, count(*) AS shared
         FROM (SELECT doc_id, unnest({g}) AS g, len({g}) AS k FROM {left}) x JOIN (SELECT doc_id, unnest({g}) AS g, len({g}) AS k FROM {right}) y USING (g)
-        GROUP BY x.doc_id, x.k, y.doc_id, y.k) WHERE both / (ka + kb - both) >= 0.7"""
+        GROUP BY x.doc_id, x.k, y.doc_id, y.k) WHERE shared / (ka + kb - shared) >= 0.7"""
 
 
 _CURVES = "(VALUES ('base', 3e9, 50.0), ('base', 6e9, 40.0), ('base', 9e9, 36.0), ('dedup', 3e9, 48.0), ('dedup', 6e9, 38.0), ('dedup', 9e9, 38.0)) c(curve, tokens, metric)"
@@ -153,7 +153,7 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, CASE WHEN r < a THEN 'train' WHEN r < a + b THEN 'val' ELSE 'test' END AS split FROM y""",
     "canary_insert": f"WITH {_C} SELECT false AS canary, count(*) AS n, CAST(sum(length) AS BIGINT) AS total FROM c UNION ALL SELECT true, 20, 20",
     "canary_recall": "WITH g AS (SELECT contains('x ' || lang || ' ' || CASE WHEN doc_id % 3 = 0 THEN source ELSE '?' END, lang || ' ' || source) AS hit FROM documents) SELECT count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / greatest(1, count(*)), 9) AS recall FROM g",
-    "token_pack": f"WITH {_C}, o AS (SELECT chunk_id, length + 1 AS n, coalesce(sum(length + 1) OVER (ORDER BY doc_id, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM c) SELECT chunk_id, CAST(s AS BIGINT) AS offset, CAST(least(n, 100000 - s) AS BIGINT) AS take FROM o WHERE s < 100000",
+    "token_pack": f"WITH {_C}, o AS (SELECT chunk_id, length + 1 AS n, coalesce(sum(length + 1) OVER (ORDER BY doc_id, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM c) SELECT chunk_id, CAST(s AS BIGINT) AS token_offset, CAST(least(n, 100000 - s) AS BIGINT) AS take FROM o WHERE s < 100000",
     "eval_windows": f"WITH n AS (SELECT *, {_norm()} AS t FROM benchmark), d AS (SELECT *, {_WORDS} AS w FROM n) SELECT item_id, i, array_to_string(w[i + 1 : i + 32], ' ') AS x, array_to_string(w[i + 2 : i + 33], ' ') AS y FROM d, unnest(range(0, len(w) - 33)) u(i)",
     "perplexity": "SELECT event_type, round(exp(sum(value / 100 * (1 + user_id % 50)) / sum(1 + user_id % 50)), 6) AS perplexity FROM events GROUP BY event_type",
     "option_argmax": f"WITH {_OPTIONS} SELECT item, pred FROM b",

@@ -248,7 +248,7 @@ def minhash_signature(spark, d):
 
 
 def _signed(spark, d) -> DataFrame:
-    s = near.with_sets(_distinct(_ord(_docs(spark, d))), F.col("t"), F.col("length"), 5, "words").where("size(shingles) > 0")
+    s = near.with_sets(_distinct(_ord(_docs(spark, d))), F.col("t"), F.col("length"), 5, "words").where("size(shingles) > 0").persist()
     return s.select("ord", near.minhash(F.col("shingles"), 16, 17).alias("signature"))
 
 
@@ -369,7 +369,7 @@ def canary_recall(spark, d):
 
 @query
 def token_pack(spark, d):
-    return packing.packed(_chunks(spark, d), 100_000).select("chunk_id", "offset", "take")
+    return packing.packed(_chunks(spark, d), 100_000).select("chunk_id", F.col("offset").alias("token_offset"), "take")
 
 
 @query
