@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from ._shared import new_path, power_of_two
 from ._tokens import _R, mixed, words
 
-ALPHA, BLOCK, BUCKET_ROWS, PIECE = 0.4, 2_000_000, 2_000_000, 4_000_000
+ALPHA, BLOCK, BUCKET_ROWS, PIECE = 0.4, 500_000, 1_000_000, 1_000_000
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -117,7 +117,8 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 distinct, times, *_ = _grams(*_unpacked(row), order)
                 bucket = (distinct >> shift).astype(np.int64)
                 edge = np.searchsorted(bucket, np.arange(buckets + 1))
