@@ -1,11 +1,18 @@
 """SimHash near-duplicates with pivot distance tables.
 
-A pivot table alone discards pairs, but still has to look at every pair. Candidates therefore come from blocks: 64 bits
-are cut into ``b`` blocks, and fingerprints that differ in at most ``d`` bits agree on some ``b - d`` of them, so they
-meet in a bucket of one of the C(b, d) combinations. Within a bucket, the table of distances to reference fingerprints
-discards a pair when any coordinate differs by more than ``d`` (the triangle inequality), and an exact distance verifies
-the rest. Only distinct fingerprints take part, and a bucket yields a spanning forest of its links, never all pairs.
-Buckets beyond ``CHUNK`` fingerprints are dealt out as pairs of chunks, so no task gets an unbounded group.
+A pivot table alone discards pairs, but still has to look at every pair. Candidates therefore come from buckets:
+
+* Links at ``bits`` differing bits of 64 are found exactly. The bits are cut into ``b`` blocks; fingerprints that differ in at
+  most ``d`` bits agree on some ``b - d`` of them, so they meet in a bucket of one of the C(b, d) combinations.
+* A similarity of the shingle sets (0.8, say) is about one bit in seven of a fingerprint, where blocks can't help. There,
+  fingerprints have ``WIDE`` words of 64 bits, and meet in buckets of sampled bits; the number of samples is such that a pair
+  of just this similarity is missed with a probability of ``MISS`` at most.
+
+Within a bucket, the table of distances to reference fingerprints discards a pair when any coordinate differs by more than
+the bits allowed (the triangle inequality), and an exact distance verifies the rest; links by similarity are then verified on
+the shingle sets themselves, for which only texts that take part in a link are read again. Only distinct fingerprints take part. A
+bucket of more than ``SMALL`` yields spanning forests of its links, never all pairs; buckets beyond ``CHUNK`` fingerprints are
+dealt out as pairs of chunks, so no task gets an unbounded group.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; null ids never become a
 component's id while it has another; repeated rows are separate rows of one component; an empty table gives an empty one.
@@ -14,6 +21,7 @@ component's id while it has another; repeated rows are separate rows of one comp
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -23,12 +31,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ._shared import shuffle_partitions, written
+from ._tokens import mixed
 from .components import components
 
-PIVOTS, CHUNK, SMALL, PIECE = 16, 4096, 12, 1 << 20
+PIVOTS, CHUNK, SMALL, PIECE = 16, 4096, 32, 1 << 20
+WIDE, MISS, SLACK = 4, 0.02, 0.045
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -43,10 +52,16 @@ def _pieces(raw: bytes) -> Iterator[bytes]:
     yield raw[at:]
 
 
-def text_fingerprint(raw: bytes | None, size: int = 4, seed: int = 42) -> int:
-    """The 64-bit SimHash of the word shingles of a whole text, as an unsigned integer."""
-    ones, n, tail = np.zeros(64, np.int64), 0, []
+def text_fingerprint(raw: bytes | None, size: int = 4, seed: int = 42, width: int = 1) -> list[int]:
+    """The SimHash of the word shingles of a whole text: ``width`` unsigned words, the first of XXH64 itself, others of values mixed from it."""
+    ones, n, tail = np.zeros((width, 64), np.int64), 0, []
     xxh = xxhash.xxh64_intdigest
+
+    def count(hashes: np.ndarray) -> None:
+        for w in range(width):
+            h = mixed(hashes + np.uint64(w)) if w else hashes
+            ones[w] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
     for piece in _pieces(raw or b""):
         words = tail + piece.lower().split()
         tail = words
@@ -54,38 +69,59 @@ def text_fingerprint(raw: bytes | None, size: int = 4, seed: int = 42) -> int:
             joined = b" ".join(words)
             ends = list(itertools.accumulate([len(w) + 1 for w in words]))
             hashes = [xxh(joined[s : e - 1], seed) for s, e in zip([0, *ends], ends[size - 1 :], strict=False)]
-            ones += np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            count(np.array(hashes, np.uint64))
             n += len(hashes)
             tail = words[len(words) - size + 1 :]
     if not n and tail:
-        return xxh(b" ".join(tail), seed)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]) if n else 0
+        count(np.array([xxh(b" ".join(tail), seed)], np.uint64))
+        n = 1
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64)[:, 0].tolist() if n else [0] * width
 
 
-def fingerprint(text: Column, size: int = 4, seed: int = 42) -> Column:
-    """The fingerprint as a signed BIGINT of equal bits."""
+def fingerprint(text: Column, size: int = 4, seed: int = 42, width: int = 1) -> Column:
+    """The fingerprint as an array of BIGINTs of equal bits."""
 
-    @F.pandas_udf(T.LongType())
+    @F.pandas_udf("array<bigint>")
     def of(raws: pd.Series) -> pd.Series:
-        return pd.Series(np.array([text_fingerprint(x, size, seed) for x in raws], np.uint64).view(np.int64))
+        return pd.Series(list(np.array([text_fingerprint(x, size, seed, width) for x in raws], np.uint64).reshape(-1, width).view(np.int64)))
 
     return of(text.cast("binary"))
 
 
-def _masks(bits: int, nodes: int) -> list[int]:
+def _signed(m: int) -> int:
+    return m - (1 << 64) if m >> 63 else m
+
+
+def _block_masks(bits: int, nodes: int) -> list[list[int]]:
     """One mask for each combination of blocks; more and finer ones for more fingerprints, so that buckets stay small."""
     for blocks in range(bits + 1, bits + 5):
         edges = np.linspace(0, 64, blocks + 1).round().astype(int).tolist()
         if nodes / 2 ** (64 * (blocks - bits) / blocks) <= 64:
             break
     block = [((1 << (hi - lo)) - 1) << lo for lo, hi in itertools.pairwise(edges)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    return [signed(sum(c)) for c in itertools.combinations(block, blocks - bits)]
+    return [[_signed(sum(c))] for c in itertools.combinations(block, blocks - bits)]
+
+
+def differing_share(similarity: float) -> float:
+    """The expected share of differing bits of two sets of equal size and this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
 
+def _sample_masks(similarity: float, nodes: int, width: int = WIDE) -> list[list[int]]:
+    """Masks of k random bits, k growing with the logarithm of ``nodes``, as many as ``MISS`` asks for."""
+    k = max(14, math.ceil(math.log2(max(1, nodes) / 14)))
+    n = math.ceil(math.log(MISS) / math.log(1 - (1 - differing_share(similarity)) ** k))
+    rng = np.random.default_rng(7_919)
+    out = []
+    for _ in range(n):
+        places = rng.choice(64 * width, k, replace=False).tolist()
+        out.append([_signed(sum(1 << (p % 64) for p in places if p // 64 == w)) for w in range(width)])
+    return out
 
-def _pivots(n: int = PIVOTS) -> np.ndarray:
+
+def _pivots(width: int, n: int = PIVOTS) -> np.ndarray:
     """Fixed reference fingerprints."""
-    return np.random.default_rng(20_011).integers(0, 1 << 63, n, np.uint64) << np.uint64(1)
+    return np.random.default_rng(20_011).integers(0, 1 << 63, (n, width), np.uint64) << np.uint64(1)
 
 
 def _close(x: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +129,7 @@ def _close(x: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, bits:
     for at in range(0, table.shape[1], 4):
         stay = (np.abs(table[a, at : at + 4] - table[b, at : at + 4]) <= bits).all(axis=1)
         a, b = a[stay], b[stay]
-    stay = np.bitwise_count(x[a] ^ x[b]) <= bits
+    stay = np.bitwise_count(x[a] ^ x[b]).sum(axis=1) <= bits
     return a[stay], b[stay]
 
 
@@ -106,8 +142,7 @@ def _forest(x: np.ndarray, table: np.ndarray, bits: int) -> list[tuple[int, int]
                 return found
             queue, left = [int(left[0])], left[1:]
         u = queue.pop()
-        stay = np.abs(table[left, 0] - table[u, 0]) <= bits
-        near = left[stay]
+        near = left[np.abs(table[left, 0] - table[u, 0]) <= bits]
         _, hit = _close(x, table, np.full(len(near), u), near, bits)
         if len(hit):
             found += [(u, int(v)) for v in hit]
@@ -115,32 +150,43 @@ def _forest(x: np.ndarray, table: np.ndarray, bits: int) -> list[tuple[int, int]
             left = np.setdiff1d(left, hit, assume_unique=True)
 
 
-def _linker(bits: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    pivots = _pivots()
+def _linker(bits: int, width: int):
+    words = pa.list_(pa.int64())
+    schema = pa.schema([("a", words), ("b", words)])
+    pivots = _pivots(width)
+    levels = (bits,) if width == 1 else (bits // 3, 2 * bits // 3, bits)  # where links are verified later, near ones are offered first
 
     def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Group numbers and fingerprints, cut only between groups."""
         kept: list[np.ndarray] | None = None
         for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            cols = cols if kept is None else [np.concatenate(x) for x in zip(kept, cols, strict=True)]
-            if not len(cols[0]):
+            if not batch.num_rows:
                 continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]] + [batch.columns[-1].flatten().to_numpy().reshape(-1, width)]
+            cols = cols if kept is None else [np.concatenate(x) for x in zip(kept, cols, strict=True)]
             new = np.any([c[1:] != c[:-1] for c in cols[:-1]], axis=0)
             at = np.flatnonzero(new)
             cut = int(at[-1]) + 1 if len(at) else 0
             if cut:
                 yield np.concatenate([[0], np.cumsum(new[: cut - 1])]), cols[-1][:cut].view(np.uint64)
             kept = [c[cut:] for c in cols]
-        if kept is not None and len(kept[0]):
+        if kept is not None:
             yield np.zeros(len(kept[0]), np.int64), kept[-1].view(np.uint64)
 
+    def column(rows: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, width), pa.int32()), pa.array(np.ascontiguousarray(rows).view(np.int64).ravel()))
+
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, x in whole_groups(batches):
-            table = np.bitwise_count(x[:, None] ^ pivots[None, :]).astype(np.int8)
             starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
             sizes = np.diff(np.r_[starts, len(x)])
+            more = np.repeat(sizes > 1, sizes)  # most groups of sampled bits hold one fingerprint
+            x, group = np.ascontiguousarray(x[more]), group[more]
+            sizes = sizes[sizes > 1]
+            if not len(x):
+                continue
+            starts = np.r_[0, np.cumsum(sizes)[:-1]]
+            table = np.stack([np.bitwise_count(x ^ p).sum(axis=1, dtype=np.int16) for p in pivots], axis=1)
             size = np.repeat(sizes, sizes)
             pairs = []
             few = size <= SMALL
@@ -150,46 +196,80 @@ def _linker(bits: int):
                     break
                 pairs.append(np.column_stack(_close(x, table, a, a + step, bits)))
             for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-                pairs.append(np.array(_forest(x[s : s + n], table[s : s + n], bits), int).reshape(-1, 2) + s)
+                for most in levels:
+                    pairs.append(np.array(_forest(x[s : s + n], table[s : s + n], most), int).reshape(-1, 2) + s)
             found = np.concatenate(pairs) if pairs else np.empty((0, 2), int)
-            signed = x.view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed[found[:, 0]]), pa.array(signed[found[:, 1]])], schema=schema)
+            yield pa.RecordBatch.from_arrays([column(x[found[:, 0]]), column(x[found[:, 1]])], schema=schema)
 
     return link
 
 
-def links(fingerprints: DataFrame, bits: int = 4, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): links among the distinct fingerprints of column ``fp``, enough to connect all that are within ``bits``."""
-    nodes = fingerprints.count()
-    masks = _masks(bits, nodes)
-    keyed = fingerprints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])).alias("k")).select("k.c", "k.key", "fp")
+def links(fingerprints: DataFrame, bits: int, masks: list[list[int]], chunk: int = CHUNK) -> DataFrame:
+    """(a, b): links among the distinct fingerprints of column ``fp``, enough to connect all that are within ``bits`` and share a bucket."""
+    width = len(masks[0])
+    key = lambda m: F.xxhash64(*[F.col("fp")[w].bitwiseAND(F.lit(x)) for w, x in enumerate(m) if x])
+    keyed = fingerprints.select("fp", F.posexplode(F.array(*[key(m) for m in masks])).alias("c", "key"))
     large = written(keyed.groupBy("c", "key").count().where(F.col("count") > chunk).select("c", "key", F.ceil(F.col("count") / chunk).cast("int").alias("n")), "large")
     dealt = keyed.join(large, ["c", "key"], "left").withColumn("i", F.pmod(F.xxhash64("fp"), F.coalesce("n", F.lit(1))).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1)))
     dealt = dealt.select("c", "key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "fp")
     dealt = dealt.repartition(shuffle_partitions(fingerprints.sparkSession), "c", "key", "i", "j").sortWithinPartitions("c", "key", "i", "j")
-    return dealt.mapInArrow(_linker(bits), "a bigint, b bigint")
-
-
-def _members(df: DataFrame, id_col: str, text_col: str, bits: int, size: int, extra: dict[str, Column]) -> DataFrame:
-    """id, fp, root (the component's own key, a fingerprint), component_id and the ``extra`` columns for each row of ``df``."""
-    base = written(df.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), size).alias("fp"), *[c.alias(k) for k, c in extra.items()]), "fingerprints")
+    return dealt.mapInArrow(_linker(bits, width), "a array<bigint>, b array<bigint>")
+
+
+def shingle_set(raw: bytes | None, size: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles."""
+    words = (raw or b"").lower().split()
+    grams = [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+    return np.unique(np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64)).view(np.int64)
+
+
+def _verified(df: DataFrame, id_col: str, text_col: str, size: int, similarity: float, base: DataFrame, found: DataFrame) -> DataFrame:
+    """The links (a, b) whose shingle sets are as similar as asked for. Of rows of one fingerprint the first stands for all."""
+    ends = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp"))).distinct()
+    stand = base.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("id", "mark")).alias("r"))
+    stand = written(stand.select("fp", F.col("r.id").alias("r_id"), F.col("r.mark").alias("r_mark")), "ends")
+    texts = df.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).cast("binary").alias("t"))
+    sets = F.pandas_udf(lambda raws: pd.Series([shingle_set(x, size) for x in raws]), "array<bigint>")
+    held = texts.join(stand, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("mark") == F.col("r_mark"))).select("fp", sets("t").alias("s"))
+    held = written(held.dropDuplicates(["fp"]), "sets")
+    side = lambda name: held.select(F.col("fp").alias(name), F.col("s").alias(f"s_{name}"))
+    both = found.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    return both.where(common >= F.lit(similarity) * (F.size("s_a") + F.size("s_b") - common) - 1e-9).select("a", "b")
+
+
+def _members(df: DataFrame, id_col: str, text_col: str, bits: int, size: int, similarity: float | None) -> DataFrame:
+    """id, fp, root (the component's own key, a fingerprint), mark (a hash of the text) and component_id for each row of ``df``."""
+    width = WIDE if similarity else 1
+    base = written(df.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), size, width=width).alias("fp"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark")), "fingerprints")
     nodes = written(base.groupBy("fp").agg(F.min("id").alias("own")), "nodes")
-    label = written(components(links(nodes.select("fp"), bits)), "labels").withColumnRenamed("node", "fp")
+    n = nodes.count()
+    most = int(64 * width * (differing_share(similarity) + SLACK)) if similarity else bits
+    masks = _sample_masks(similarity, n) if similarity else _block_masks(bits, n)
+    found = links(nodes.select("fp"), most, masks)
+    found = _verified(df, id_col, text_col, size, similarity, base, written(found.distinct(), "links")) if similarity else found
+    label = written(components(found), "labels").withColumnRenamed("node", "fp")
     least = label.join(nodes, "fp").groupBy("root").agg(F.min("own").alias("least"))
     whole = nodes.join(label.join(least, "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "own").alias("component_id"))
-    return base.join(whole, "fp")
+    # written, so that both sides of the join are plain shuffles, whose skewed parts (a fingerprint of many copies) Spark may split
+    return base.join(written(whole, "components"), "fp")
+
 
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4, size: int = 4, similarity: float | None = None) -> DataFrame:
+    """(id, fingerprint, component_id) for each row of ``df``; component_id is the smallest id reachable.
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4, size: int = 4) -> DataFrame:
-    """(id, fingerprint, component_id) for each row of ``df``; component_id is the smallest id reachable."""
-    return _members(df, id_col, text_col, bits, size, {}).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    Links are at most ``bits`` differing bits of 64, or, with ``similarity``, at least this similarity of shingle sets; candidates for
+    these differ in the share of bits that sets of this similarity are expected to, and ``SLACK`` more.
+    """
+    word = lambda w: F.lower(F.lpad(F.hex(w), 16, "0"))
+    return _members(df, id_col, text_col, bits, size, similarity).select(F.col("id").alias(id_col), F.array_join(F.transform("fp", word), "").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4, size: int = 4) -> DataFrame:
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8, size: int = 5, bits: int = 4) -> DataFrame:
     """The rows of ``df``, one for each component: that of the smallest id (of repeated rows, one)."""
     mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    found = _members(df, id_col, text_col, bits, size, {"mark": mark})
+    found = _members(df, id_col, text_col, bits, size, similarity)
     stays = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("s"))
     stays = written(stays.select(F.col("s.id").alias("__gm_id"), F.col("s.mark").alias("__gm_mark")), "stays")
     rows = df.withColumn("__gm_own", F.col(id_col)).withColumn("__gm_own_mark", mark)
