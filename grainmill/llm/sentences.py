@@ -31,7 +31,7 @@ from ._tokens import _R, _power, mixed, word_places
 SENTENCES, WORDS, CUT, LONGEST = 3, 20, 10, 16
 _END = np.zeros(256, np.int64)
 _END[list(b".!?\n\r")] = 1
-PIECE = 4_000_000
+PIECE = 1_000_000
 
 
 class Cut:
@@ -105,7 +105,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.select(F.col(text_col).cast("binary").alias("t"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"))
     common = written(_span_rows(docs, places=False).groupBy("h").count().where("count > 1").select("h"), "common")
     held = written(_span_rows(docs, places=True).join(common, "h", "left_semi"), "held")
-    first = held.groupBy("h").agg(F.min(F.struct("id", "mark", "a")).alias("first"))
+    # written, so that both sides of the join are plain shuffles, whose skewed parts (a very common span) Spark may split
+    first = written(held.groupBy("h").agg(F.min(F.struct("id", "mark", "a")).alias("first")), "first")
     later = held.join(first, "h").where(~F.struct("id", "mark", "a").eqNullSafe(F.col("first")))
     return later.groupBy("id", "mark").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
