@@ -69,7 +69,8 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = spans.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(along)).withColumn("start", F.col("end") - F.col("len")).where("ok")
     spans = written(spans.select("row", "id", "repo", "owner", "kind", "start", "end", "len", "h"), "spans")
 
-    known = ownership(spans, least_owners, least_repositories)
+    # written, so that both sides of the join are plain shuffles, whose skewed parts (a value in many documents) Spark may split
+    known = written(ownership(spans, least_owners, least_repositories), "owners")
     judged = spans.join(known, "h").withColumn("live", ~F.col("copied") & (F.col("len") >= 16))
     span = F.struct("start", "kind", F.concat_ws(":", F.element_at(F.array(*[F.lit(k[0]) for k in KINDS]), F.col("kind") + 1), "start", "end").alias("at"), "live", "copied")
     each = judged.where((F.col("kind") < BASE) | ~F.col("copied")).groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("s"))
