@@ -60,10 +60,9 @@ _DS = f"n AS (SELECT *, {_SPLIT} AS split, {_norm()} AS t FROM documents), d AS
 
 def _like(left: str, right: str) -> str:
     """doc_id of rows of one relation that are like a row of the other (t, w), by brute force."""
-    g = _GRAMS.format(short="list_distinct(w)")
+    side = lambda r: f"(SELECT doc_id, len(gs) AS k, unnest(gs) AS g FROM (SELECT doc_id, {_GRAMS.format(short='list_distinct(w)')} AS gs FROM {r}))"
     return f"""SELECT DISTINCT a FROM (
-        SELECT x.doc_id AS a, x.k AS ka, y.k AS kb, count(*) AS shared
-        FROM (SELECT doc_id, unnest({g}) AS g, len({g}) AS k FROM {left}) x JOIN (SELECT doc_id, unnest({g}) AS g, len({g}) AS k FROM {right}) y USING (g)
+        SELECT x.doc_id AS a, x.k AS ka, y.k AS kb, count(*) AS shared FROM {side(left)} x JOIN {side(right)} y USING (g)
         GROUP BY x.doc_id, x.k, y.doc_id, y.k) WHERE shared / (ka + kb - shared) >= 0.7"""
 
 
