@@ -52,7 +52,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a table in the shared folder: it cuts the lineage, survives lost executors and has a known size."""
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._grainmill_path = path
+    return out
+
+
+def released(df: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing will read again."""
+    delete(df.sparkSession, df._grainmill_path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

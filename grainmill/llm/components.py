@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import released, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         sign = tuple(state)
         if not state[0]:
             break
-        now = written(_star(_star(now, large=True), large=False), "edges")
+        before, now = now, written(_star(_star(now, large=True), large=False), "edges")
+        released(before)
     else:
         raise RuntimeError("components have not settled")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
