@@ -14,6 +14,11 @@ the shingle sets themselves, for which only texts that take part in a link are r
 bucket of more than ``SMALL`` yields spanning forests of its links, never all pairs; buckets beyond ``CHUNK`` fingerprints are
 dealt out as pairs of chunks, so no task gets an unbounded group.
 
+Where links are verified later, a forest isn't enough: an edge of it may fail while another pair would have joined its ends. So a
+bucket also names its groups of fingerprints that links within the bits connect. Those whose members the verified links haven't all
+joined are gone through once more with the shingle sets at hand, in pairs of chunks of ``OPEN``: there, every pair that is still apart
+is compared, and a spanning forest of the pairs that are similar enough is added. So no pair that shares a bucket is left out.
+
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; null ids never become a
 component's id while it has another; repeated rows are separate rows of one component; an empty table gives an empty one.
 """
@@ -36,7 +41,7 @@ from ._shared import shuffle_partitions, written
 from ._tokens import mixed
 from .components import components
 
-PIVOTS, CHUNK, SMALL, PIECE = 16, 4096, 32, 1 << 20
+PIVOTS, CHUNK, SMALL, OPEN, PIECE = 16, 4096, 32, 512, 1 << 20
 WIDE, MISS, SLACK = 4, 0.02, 0.045
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -150,9 +155,24 @@ def _forest(x: np.ndarray, table: np.ndarray, bits: int) -> list[tuple[int, int]
             left = np.setdiff1d(left, hit, assume_unique=True)
 
 
+def _groups(x: np.ndarray, edges: list[tuple[int, int]]) -> list[np.ndarray]:
+    """The members of each tree of a forest, of three at least: a tree of two is offered whole by its edge."""
+    tree = np.arange(len(x))
+    for u, v in edges:  # an edge's first end is in its tree already
+        tree[v] = tree[u]
+    order = np.argsort(tree, kind="stable")
+    return [m for m in np.split(order, np.flatnonzero(np.diff(tree[order])) + 1) if len(m) > 2]
+
+
+def _group_key(x: np.ndarray) -> int:
+    """The same for the same members, whichever bucket they meet in."""
+    return xxhash.xxh64_intdigest(x[np.lexsort(x.T)].tobytes()) - (1 << 63)
+
+
 def _linker(bits: int, width: int):
+    """A row (a, b, null) for each link offered; for those to be verified, also a row (null, member, group) for each member of a group of a large bucket."""
     words = pa.list_(pa.int64())
-    schema = pa.schema([("a", words), ("b", words)])
+    schema = pa.schema([("a", words), ("b", words), ("g", pa.int64())])
     pivots = _pivots(width)
     levels = (bits,) if width == 1 else (bits // 3, 2 * bits // 3, bits)  # where links are verified later, near ones are offered first
 
@@ -188,7 +208,7 @@ def _linker(bits: int, width: int):
             starts = np.r_[0, np.cumsum(sizes)[:-1]]
             table = np.stack([np.bitwise_count(x ^ p).sum(axis=1, dtype=np.int16) for p in pivots], axis=1)
             size = np.repeat(sizes, sizes)
-            pairs = []
+            pairs, members, keys = [], [], []
             few = size <= SMALL
             for step in range(1, SMALL):
                 a = np.flatnonzero(few[:-step] & (group[:-step] == group[step:])) if len(x) > step else np.empty(0, int)
@@ -197,15 +217,26 @@ def _linker(bits: int, width: int):
                 pairs.append(np.column_stack(_close(x, table, a, a + step, bits)))
             for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
                 for most in levels:
-                    pairs.append(np.array(_forest(x[s : s + n], table[s : s + n], most), int).reshape(-1, 2) + s)
+                    edges = _forest(x[s : s + n], table[s : s + n], most)
+                    pairs.append(np.array(edges, int).reshape(-1, 2) + s)
+                if len(levels) > 1:
+                    for m in _groups(x[s : s + n], edges):
+                        members.append(m + s)
+                        keys.append(np.full(len(m), _group_key(x[m + s]), np.int64))
             found = np.concatenate(pairs) if pairs else np.empty((0, 2), int)
-            yield pa.RecordBatch.from_arrays([column(x[found[:, 0]]), column(x[found[:, 1]])], schema=schema)
+            yield pa.RecordBatch.from_arrays([column(x[found[:, 0]]), column(x[found[:, 1]]), pa.nulls(len(found), pa.int64())], schema=schema)
+            if members:
+                own = column(x[np.concatenate(members)])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(own), words), own, pa.array(np.concatenate(keys))], schema=schema)
 
     return link
 
 
 def links(fingerprints: DataFrame, bits: int, masks: list[list[int]], chunk: int = CHUNK) -> DataFrame:
-    """(a, b): links among the distinct fingerprints of column ``fp``, enough to connect all that are within ``bits`` and share a bucket."""
+    """(a, b, g): links among the distinct fingerprints of column ``fp``, enough to connect all that are within ``bits`` and share a bucket.
+
+    With more words than one, rows with a group ``g`` name the members ``b`` of the groups of large buckets.
+    """
     width = len(masks[0])
     key = lambda m: F.xxhash64(*[F.col("fp")[w].bitwiseAND(F.lit(x)) for w, x in enumerate(m) if x])
     keyed = fingerprints.select("fp", F.posexplode(F.array(*[key(m) for m in masks])).alias("c", "key"))
@@ -214,7 +245,7 @@ def links(fingerprints: DataFrame, bits: int, masks: list[list[int]], chunk: int
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1)))
     dealt = dealt.select("c", "key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "fp")
     dealt = dealt.repartition(shuffle_partitions(fingerprints.sparkSession), "c", "key", "i", "j").sortWithinPartitions("c", "key", "i", "j")
-    return dealt.mapInArrow(_linker(bits, width), "a array<bigint>, b array<bigint>")
+    return dealt.mapInArrow(_linker(bits, width), "a array<bigint>, b array<bigint>, g bigint")
 
 
 def shingle_set(raw: bytes | None, size: int) -> np.ndarray:
@@ -224,21 +255,76 @@ def shingle_set(raw: bytes | None, size: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64)).view(np.int64)
 
 
-def _verified(df: DataFrame, id_col: str, text_col: str, size: int, similarity: float, base: DataFrame, found: DataFrame) -> DataFrame:
-    """The links (a, b) whose shingle sets are as similar as asked for. Of rows of one fingerprint the first stands for all."""
-    ends = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp"))).distinct()
+def _sets(df: DataFrame, id_col: str, text_col: str, size: int, base: DataFrame, ends: DataFrame, tag: str) -> DataFrame:
+    """(fp, s): the shingle set of each fingerprint of ``ends``. Of rows of one fingerprint the first stands for all."""
     stand = base.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("id", "mark")).alias("r"))
     stand = written(stand.select("fp", F.col("r.id").alias("r_id"), F.col("r.mark").alias("r_mark")), "ends")
     texts = df.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).cast("binary").alias("t"))
     sets = F.pandas_udf(lambda raws: pd.Series([shingle_set(x, size) for x in raws]), "array<bigint>")
     held = texts.join(stand, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("mark") == F.col("r_mark"))).select("fp", sets("t").alias("s"))
-    held = written(held.dropDuplicates(["fp"]), "sets")
+    return written(held.dropDuplicates(["fp"]), tag)
+
+
+def _verified(df: DataFrame, id_col: str, text_col: str, size: int, similarity: float, base: DataFrame, found: DataFrame) -> DataFrame:
+    """The links (a, b) whose shingle sets are as similar as asked for."""
+    ends = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp"))).distinct()
+    held = _sets(df, id_col, text_col, size, base, ends, "sets")
     side = lambda name: held.select(F.col("fp").alias(name), F.col("s").alias(f"s_{name}"))
     both = found.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
     return both.where(common >= F.lit(similarity) * (F.size("s_a") + F.size("s_b") - common) - 1e-9).select("a", "b")
 
 
+def _joined_within(x: np.ndarray, label: np.ndarray, flat: np.ndarray, sizes: np.ndarray, bits: int, similarity: float) -> list[tuple[int, int]]:
+    """Of the pairs of different labels within ``bits`` whose sets (``flat``, cut by ``sizes``) are similar enough, a spanning forest."""
+    _, flat = np.unique(flat, return_inverse=True)
+    starts = np.r_[0, np.cumsum(sizes)]
+    mark = np.zeros(len(flat) + 1, bool)
+    left, found, queue = np.arange(1, len(x)), [], [0]
+    while True:
+        if not queue:
+            if not len(left):
+                return found
+            queue, left = [int(left[0])], left[1:]
+        u = queue.pop()
+        own = flat[starts[u] : starts[u + 1]]
+        mark[own] = True
+        same = label[left] == label[u]
+        near = left[~same & (np.bitwise_count(x[left] ^ x[u]).sum(axis=1) <= bits)]
+        near = near[np.minimum(sizes[near], sizes[u]) >= similarity * np.maximum(sizes[near], sizes[u]) - 1e-9]
+        common = np.array([np.count_nonzero(mark[flat[starts[v] : starts[v + 1]]]) for v in near.tolist()], np.int64)
+        mark[own] = False
+        hit = near[common >= similarity * (sizes[near] + sizes[u] - common) - 1e-9]
+        found += [(u, int(v)) for v in hit]
+        queue += [*hit.tolist(), *left[same].tolist()]
+        left = np.setdiff1d(left[~same], hit, assume_unique=True)
+
+
+def _within_groups(df: DataFrame, id_col: str, text_col: str, size: int, similarity: float, bits: int, base: DataFrame, members: DataFrame, label: DataFrame, most: int = OPEN) -> DataFrame | None:
+    """Verified links (a, b) among the members (g, fp) of groups that ``label`` leaves apart, or nothing if there are none."""
+    told = members.join(label.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    told = written(told, "told")
+    apart = told.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("count")).where("lo <> hi")
+    apart = written(apart.select("g", F.ceil(F.col("count") / most).cast("int").alias("n")), "apart")
+    if apart.isEmpty():
+        return None
+    told = written(told.join(apart, "g"), "open")
+    held = _sets(df, id_col, text_col, size, base, told.select("fp").distinct(), "open_sets")
+    dealt = told.withColumn("i", F.pmod(F.xxhash64("fp"), "n").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select("g", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "fp", "root")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        sets = rows["s"].combine_chunks()
+        x = np.array(rows["fp"].to_pylist(), np.int64).view(np.uint64)
+        label = np.unique(np.array(rows["root"].to_pylist(), np.int64), axis=0, return_inverse=True)[1].ravel()
+        sizes = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        found = np.array(_joined_within(x, label, sets.flatten().to_numpy(), sizes, bits, similarity), int).reshape(-1, 2)
+        return pa.table({"a": rows["fp"].take(pa.array(found[:, 0])), "b": rows["fp"].take(pa.array(found[:, 1]))})
+
+    return dealt.join(held, "fp").groupBy("g", "i", "j").applyInArrow(compare, "a array<bigint>, b array<bigint>")
+
+
 def _members(df: DataFrame, id_col: str, text_col: str, bits: int, size: int, similarity: float | None) -> DataFrame:
     """id, fp, root (the component's own key, a fingerprint), mark (a hash of the text) and component_id for each row of ``df``."""
     width = WIDE if similarity else 1
@@ -248,8 +334,14 @@ def _members(df: DataFrame, id_col: str, text_col: str, bits: int, size: int, si
     most = int(64 * width * (differing_share(similarity) + SLACK)) if similarity else bits
     masks = _sample_masks(similarity, n) if similarity else _block_masks(bits, n)
     found = links(nodes.select("fp"), most, masks)
-    found = _verified(df, id_col, text_col, size, similarity, base, written(found.distinct(), "links")) if similarity else found
-    label = written(components(found), "labels").withColumnRenamed("node", "fp")
+    found = written(found.distinct(), "links") if similarity else found
+    members = found.where("g IS NOT NULL").select("g", F.col("b").alias("fp"))
+    found = found.where("g IS NULL").select("a", "b")
+    found = written(_verified(df, id_col, text_col, size, similarity, base, found), "verified") if similarity else found
+    label = written(components(found), "labels")
+    more = _within_groups(df, id_col, text_col, size, similarity, most, base, members, label) if similarity else None
+    label = written(components(found.unionByName(more)), "labels") if more is not None else label
+    label = label.withColumnRenamed("node", "fp")
     least = label.join(nodes, "fp").groupBy("root").agg(F.min("own").alias("least"))
     whole = nodes.join(label.join(least, "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "own").alias("component_id"))
     # written, so that both sides of the join are plain shuffles, whose skewed parts (a fingerprint of many copies) Spark may split

@@ -120,6 +120,48 @@ def test_near_components(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
 
 
+def test_copies_around_one_original(spark):
+    """A thousand copies at a Jaccard similarity of 0.85 to one original, of about 0.73 among each other: one component by the original's links."""
+    rng = random.Random(11)
+    base = words(rng, 304, 50_000)
+    texts = [" ".join(base)]
+    for i in range(1000):
+        w, at = list(base), rng.sample(range(5), 1)[0]
+        for k in range(5):  # each changed word replaces five of 300 shingles
+            w[at + 60 * k + rng.randrange(50)] = f"new{i}x{k}"
+        texts.append(" ".join(w))
+    sets = [set(simhash.shingle_set(t.encode(), 5).tolist()) for t in texts]
+    assert all(len(sets[0] & s) >= 0.8 * len(sets[0] | s) for s in sets)
+    assert sum(len(a & b) < 0.8 * len(a | b) for a, b in zip(sets[1:], sets[2:], strict=False)) > 900
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    stay = {r.doc_id for r in simhash.drop_near_duplicates(df).collect()}
+    fps = [np.array(r.fp, np.int64) for r in df.orderBy("doc_id").select(simhash.fingerprint(F.col("text"), 5, width=simhash.WIDE).alias("fp")).collect()]
+    masks = [np.array(m, np.int64) for m in simhash._sample_masks(0.8, 1001)]
+    most = int(256 * (simhash.differing_share(0.8) + simhash.SLACK))
+    apart = {i for i, x in enumerate(fps) if np.bitwise_count((x ^ fps[0]).view(np.uint64)).sum() > most or not any(((x ^ fps[0]) & m == 0).all() for m in masks)}
+    assert stay <= {0} | apart and len(apart) <= 20  # only sampling misses, which MISS bounds; some of these are joined through a sibling
+
+
+def test_open_groups_are_compared_whole():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(np.r_[rng.choice(200, 150, replace=False), 1000 + rng.integers(0, 30, 5)]) for _ in range(60)]
+    sets += [np.r_[s[:-8], 5000 + np.arange(8)] for s in sets[:20]]
+    x, sizes = np.zeros((80, 4), np.uint64), np.array([len(s) for s in sets])
+    label = np.r_[np.arange(78), 5, 6]
+    pairs = list(simhash._joined_within(x, label, np.concatenate(sets), sizes, 50, 0.8))
+    alike = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+    assert all(alike(a, b) for a, b in pairs)
+
+    def groups(edges):
+        root = list(range(80))
+        for a, b in [*edges, (78, 5), (79, 6)]:
+            old, new = root[a], root[b]
+            root = [new if r == old else r for r in root]
+        return {frozenset(i for i in range(80) if root[i] == r) for r in root}
+
+    assert groups(pairs) == groups([(a, b) for a in range(80) for b in range(a) if alike(a, b)])
+
+
 def test_hot_buckets_are_dealt_out(spark):
     fps = [[(1 << 40) + i] for i in range(40)]
     df = spark.createDataFrame([(x,) for x in fps], "fp array<bigint>")
