@@ -6,7 +6,8 @@ A pivot table alone discards pairs, but still has to look at every pair. Candida
   most ``d`` bits agree on some ``b - d`` of them, so they meet in a bucket of one of the C(b, d) combinations.
 * A similarity of the shingle sets (0.8, say) is about one bit in seven of a fingerprint, where blocks can't help. There,
   fingerprints have ``WIDE`` words of 64 bits, and meet in buckets of sampled bits; the number of samples is such that a pair
-  of just this similarity is missed with a probability of ``MISS`` at most.
+  of just this similarity is missed with a probability of ``MISS`` at most. These fingerprints count each shingle once, as the
+  similarity does, and a hash of the set stands behind them, so that only texts of equal sets are one without verification.
 
 Within a bucket, the table of distances to reference fingerprints discards a pair when any coordinate differs by more than
 the bits allowed (the triangle inequality), and an exact distance verifies the rest; links by similarity are then verified on
@@ -57,9 +58,13 @@ def _pieces(raw: bytes) -> Iterator[bytes]:
     yield raw[at:]
 
 
-def text_fingerprint(raw: bytes | None, size: int = 4, seed: int = 42, width: int = 1) -> list[int]:
-    """The SimHash of the word shingles of a whole text: ``width`` unsigned words, the first of XXH64 itself, others of values mixed from it."""
+def text_fingerprint(raw: bytes | None, size: int = 4, seed: int = 42, width: int = 1, distinct: bool = False) -> list[int]:
+    """The SimHash of the word shingles of a whole text: ``width`` unsigned words, the first of XXH64 itself, others of values mixed from it.
+
+    With ``distinct`` each shingle counts once, and one more word follows, a hash of the set of shingles.
+    """
     ones, n, tail = np.zeros((width, 64), np.int64), 0, []
+    held: list[np.ndarray] = []
     xxh = xxhash.xxh64_intdigest
 
     def count(hashes: np.ndarray) -> None:
@@ -74,21 +79,32 @@ def text_fingerprint(raw: bytes | None, size: int = 4, seed: int = 42, width: in
             joined = b" ".join(words)
             ends = list(itertools.accumulate([len(w) + 1 for w in words]))
             hashes = [xxh(joined[s : e - 1], seed) for s, e in zip([0, *ends], ends[size - 1 :], strict=False)]
-            count(np.array(hashes, np.uint64))
-            n += len(hashes)
+            if distinct:
+                held.append(np.unique(np.array(hashes, np.uint64)))
+            else:
+                count(np.array(hashes, np.uint64))
+                n += len(hashes)
             tail = words[len(words) - size + 1 :]
-    if not n and tail:
-        count(np.array([xxh(b" ".join(tail), seed)], np.uint64))
-        n = 1
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64)[:, 0].tolist() if n else [0] * width
+    if not n and not held and tail:
+        held.append(np.array([xxh(b" ".join(tail), seed)], np.uint64))
+    if held:
+        found = np.unique(np.concatenate(held))
+        count(found)
+        n = len(found)
+    whole = [xxh(found.tobytes(), seed) if held else 0] if distinct else []
+    return [*_majority(ones, n), *whole]
+
+
+def _majority(ones: np.ndarray, n: int) -> list[int]:
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64)[:, 0].tolist() if n else [0] * len(ones)
 
 
-def fingerprint(text: Column, size: int = 4, seed: int = 42, width: int = 1) -> Column:
+def fingerprint(text: Column, size: int = 4, seed: int = 42, width: int = 1, distinct: bool = False) -> Column:
     """The fingerprint as an array of BIGINTs of equal bits."""
 
     @F.pandas_udf("array<bigint>")
     def of(raws: pd.Series) -> pd.Series:
-        return pd.Series(list(np.array([text_fingerprint(x, size, seed, width) for x in raws], np.uint64).reshape(-1, width).view(np.int64)))
+        return pd.Series(list(np.array([text_fingerprint(x, size, seed, width, distinct) for x in raws], np.uint64).reshape(-1, width + distinct).view(np.int64)))
 
     return of(text.cast("binary"))
 
@@ -173,7 +189,7 @@ def _linker(bits: int, width: int):
     """A row (a, b, null) for each link offered; for those to be verified, also a row (null, member, group) for each member of a group of a large bucket."""
     words = pa.list_(pa.int64())
     schema = pa.schema([("a", words), ("b", words), ("g", pa.int64())])
-    pivots = _pivots(width)
+    pivots, wide = _pivots(width), width + (width > 1)  # the word behind wide fingerprints tells sets apart and isn't part of distances
     levels = (bits,) if width == 1 else (bits // 3, 2 * bits // 3, bits)  # where links are verified later, near ones are offered first
 
     def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -182,7 +198,7 @@ def _linker(bits: int, width: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]] + [batch.columns[-1].flatten().to_numpy().reshape(-1, width)]
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]] + [batch.columns[-1].flatten().to_numpy().reshape(-1, wide)]
             cols = cols if kept is None else [np.concatenate(x) for x in zip(kept, cols, strict=True)]
             new = np.any([c[1:] != c[:-1] for c in cols[:-1]], axis=0)
             at = np.flatnonzero(new)
@@ -194,14 +210,15 @@ def _linker(bits: int, width: int):
             yield np.zeros(len(kept[0]), np.int64), kept[-1].view(np.uint64)
 
     def column(rows: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, width), pa.int32()), pa.array(np.ascontiguousarray(rows).view(np.int64).ravel()))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, wide), pa.int32()), pa.array(np.ascontiguousarray(rows).view(np.int64).ravel()))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, x in whole_groups(batches):
             starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
             sizes = np.diff(np.r_[starts, len(x)])
             more = np.repeat(sizes > 1, sizes)  # most groups of sampled bits hold one fingerprint
-            x, group = np.ascontiguousarray(x[more]), group[more]
+            whole, group = x[more], group[more]
+            x = np.ascontiguousarray(whole[:, :width])
             sizes = sizes[sizes > 1]
             if not len(x):
                 continue
@@ -222,11 +239,11 @@ def _linker(bits: int, width: int):
                 if len(levels) > 1:
                     for m in _groups(x[s : s + n], edges):
                         members.append(m + s)
-                        keys.append(np.full(len(m), _group_key(x[m + s]), np.int64))
+                        keys.append(np.full(len(m), _group_key(whole[m + s]), np.int64))
             found = np.concatenate(pairs) if pairs else np.empty((0, 2), int)
-            yield pa.RecordBatch.from_arrays([column(x[found[:, 0]]), column(x[found[:, 1]]), pa.nulls(len(found), pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([column(whole[found[:, 0]]), column(whole[found[:, 1]]), pa.nulls(len(found), pa.int64())], schema=schema)
             if members:
-                own = column(x[np.concatenate(members)])
+                own = column(whole[np.concatenate(members)])
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(own), words), own, pa.array(np.concatenate(keys))], schema=schema)
 
     return link
@@ -256,7 +273,7 @@ def shingle_set(raw: bytes | None, size: int) -> np.ndarray:
 
 
 def _sets(df: DataFrame, id_col: str, text_col: str, size: int, base: DataFrame, ends: DataFrame, tag: str) -> DataFrame:
-    """(fp, s): the shingle set of each fingerprint of ``ends``. Of rows of one fingerprint the first stands for all."""
+    """(fp, s): the shingle set of each fingerprint of ``ends``. Rows of one fingerprint have equal sets; the first stands for all."""
     stand = base.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("id", "mark")).alias("r"))
     stand = written(stand.select("fp", F.col("r.id").alias("r_id"), F.col("r.mark").alias("r_mark")), "ends")
     texts = df.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).cast("binary").alias("t"))
@@ -316,7 +333,7 @@ def _within_groups(df: DataFrame, id_col: str, text_col: str, size: int, similar
     def compare(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         sets = rows["s"].combine_chunks()
-        x = np.array(rows["fp"].to_pylist(), np.int64).view(np.uint64)
+        x = np.array(rows["fp"].to_pylist(), np.int64).view(np.uint64)[:, :WIDE]
         label = np.unique(np.array(rows["root"].to_pylist(), np.int64), axis=0, return_inverse=True)[1].ravel()
         sizes = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         found = np.array(_joined_within(x, label, sets.flatten().to_numpy(), sizes, bits, similarity), int).reshape(-1, 2)
@@ -328,7 +345,7 @@ def _within_groups(df: DataFrame, id_col: str, text_col: str, size: int, similar
 def _members(df: DataFrame, id_col: str, text_col: str, bits: int, size: int, similarity: float | None) -> DataFrame:
     """id, fp, root (the component's own key, a fingerprint), mark (a hash of the text) and component_id for each row of ``df``."""
     width = WIDE if similarity else 1
-    base = written(df.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), size, width=width).alias("fp"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark")), "fingerprints")
+    base = written(df.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), size, width=width, distinct=bool(similarity)).alias("fp"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark")), "fingerprints")
     nodes = written(base.groupBy("fp").agg(F.min("id").alias("own")), "nodes")
     n = nodes.count()
     most = int(64 * width * (differing_share(similarity) + SLACK)) if similarity else bits
@@ -355,7 +372,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     these differ in the share of bits that sets of this similarity are expected to, and ``SLACK`` more.
     """
     word = lambda w: F.lower(F.lpad(F.hex(w), 16, "0"))
-    return _members(df, id_col, text_col, bits, size, similarity).select(F.col("id").alias(id_col), F.array_join(F.transform("fp", word), "").alias("fingerprint"), "component_id")
+    return _members(df, id_col, text_col, bits, size, similarity).select(F.col("id").alias(id_col), F.array_join(F.transform(F.slice("fp", 1, WIDE), word), "").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8, size: int = 5, bits: int = 4) -> DataFrame:
