@@ -16,13 +16,10 @@ from grainmill.llm.language import keep_identified
 from grainmill.llm.mixing import mix
 from grainmill.llm.simhash import drop_near_duplicates
 
-#: Below this score a text is unlike every language that the model knows.
-LEAST_SCORE = 0.25
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those that look like no known language."""
-    return keep_identified(docs, least=LEAST_SCORE)
+    return keep_identified(docs, known=True)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

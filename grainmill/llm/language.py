@@ -6,6 +6,11 @@ rows trains the model: at most ``SAMPLE`` rows, dealt evenly to the languages, o
 first ``LANDMARKS`` of them (dealt evenly too) as landmarks. Every whole text is then scored in batches of matrix products:
 presence by landmarks, by the inverse root of the landmarks' kernel, by the ridge weights.
 
+The scores rank languages, but can't tell that a text is of none of them: they sum to a constant. For that, ``familiar`` is the
+share of a text's n-grams that are usual in the predicted language (held by ``USUAL`` of its training rows), less the language's
+bound: halfway between what nearly all training rows reach, each by the others' n-grams, and what the same rows reach with
+their letters shuffled. Short texts have ``ALLOWED`` over the root of their number of n-grams to spare.
+
 Defined results: a null text or one without a letter is ``und`` with score 0, as is every text when nothing is labelled; a
 null id counts as the empty string for the split; repeated rows get equal predictions; other columns are ignored.
 """
@@ -21,6 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+USUAL, ALLOWED = 0.01, 0.5
 BITS, SAMPLE, LANDMARKS, LONGEST, RIDGE, BATCH, PIECE = 15, 2048, 128, 20_000, 1e-3, 64, 1 << 20
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -54,9 +60,11 @@ class Model:
     landmarks: np.ndarray  # bits
     root: np.ndarray
     weights: np.ndarray
+    usual: np.ndarray  # bits: for each bucket and language, whether it is usual there
+    bounds: np.ndarray
 
     def __post_init__(self):
-        self._l = None
+        self._l = self._u = None
 
     def features(self, x: np.ndarray) -> np.ndarray:
         """Nyström features of a batch of presence rows, and a constant."""
@@ -69,6 +77,48 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         return self.features(x) @ self.weights
 
+    def familiar(self, x: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """How far each row's share of usual n-grams of the language ``best`` is above the bound."""
+        if self._u is None:
+            self._u = np.unpackbits(self.usual, axis=0).astype(np.float32)
+        n = np.maximum(1, x.sum(axis=1))
+        return (x @ self._u)[np.arange(len(x)), best] / n - self.bounds[best] + ALLOWED / np.sqrt(n)
+
+
+def _shuffled(text: str, rng: np.random.Generator) -> str:
+    """The text with its letters in another order; all else stays in place."""
+    chars = np.array(list(text.lower()))
+    at = np.flatnonzero([c.isalpha() for c in chars])
+    chars[at] = chars[rng.permutation(at)]
+    return "".join(chars)
+
+
+def usual_grams(texts: list[str], langs: list[str], names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket and language whether it is usual there, and the least share of usual n-grams for each language."""
+    usual, bounds = np.zeros((1 << BITS, len(names)), bool), np.zeros(len(names), np.float32)
+    rng = np.random.default_rng(31)
+    for k, name in enumerate(names):
+        own = list(dict.fromkeys(t for t, lang in zip(texts, langs, strict=True) if lang == name))
+        bits = np.zeros((len(own), 1 << BITS), np.uint8)
+        for row, t in zip(bits, own, strict=True):
+            mark_presence(t, row)
+        count = bits.sum(axis=0, dtype=np.int64)
+        least = max(1, USUAL * len(own))
+        usual[:, k] = count >= least
+        if len(own) < 8:
+            continue  # too few to tell; everything is let through
+        size = bits.sum(axis=1, dtype=np.int64)
+        share = np.array([np.count_nonzero(count[row > 0] > least) / max(1, n) for row, n in zip(bits, size, strict=True)])
+        wild = []
+        for t in own:
+            row = np.zeros(1 << BITS, np.uint8)
+            mark_presence(_shuffled(t, rng), row)
+            wild.append(np.count_nonzero(count[row > 0] > least) / max(1, np.count_nonzero(row)))
+        # of texts with enough n-grams to tell; the median of shuffled rows, as some are too short or uniform to be changed
+        long = size >= min(100, np.median(size))
+        bounds[k] = (np.quantile(share[long], 0.01) + np.median(np.array(wild)[long])) / 2
+    return np.packbits(usual, axis=0), bounds
+
 
 def fit(texts: list[str], langs: list[str]) -> Model | None:
     """Ridge regression on the Nyström features of the sample. The texts come in an order that alternates languages."""
@@ -83,7 +133,7 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
     values, vectors = np.linalg.eigh((dense @ dense.T).astype(np.float64))
     good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])
-    model = Model(names, np.packbits(bits, axis=1), root.astype(np.float32), np.zeros((int(good.sum()) + 1, len(names)), np.float32))
+    model = Model(names, np.packbits(bits, axis=1), root.astype(np.float32), np.zeros((int(good.sum()) + 1, len(names)), np.float32), *usual_grams(texts, langs, names))
     rows = []
     for at in range(0, len(texts), BATCH):
         x = np.zeros((len(texts[at : at + BATCH]), 1 << BITS), np.float32)
@@ -118,17 +168,17 @@ def train(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model | N
 
 
 def predict(text: Column, model: Model | None, df: DataFrame) -> Column:
-    """A struct of lang_pred and score for each text."""
+    """A struct of lang_pred, score and familiar for each text."""
     if model is None:
-        return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("familiar"))
     shared = df.sparkSession.sparkContext.broadcast(model)  # its size is bound by LANDMARKS and BITS
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, familiar double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         x = np.zeros((BATCH, 1 << BITS), np.float32)
         for texts in batches:
-            names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            names, scores, familiar = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
             for s in range(0, len(at), BATCH):
                 own = at[s : s + BATCH]
@@ -138,9 +188,10 @@ def predict(text: Column, model: Model | None, df: DataFrame) -> Column:
                 f = m.score(x[: len(own)])
                 best = f.argmax(axis=1)
                 scores[own] = np.clip((f[np.arange(len(own)), best] + 1) / 2, 0, 1)
+                familiar[own] = m.familiar(x[: len(own)], best)
                 for i, k in zip(own, best.tolist(), strict=True):
                     names[i] = m.languages[k]
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            yield pd.DataFrame({"lang_pred": names, "score": scores, "familiar": familiar})
 
     return of(text)
 
@@ -148,13 +199,14 @@ def predict(text: Column, model: Model | None, df: DataFrame) -> Column:
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, held_out, lang_pred, score) for each row."""
     model = train(df, id_col, text_col, lang_col)
-    return df.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), predict(F.col(text_col), model, df).alias("p")).select(id_col, "held_out", "p.*")
+    return df.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), predict(F.col(text_col), model, df).alias("p")).select(id_col, "held_out", "p.lang_pred", "p.score")
 
 
-def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.0, languages: list[str] | None = None) -> DataFrame:
-    """The rows whose language is known, of the score asked for, and among ``languages`` if given."""
+def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.0, languages: list[str] | None = None, known: bool = False) -> DataFrame:
+    """The rows whose language is known, of the score asked for, among ``languages`` if given, and with ``known`` like its training rows."""
     model = train(df, id_col, text_col, lang_col)
     told = df.withColumn("__gm_p", predict(F.col(text_col), model, df))
     stay = (F.col("__gm_p.lang_pred") != UNKNOWN) & (F.col("__gm_p.score") >= least)
+    stay = stay & (F.col("__gm_p.familiar") >= 0) if known else stay
     stay = stay & F.col("__gm_p.lang_pred").isin(languages) if languages else stay
     return told.where(stay).drop("__gm_p")

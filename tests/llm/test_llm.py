@@ -277,6 +277,28 @@ def test_language(spark, odd, none):
     assert language.keep_identified(odd).columns == odd.columns and language.keep_identified(odd).where("doc_id IN (1, 2)").count() == 0
 
 
+def test_junk_and_unknown_languages_are_rejected(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(7)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    polish = "zażółć gęślą jaźń w szczebrzeszynie chrząszcz brzmi trzcinie przyszedł wczoraj księżyc świeci nad górami jeszcze każdy człowiek może wybrać drogę którą chce iść".split()
+    letters, wide = "abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x4E00, 0x4F00)))
+    make = [
+        lambda: " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(60)),
+        lambda: "".join(chr(rng.randrange(33, 127)) for _ in range(400)),
+        lambda: " ".join("".join(chr(rng.randrange(0x430, 0x450)) for _ in range(rng.randint(2, 9))) for _ in range(60)),
+        lambda: "".join(rng.choices(wide, k=200)),
+        lambda: base64.b64encode(rng.randbytes(300)).decode(),
+        lambda: " ".join(rng.choices(polish, k=60)),
+    ]
+    junk = [(1_000_000 + i, make[i % 6](), None, "junk", 1) for i in range(120)]
+    kept = [r.doc_id for r in cp.language_id(spark, docs.unionByName(spark.createDataFrame(junk, DOCS)), SF).select("doc_id").collect()]
+    assert not [(i, junk[i - 1_000_000][1][:40]) for i in kept if i >= 1_000_000]
+    clean = docs.where(language.held_out(F.col("doc_id"))).select("doc_id")
+    assert len({r.doc_id for r in clean.collect()} - set(kept)) <= 0.01 * clean.count()
+
+
 def test_mixing(spark, odd, none):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"), F.when(F.col("id") % 10 == 0, "a").otherwise("b").alias("source"), F.lit(0).alias("copies"))
     got = {r["source"]: r["n"] for r in mixing.mix(df, weights={"a": 1.0, "b": 1.0}).groupBy("source").agg(F.count("*").alias("n")).collect()}
