@@ -343,6 +343,33 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def planted_paraphrases(spark, share):
+    """(documents, their benchmark, the pairs planted): each item stands in a document with this share of its words replaced, but not of the last five."""
+    rng = random.Random(int(share * 100))
+    items = [r.text.split() for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").orderBy("item_id").limit(200).collect()]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(800).collect()
+    pool = [w for r in docs for w in r.text.split()]
+    rows, want = [(i, r.text) for i, r in enumerate(docs[400:])], set()
+    for n in range(2 * len(items)):
+        item = list(items[n // 2])
+        for k in rng.sample(range(len(item) - 5), int(share * len(item))):
+            item[k] = rng.choice(pool)
+        w = docs[n].text.split() if n < 400 else []
+        at = rng.randrange(len(w) + 1)
+        rows.append((10_000 + n, " ".join(w[:at] + item + w[at:])))
+        want.add((10_000 + n, n // 2))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    return spark.createDataFrame(rows, "doc_id bigint, text string"), bench, want
+
+
+@pytest.mark.parametrize("share", [0.2, 0.4])
+def test_recall_of_paraphrases(spark, share):
+    df, bench, want = planted_paraphrases(spark, share)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()}
+    recall = len(got & want) / len(want)
+    assert recall >= 0.95
+
+
 def test_common_subsequence():
     rng = random.Random(8)
     for _ in range(50):
