@@ -1,8 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences at full stops, question and exclamation marks and line breaks, and long ones further after
-words whose hash says so (on average every ``CUT`` words), so that cuts inside a shared passage don't depend on where it
-begins, and after ``LONGEST`` words at the latest. From each sentence on, the shortest span of at least ``SENTENCES`` sentences and ``WORDS`` words is hashed. Spans
+A text is cut into sentences at full stops, question and exclamation marks and line breaks, and further
+before each word whose hash is the least of some ``WINDOW`` words in a row (winnowing). So each ``WINDOW`` words hold a cut, and
+cuts inside a shared passage depend on no word outside but for its first and last ``WINDOW`` - 1 words: a passage of 49 words
+(3 * ``WINDOW`` - 2 before the span's first cut and after its end, 27 in the span at most) always holds a whole span. From each sentence on, the shortest span of at least ``SENTENCES`` sentences and ``WORDS`` words is hashed. Spans
 are counted over the corpus; the occurrences of repeated spans are ranked by (id, position), and the sentences that any
 occurrence but the first covers are removed.
 
@@ -28,12 +29,33 @@ from pyspark.sql import types as T
 from ._shared import written
 from ._tokens import _R, _power, mixed, word_places
 
-SENTENCES, WORDS, CUT, LONGEST = 3, 20, 10, 16
+SENTENCES, WORDS, WINDOW = 3, 20, 8
 _END = np.zeros(256, np.int64)
 _END[list(b".!?\n\r")] = 1
 PIECE = 1_000_000
 
 
+def _over(x: np.ndarray, of, size: int) -> np.ndarray:
+    """``of`` (minimum or maximum) over each ``size`` values in a row."""
+    have = 1
+    while have < size:
+        step = min(have, size - have)
+        x = of(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def least_of_windows(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether each word's hash is the least of a window of ``WINDOW`` words of its text."""
+    n, w = len(h), WINDOW
+    if n < w:
+        return np.zeros(n, bool)
+    key = mixed(h + np.uint64(13)) | np.uint64(1)
+    least = np.where(doc[: n - w + 1] == doc[w - 1 :], _over(key, np.minimum, w), np.uint64(0))  # 0: a window over the end of a text
+    edge = np.zeros(w - 1, np.uint64)
+    return _over(np.r_[edge, least, edge], np.maximum, w) == key  # no window of a word has a larger minimum than the word itself
+
+
 class Cut:
     """The sentences of some texts: for each its first word, that word's first byte, and its text's number."""
 
@@ -44,10 +66,7 @@ class Cut:
         new = np.ones(n, bool)
         if n > 1:
             marked = ends[start[1:] - 1] > ends[stop[:-1] - 1]
-            cut = (self.h[:-1] >> np.uint64(13)) % np.uint64(CUT) == 0
-            new[1:] = (doc[1:] != doc[:-1]) | marked | cut
-        begun = np.flatnonzero(new)
-        new |= (np.arange(n) - np.repeat(begun, np.diff(np.r_[begun, n]))) % LONGEST == 0
+            new[1:] = (doc[1:] != doc[:-1]) | marked | least_of_windows(self.h, doc)[1:]
         self.first = np.flatnonzero(new)
         self.doc = doc[self.first]
         self.byte = start[self.first] - self.offsets[self.doc]  # within its text

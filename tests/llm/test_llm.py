@@ -343,6 +343,24 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_passages_of_over_50_words_hold_a_span():
+    rng = random.Random(9)
+    gone, missed = [], 0
+    for n in range(400):
+        passage = words(rng, 51, 50_000)
+        if n % 2:  # with marks inside
+            passage = [w + "." * (k > 0 and rng.random() < 0.1) for k, w in enumerate(passage[:-1])] + passage[-1:]
+        texts = [" ".join([*words(rng, rng.randrange(10, 90), 50_000), *passage, *words(rng, rng.randrange(10, 90), 50_000)]) for _ in range(2)]
+        cut = sentences.Cut([t.encode() for t in texts])
+        h, begin, end = cut.spans()
+        first = set(h[cut.doc[begin] == 0].tolist())
+        edge = np.r_[cut.first, cut.words]
+        held = {k for x, a, b in zip(h.tolist(), begin.tolist(), end.tolist(), strict=True) if cut.doc[a] == 1 and x in first for k in range(edge[a], edge[b])}
+        missed += not held
+        gone.append(len(held) / 51)
+    assert not missed and np.mean(gone) > 0.8
+
+
 def planted_paraphrases(spark, share):
     """(documents, their benchmark, the pairs planted): each item stands in a document with this share of its words replaced, but not of the last five."""
     rng = random.Random(int(share * 100))
