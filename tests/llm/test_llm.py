@@ -388,6 +388,14 @@ def test_recall_of_paraphrases(spark, share):
     assert recall >= 0.95
 
 
+@pytest.mark.parametrize("share", [0.0, 0.4])
+def test_recall_with_a_small_index_sample(spark, monkeypatch, share):
+    monkeypatch.setattr(decontaminate, "SPACE_DOCS", 40)  # of 800
+    df, bench, want = planted_paraphrases(spark, share)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_common_subsequence():
     rng = random.Random(8)
     for _ in range(50):
