@@ -58,7 +58,7 @@ def op8_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(_table(spark, sf_dir, "documents"), order=2, least=2)
+    return scores(_table(spark, sf_dir, "documents"), order=3, least=2)
 
 
 def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

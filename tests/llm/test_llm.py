@@ -428,6 +428,13 @@ def test_backoff(spark, odd, none, order):
     assert backoff.scores(none).count() == 0
 
 
+def test_backoff_query_backs_off_twice(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    told = lambda df: Counter((r.doc_id, r.n_words, round(r.log_score, 4)) for r in df.collect())
+    got = told(QUERIES["op9_stupid_backoff"](spark, SF))
+    assert got == told(backoff.scores(docs, order=3)) and got != told(backoff.scores(docs, order=2))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
