@@ -5,19 +5,23 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Unicode white space as a Java class; Java's own class is ASCII, and its Unicode flag leaves out four control characters.
-SPACES = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+SPACE = r"\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = f"[{SPACE}]+"
+#: Runs of white space but for a single blank, which most are and which need no replacement.
+IRREGULAR = f"[{SPACE}&&[^ ]][{SPACE}]*| [{SPACE}]+"
 MASK61 = (1 << 61) - 1
 
 
 def normalize_simple(text: Column) -> Column:
     """White space to single blanks, no blanks at the ends, lower case."""
-    return F.lower(F.trim(F.regexp_replace(text, SPACES, " ")))
+    return F.lower(F.trim(F.regexp_replace(text, IRREGULAR, " ")))
 
 
 def normalize_full(text: Column, lowercase: bool = True, strip_html: bool = True, collapse_whitespace: bool = True) -> Column:
@@ -31,9 +35,9 @@ def normalize_full(text: Column, lowercase: bool = True, strip_html: bool = True
         return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", html.unescape(t) if strip_html else t))
 
     out = F.regexp_replace(text, "<[^>]+>", " ") if strip_html else text
-    out = decoded.asNondeterministic()(out)  # in name only: so that the optimizer doesn't move it into a lambda, where it can't run
+    out = decoded(out)
     out = F.lower(out) if lowercase else out
-    return F.trim(F.regexp_replace(out, SPACES, " ")) if collapse_whitespace else out
+    return F.trim(F.regexp_replace(out, IRREGULAR, " ")) if collapse_whitespace else out
 
 
 def first_text(primary: Column, *fallbacks: Column) -> Column:
@@ -78,13 +82,55 @@ def let(value: Column, body) -> Column:
 
 
 def word_tokens(text: Column) -> Column:
-    """Words of normalised text; the empty text has none."""
-    return F.filter(F.split(text, " "), lambda w: w != "")
+    """Words between blanks; the empty text has none."""
+    return F.array_remove(F.split(text, " "), "")
 
 
 def char_tokens(text: Column) -> Column:
     """Code points."""
-    return F.filter(F.split(text, ""), lambda c: c != "")
+    return F.array_remove(F.split(text, ""), "")
+
+
+def word_count(normalized: Column) -> Column:
+    """The number of words of text in its simple normal form: one more than it has blanks."""
+    return F.when(normalized == "", 0).otherwise(F.length(normalized) - F.length(F.replace(normalized, F.lit(" "), F.lit(""))) + 1)
+
+
+def bpe_tokens(path: str) -> Callable[[Column], Column]:
+    """A tokenizer for ``build_chunks``: the numbers, as text, of a vocabulary file in the JSON form of the ``tokenizers`` library, which executors read at ``path``."""
+
+    def encode(text: Column) -> Column:
+        @F.pandas_udf("array<string>")
+        def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            tokenizer = _tokenizer(path)
+            for texts in batches:
+                yield pd.Series([[str(i) for i in x.ids] for x in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)])
+
+        return of(text)
+
+    return encode
+
+
+def bpe_text(tokens: Column, path: str) -> Column:
+    """The text of numbers that ``bpe_tokens`` has given."""
+
+    @F.pandas_udf("string")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenizer = _tokenizer(path)
+        for rows in batches:
+            yield pd.Series([None if r is None else tokenizer.decode([int(i) for i in r], skip_special_tokens=False) for r in rows])
+
+    return of(tokens)
+
+
+def _tokenizer(path: str):
+    try:
+        from tokenizers import Tokenizer
+    except ImportError as e:
+        raise RuntimeError("subword tokens need the tokenizers library") from e
+    found = Tokenizer.from_file(path)
+    found.encode_special_tokens = True
+    return found
 
 
 def windows(tokens: Column, size: int, stride: int, full_only: bool = False) -> Column:
@@ -95,11 +141,16 @@ def windows(tokens: Column, size: int, stride: int, full_only: bool = False) ->
     def cut(w: Column) -> Column:
         last = F.size(w) - (size if full_only else 1)
         starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride))
-        return F.when(last >= 0, F.transform(starts, lambda i: F.slice(w, i + 1, F.lit(size)))).otherwise(F.expr("CAST(array() AS array<array<string>>)"))
+        return F.when(last >= 0, F.transform(starts, lambda i: F.slice(w, i + 1, F.lit(size)))).otherwise(F.array())
 
     return let(tokens, cut)
 
 
+def runs(tokens: Column, n: Column) -> Column:
+    """Every run of ``n`` tokens, as text."""
+    return let(tokens, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))
+
+
 def word_shingles(tokens: Column, n: int, short: str = "none") -> Column:
     """Distinct n-grams of words. Fewer than n words give the words themselves (``short="words"``) or nothing."""
 

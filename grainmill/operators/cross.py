@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .near import minhash, verified_pairs, with_sets
+from ..tables import written
+from .near import Shingles, band_rows, signed, verified_pairs
 
 
 def exact_overlap(left: DataFrame, right: DataFrame, key: Column) -> DataFrame:
@@ -14,13 +15,32 @@ def exact_overlap(left: DataFrame, right: DataFrame, key: Column) -> DataFrame:
     return left.withColumn("__key", key).join(right.select(key.alias("__key")).distinct(), "__key", "left_semi").drop("__key")
 
 
+def contained(items: DataFrame, texts: DataFrame, text: Column, gate: int = 8) -> DataFrame:
+    """The rows of ``items`` whose words stand in a row in some row of ``texts`` (both in simple normal form, ``text`` of either).
+
+    Texts are searched by the hash of each run of as many words as the shortest item has (``gate`` at most); only where an
+    item begins by that run are the two compared. Items without words are in none.
+    """
+    own = items.withColumn("__item", text).where(F.col("__item") != "").withColumn("__w", X.word_tokens(F.col("__item")))
+    size = min(gate, own.agg(F.min(F.size("__w"))).first()[0] or 1)
+    own = own.withColumn("__run", F.xxhash64(F.array_join(F.slice("__w", 1, size), " ")))
+    runs = texts.select(text.alias("__text")).withColumn("__run", F.explode(F.transform(X.runs(X.word_tokens(F.col("__text")), F.lit(size)), lambda w: F.xxhash64(w))))
+    hit = runs.join(own.select("__run", "__item").distinct(), "__run").where(F.contains(F.concat(F.lit(" "), "__text", F.lit(" ")), F.concat(F.lit(" "), "__item", F.lit(" "))))
+    return own.join(hit.select("__item").distinct(), "__item", "left_semi").drop("__item", "__w", "__run")
+
+
 def near_overlap(left: DataFrame, right: DataFrame, text: Column, length: Column, threshold: float, n: int = 5, num_perm: int = 128, rows: int = 4, seed: int = 7, skip_short: int = 0) -> DataFrame:
-    """(ord) of rows of ``left`` that are like some row of ``right``. Only the left side is gated by length."""
-    a = with_sets(left, text, length, n, "words").where("size(shingles) > 0").persist()
-    b = with_sets(right, text, length, n, "words").where("size(shingles) > 0").persist()
-    keyed = lambda x, name: x.withColumn("signature", minhash(F.col("shingles"), num_perm, seed)).select(F.col("ord").alias(name), F.posexplode(X.band_keys(F.col("signature"), rows, num_perm // rows)).alias("band", "band_key"))
-    pairs = keyed(a.where(F.col("length") >= skip_short), "a").join(keyed(b, "b"), ["band", "band_key"]).select("a", "b").distinct()
-    return verified_pairs(pairs, a.unionByName(b), threshold).select(F.col("a").alias("ord")).distinct()
+    """(ord) of rows of ``left`` that are like some row of ``right``. Only the left side is gated by length. ``ord`` is unique over both sides.
+
+    Rows of equal sets are paired once: a row of each stands for them.
+    """
+    how = Shingles(text, length, n)
+    members = written(signed(left, how, num_perm, seed, rows, skip_short), "members")
+    classes = lambda x, name: band_rows(x.groupBy("key").agg(F.min("ord").alias(name), F.first("bands").alias("bands")), "key", name)
+    pairs = classes(members, "a").join(classes(signed(right, how, num_perm, seed, rows), "b").drop("key"), ["band", "band_key"]).select("a", "b").distinct()
+    some = ["ord", *[c for c in left.columns if c != "ord" and c in right.columns]]
+    like = verified_pairs(pairs, left.select(some).unionByName(right.select(some)), how, threshold).select(F.col("a").alias("ord")).distinct()
+    return members.join(members.join(like, "ord", "left_semi").select("key").distinct(), "key", "left_semi").select("ord")
 
 
 def clean_train(train: DataFrame, other: DataFrame, text: Column, length: Column, threshold: float | None, skip_short: int = 0, **lsh) -> DataFrame:

@@ -1,20 +1,32 @@
 """Near deduplication: MinHash signatures, bands, verified pairs, and the three rules for who goes.
 
 No rule is transitive: a row goes if some verified pair names it as the loser, whether or not the winner goes as well.
+
+One Arrow pass turns texts into signatures (or band keys) without carrying their shingles; the sets themselves are made only
+for rows that take part in a candidate pair. Rows of equal sets are a class: only its best member is paired with other
+classes, so any number of copies makes no pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import itertools
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..tables import written
 
 PRIME = X.MASK61
+PIECE = 1 << 20
 
 
 def permutations(num_perm: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -23,42 +35,125 @@ def permutations(num_perm: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, PRIME, num_perm, np.uint64), rng.integers(0, PRIME, num_perm, np.uint64)
 
 
-def minhash(values: Column, num_perm: int = 128, seed: int = 17) -> Column:
-    """The signature of a set of integers: for each permutation the least (a * x + b mod 2^64) mod (2^61 - 1); PRIME for the empty set.
+def minhash(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The signature of a set of integers: for each permutation the least (a * x + b mod 2^64) mod (2^61 - 1); PRIME for the empty set."""
+    out, prime = np.full(len(a), PRIME, np.uint64), np.uint64(PRIME)
+    for s in range(0, len(x), 512):
+        v = a[:, None] * x[s : s + 512] + b[:, None]
+        v = (v & prime) + (v >> np.uint64(61))  # congruent, and below twice the prime
+        np.minimum(out, np.minimum(v, v - prime).min(axis=1), out=out)  # a difference below zero wraps to a large number
+    return out
+
+
+def sha1_keys(grams: list[bytes]) -> np.ndarray:
+    """The first 8 bytes of each SHA-1."""
+    return np.frombuffer(b"".join([hashlib.sha1(g).digest()[:8] for g in grams]), ">u8").astype(np.uint64)
+
+
+def xxh64_keys(grams: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64)
+
+
+@dataclass(frozen=True)
+class Shingles:
+    """How rows become sets: normalised text, its length, words in a shingle, and what a text of fewer words has (its words, or nothing).
+
+    ``fast`` hashes shingles by XXH64 instead of SHA-1: other candidates by chance, the same statistics.
+    """
+
+    text: Column
+    length: Column
+    n: int = 5
+    short: str = "words"
+    fast: bool = False
+
+    def set_of(self) -> Callable[[bytes], np.ndarray]:
+        n, few, keys = self.n, self.short == "words", xxh64_keys if self.fast else sha1_keys
+
+        def of(raw: bytes) -> np.ndarray:
+            words = [w for w in raw.split(b" ") if w]
+            if len(words) < n:
+                grams = words if few else []
+            else:
+                joined, ends = b" ".join(words), list(itertools.accumulate([len(w) + 1 for w in words]))
+                grams = [joined[s : e - 1] for s, e in zip([0, *ends], ends[n - 1 :], strict=False)]
+            return np.unique(keys(grams) & np.uint64(PRIME))
+
+        return of
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    values = np.concatenate(rows) if rows else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(r) for r in rows])], pa.int32()), pa.array(values.view(np.int64)))
+
+
+def _mapped(rows: DataFrame, fields: list[T.StructField], make: Callable[[list[bytes]], tuple[list[int], list[pa.Array]]]) -> DataFrame:
+    """``rows`` (…, t) without t, and the fields that ``make`` gives for some of them: their numbers in a piece, and the columns."""
+    own = [f for f in rows.schema.fields if f.name != "t"]
 
-    Products wrap at 64 bits, which ANSI arithmetic forbids, so this is an Arrow UDF over whole batches.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(len(own))
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+            first = 0
+            while first < len(texts):
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PIECE, side="right")))
+                at, columns = make([x or b"" for x in texts.slice(first, last - first).to_pylist()])
+                picked = pa.array([first + i for i in at], pa.int64())
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(picked) for i in range(len(own))], *columns], names=[f.name for f in own + fields])
+                first = last
+
+    return rows.mapInArrow(run, T.StructType(own + fields))
+
+
+def signed(df: DataFrame, how: Shingles, num_perm: int = 128, seed: int = 17, rows: int | None = None, skip_short: int = 0, empty: bool = False) -> DataFrame:
+    """(ord, length, key, signature) of rows of ``skip_short`` tokens or more; with ``rows``, bands of so many rows stand for the signature.
+
+    ``key`` is equal for equal sets. Rows of the empty set match nothing and are left out unless ``empty``.
     """
     a, b = permutations(num_perm, seed)
+    set_of, each = how.set_of(), rows
+
+    def make(raws: list[bytes]) -> tuple[list[int], list[pa.Array]]:
+        sets = [(i, x) for i, x in enumerate(map(set_of, raws)) if len(x) or empty]
+        signatures = np.array([minhash(x, a, b) for _, x in sets], np.uint64).reshape(-1, num_perm)
+        shown = signatures if each is None else _bands(signatures, each)
+        return [i for i, _ in sets], [pa.array([xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for _, x in sets], pa.int64()), _lists(list(shown))]
 
-    @F.pandas_udf("array<bigint>")
-    def signature(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for sets in batches:
-            out = np.full((len(sets), num_perm), PRIME, np.uint64)
-            for row, x in zip(out, sets, strict=True):
-                for s in range(0, 0 if x is None else len(x), 4096):
-                    np.minimum(row, ((a[:, None] * np.asarray(x[s : s + 4096]).astype(np.uint64)[None, :] + b[:, None]) % np.uint64(PRIME)).min(axis=1), out=row)
-            yield pd.Series(list(out.astype(np.int64)))
+    some = df.select("ord", how.length.alias("length"), how.text.cast("binary").alias("t")).where(F.col("length") >= skip_short)
+    return _mapped(some, [T.StructField("key", T.LongType()), T.StructField("signature" if rows is None else "bands", T.ArrayType(T.LongType()))], make)
 
-    # not deterministic in name only: so that the optimizer neither repeats it nor moves it into a lambda, where it can't run
-    return signature.asNondeterministic()(values)
 
+def _bands(signatures: np.ndarray, rows: int) -> np.ndarray:
+    """For each band a hash of its rows."""
+    out = np.zeros((len(signatures), signatures.shape[1] // rows), np.uint64)
+    for k in range(rows):
+        out = (out ^ signatures[:, k::rows]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
 
-def fast_minhash(values: Column, num_perm: int = 128, seed: int = 17) -> Column:
-    """The same statistics from another hash family, without leaving the JVM."""
-    seeds = F.sequence(F.lit(seed), F.lit(seed + num_perm - 1))
-    return X.let(values, lambda x: F.transform(seeds, lambda s: F.coalesce(F.array_min(F.transform(x, lambda v: F.xxhash64(v, s))), F.lit(PRIME))))
 
+def shingle_sets(df: DataFrame, how: Shingles) -> DataFrame:
+    """(ord, length, shingles) of all rows."""
+    set_of = how.set_of()
+    make = lambda raws: (list(range(len(raws))), [_lists([set_of(x) for x in raws])])
+    return _mapped(df.select("ord", how.length.alias("length"), how.text.cast("binary").alias("t")), [T.StructField("shingles", T.ArrayType(T.LongType()))], make)
 
-def candidate_pairs(signed: DataFrame, rows: int, bands: int, *extra: str) -> DataFrame:
-    """Distinct pairs (a, b) with a < b that share a band; only ids (column ``ord``) and ``extra`` columns take part."""
-    keyed = signed.select("ord", *extra, F.posexplode(X.band_keys(F.col("signature"), rows, bands)).alias("band", "band_key"))
-    left = keyed.select("band", "band_key", F.col("ord").alias("a"), *[F.col(c).alias(f"{c}_a") for c in extra])
-    right = keyed.select("band", "band_key", F.col("ord").alias("b"), *[F.col(c).alias(f"{c}_b") for c in extra])
-    return left.join(right, ["band", "band_key"]).where("a < b").drop("band", "band_key").distinct()
 
+def band_rows(rows: DataFrame, *columns: str) -> DataFrame:
+    """(…, band, band_key): a row for each band of ``rows``."""
+    return rows.select(*columns, F.posexplode("bands").alias("band", "band_key"))
 
-def verified_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose true Jaccard similarity is at least ``threshold``. Sets too different in size are left before they are compared."""
+
+def candidate_pairs(banded: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) with a < b that share a band; only ids (column ``ord``) take part."""
+    keyed = band_rows(banded, "ord")
+    both = keyed.withColumnRenamed("ord", "a").join(keyed.withColumnRenamed("ord", "b"), ["band", "band_key"])
+    return both.where("a < b").select("a", "b").distinct()
+
+
+def compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs whose Jaccard similarity is at least ``threshold``. Sets too different in size are left before they are compared."""
     s = lambda side: sets.select(F.col("ord").alias(side), F.col("shingles").alias(f"s_{side}"), F.col("length").alias(f"len_{side}"))
     both = pairs.join(s("a"), "a").join(s("b"), "b")
     small, large = F.least(F.size("s_a"), F.size("s_b")), F.greatest(F.size("s_a"), F.size("s_b"))
@@ -66,30 +161,32 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataF
     return both.withColumn("jaccard", X.jaccard(F.col("s_a"), F.col("s_b"))).where(F.col("jaccard") >= threshold).drop("s_a", "s_b")
 
 
-def losers(pairs: DataFrame, rule: str) -> DataFrame:
-    """Who goes: ``longer`` keeps the longer of a pair, the earlier of equals; ``earlier`` keeps the earlier."""
-    loser = F.when(F.col("len_b") > F.col("len_a"), F.col("a")).otherwise(F.col("b")) if rule == "longer" else F.col("b")
-    return pairs.select(loser.alias("ord")).distinct()
-
-
-def with_sets(df: DataFrame, text: Column, length: Column, n: int, short: str) -> DataFrame:
-    """(ord, length, shingles): hashed word shingles."""
-    words = X.word_tokens(text)
-    return df.select("ord", length.alias("length"), F.transform(X.word_shingles(words, n, short), X.sha1_61).alias("shingles"))
+def verified_pairs(pairs: DataFrame, df: DataFrame, how: Shingles, threshold: float) -> DataFrame:
+    """(a, b, len_a, len_b, jaccard): the candidate pairs that are as similar as asked for. Sets are made for rows of a pair only."""
+    pairs = written(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("ord")).unionByName(pairs.select(F.col("b").alias("ord"))).distinct()
+    return compared(pairs, written(shingle_sets(df.join(ends, "ord", "left_semi"), how), "sets"), threshold)
 
 
 def near_losers(df: DataFrame, text: Column, length: Column, threshold: float, n: int = 5, num_perm: int = 128, rows: int = 4, seed: int = 17, rule: str = "longer", short: str = "words", skip_short: int = 0, exact: bool = True) -> DataFrame:
     """(ord) of the rows of ``df`` that go. ``ord`` is a column that orders the rows totally.
 
+    ``longer`` keeps the longer of a pair, the earlier of equals; ``earlier`` keeps the earlier. Both rules rank rows, and a row
+    goes if one of its own class or of a similar class ranks before it: so a class is compared by its best member.
     Rows below ``skip_short`` tokens aren't banded. Rows with the empty set match nothing, so they aren't either.
     """
     if num_perm % rows:
         raise ValueError("the number of permutations must be a multiple of the rows of a band")
-    sets = with_sets(df, text, length, n, short).where("size(shingles) > 0").persist()
-    sign = minhash if exact else fast_minhash
-    signed = sets.where(F.col("length") >= skip_short).withColumn("signature", sign(F.col("shingles"), num_perm, seed))
-    pairs = candidate_pairs(signed.select("ord", "signature"), rows, num_perm // rows)
-    return losers(verified_pairs(pairs, sets, threshold), rule)
+    how = Shingles(text, length, n, short, not exact)
+    rank = F.struct((-F.col("length")).alias("less"), "ord") if rule == "longer" else F.struct("ord")
+    members = written(signed(df, how, num_perm, seed, rows, skip_short).withColumn("rank", rank), "members")
+    classes = written(members.groupBy("key").agg(F.min("rank").alias("best"), F.first("bands").alias("bands")), "classes")
+    keyed = band_rows(classes, "best")
+    both = keyed.withColumnRenamed("best", "x").join(keyed.withColumnRenamed("best", "y"), ["band", "band_key"]).where("x < y")
+    pairs = both.select(F.col("x.ord").alias("a"), F.col("y.ord").alias("b")).distinct()
+    beaten = verified_pairs(pairs, df, how, threshold).select(F.col("b").alias("ord")).distinct().withColumn("beaten", F.lit(True))
+    whole = classes.select("key", "best", F.col("best.ord").alias("ord")).join(beaten, "ord", "left").select("key", "best", "beaten")
+    return members.join(whole, "key").where((F.col("rank") != F.col("best")) | F.col("beaten")).select("ord")
 
 
 def manifest_near(chunks: DataFrame, threshold: float = 0.85, num_perm: int = 128, seed: int = 1337, bands: int = 4) -> DataFrame:
@@ -97,15 +194,53 @@ def manifest_near(chunks: DataFrame, threshold: float = 0.85, num_perm: int = 12
 
     All chunks are banded, pairs of equal hash are passed over, and the later hash of a pair goes. As this works on hashes,
     A B A with A like B loses both contents; chunks of up to 32 characters have empty sets, which all match one another.
+
+    Chunks of equal signatures are a class. A hash goes if a class that is like one of its own (or the same) holds another hash
+    at an earlier place than its last one there: for that, the two first hashes of each class are enough.
     """
-    own = chunks.withColumn("ord", F.struct("doc_id", "position")).withColumn("hash", X.xxh64_hex(F.col("text")))
-    own = own.withColumn("shingles", F.transform(X.char_shingles(F.col("text")), X.sha1_signed64)).persist()
-    signed = own.withColumn("signature", minhash(F.col("shingles"), num_perm, seed)).select("ord", "hash", "signature").persist()
-    pairs = candidate_pairs(signed, num_perm // bands, bands, "hash").where("hash_a <> hash_b")
-    s = lambda side: signed.select(F.col("ord").alias(side), F.col("signature").alias(f"s_{side}"))
-    gone = pairs.join(s("a"), "a").join(s("b"), "b").where(X.signature_similarity(F.col("s_a"), F.col("s_b")) >= threshold).select(F.col("hash_b").alias("hash")).distinct()
-    first = own.groupBy("hash").agg(F.min("ord").alias("first"))
-    marked = own.join(first, "hash").join(gone.withColumn("near", F.lit(True)), "hash", "left")
+    a, b = permutations(num_perm, seed)
+
+    def make(raws: list[bytes]) -> tuple[list[int], list[pa.Array]]:
+        signatures = np.array([minhash(np.unique(sha1_keys(char_grams(x.decode()))), a, b) for x in raws], np.uint64).reshape(-1, num_perm)
+        return list(range(len(raws))), [
+            pa.array([xxhash.xxh64_hexdigest(x) for x in raws], pa.string()),
+            pa.array([xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in signatures], pa.int64()),
+            _lists(list(signatures)),
+            _lists(list(_bands(signatures, num_perm // bands))),
+        ]
+
+    numbers = T.ArrayType(T.LongType())
+    own = chunks.select(F.struct("doc_id", "position").alias("ord"), F.col("text").cast("binary").alias("t"))
+    own = written(_mapped(own, [T.StructField("hash", T.StringType()), T.StructField("key", T.LongType()), T.StructField("signature", numbers), T.StructField("bands", numbers)], make), "signed")
+    classes = written(own.groupBy("key").agg(F.first("signature").alias("signature"), F.first("bands").alias("bands")), "classes")
+    keyed = band_rows(classes, "key")
+    pairs = keyed.withColumnRenamed("key", "x").join(keyed.withColumnRenamed("key", "y"), ["band", "band_key"]).select("x", "y").distinct()
+    side = lambda name: classes.select(F.col("key").alias(name), F.col("signature").alias(f"s_{name}"))
+    like = pairs.join(side("x"), "x").join(side("y"), "y").where(X.signature_similarity(F.col("s_x"), F.col("s_y")) >= threshold).select("x", "y")
+
+    held = written(own.groupBy("key", "hash").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")), "held")
+    first = held.groupBy("key").agg(F.min(F.struct("lo", "hash")).alias("one"))
+    second = held.join(first, "key").where(F.col("hash") != F.col("one.hash")).groupBy("key").agg(F.min(F.struct("lo", "hash")).alias("two"))
+    firsts = first.join(second, "key", "left").withColumnRenamed("key", "x")
+    other = F.when(F.col("one.hash") != F.col("hash"), F.col("one.lo")).otherwise(F.col("two.lo"))
+    gone = held.withColumnRenamed("key", "y").join(like, "y").join(firsts, "x").where(other < F.col("hi")).select("hash").distinct()
+
+    marked = own.join(own.groupBy("hash").agg(F.min("ord").alias("first")), "hash").join(gone.withColumn("near", F.lit(True)), "hash", "left")
     kept = (F.col("ord") == F.col("first")) & F.col("near").isNull()
     reason = F.when(F.col("ord") != F.col("first"), "duplicate").when(F.col("near"), "near_duplicate")
-    return marked.select(X.manifest_chunk_id(F.col("doc_id"), F.col("position")).alias("id"), "hash", kept.alias("kept"), reason.alias("reason"))
+    return marked.select(X.manifest_chunk_id(F.col("ord.doc_id"), F.col("ord.position")).alias("id"), "hash", kept.alias("kept"), reason.alias("reason"))
+
+
+def char_grams(text: str, size: int = 32, step: int = 4) -> list[bytes]:
+    """Character windows that begin before the last ``size`` characters; texts up to ``size`` have none."""
+    return [text[i : i + size].encode() for i in range(0, len(text) - size, step)]
+
+
+def profile(df: DataFrame, text: Column, length: Column, threshold: float, n: int = 5, num_perm: int = 128, rows: int = 4, seed: int = 17) -> DataFrame:
+    """One row: band entries, candidate pairs, and rows that a verified pair drops (the later of each)."""
+    how = Shingles(text, length, n)
+    banded = written(signed(df, how, num_perm, seed, rows), "banded")
+    pairs = written(candidate_pairs(banded), "candidates")
+    gone = verified_pairs(pairs, df, how, threshold).agg(F.countDistinct("b").alias("drops"))
+    ops = banded.agg((F.count("*") * (num_perm // rows)).alias("bucket_ops"))
+    return ops.crossJoin(pairs.agg(F.count("*").alias("candidates"))).crossJoin(gone)  # one row each

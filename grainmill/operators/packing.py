@@ -5,11 +5,11 @@ from __future__ import annotations
 import random
 import string
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .chunks import running_offset
+from .chunks import running_offset, tokens_before
 
 
 def canary_phrases(n: int, length: int = 24, prefix: str = "CANARY", seed: int = 116) -> list[str]:
@@ -39,17 +39,24 @@ def canary_recall(generated: DataFrame) -> DataFrame:
     return generated.agg(F.coalesce(F.sum(hit), F.lit(0)).cast("bigint").alias("hits"), (F.coalesce(F.sum(hit), F.lit(0)) / F.greatest(F.lit(1), F.count("*"))).alias("recall"))
 
 
-def packed(chunks: DataFrame, limit: int | None = None, order: str = "doc_id") -> DataFrame:
+def packed(chunks: DataFrame, limit: int | None = None, offsets: DataFrame | None = None, size: int = 0, stride: int = 0) -> DataFrame:
     """(…, offset, take): where each chunk starts in the stream of all tokens with one closing token each, and how many of its
-    tokens (the closing one included) come before ``limit``. Offsets are running sums by document, then by position."""
-    from pyspark.sql import Window
+    tokens (the closing one included) come before ``limit``. The order is that of (doc_id, position).
 
+    Offsets are running sums by document, then by position. For the whole chunks of documents they follow from ``offsets``
+    (of ``document_offsets``, with the same ``size`` and ``stride``) by arithmetic; for any other table of chunks they are summed up.
+    """
     own = chunks.withColumn("__size", F.col("length").cast("bigint") + 1)
-    docs = running_offset(own.groupBy(order).agg(F.sum("__size").alias("__doc")), order, "__doc").select(order, F.col("offset").alias("__start"))
-    inside = F.coalesce(F.sum("__size").over(Window.partitionBy(order).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = own.withColumn("__inside", inside).join(docs, order).withColumn("offset", F.col("__start") + F.col("__inside"))
+    if offsets is not None:
+        docs = offsets.select("doc_id", F.col("tokens_before").alias("__start"), "n_tokens")
+        inside = tokens_before(F.col("n_tokens"), F.col("position").cast("bigint"), size, stride) + F.col("position")
+        out = own.join(docs, "doc_id").withColumn("offset", F.col("__start") + inside).drop("n_tokens", "__start")
+    else:
+        docs = running_offset(own.groupBy("doc_id").agg(F.sum("__size").alias("n")), ["doc_id"], ["n"]).select("doc_id", F.col("before_n").alias("__start"))
+        inside = F.coalesce(F.sum("__size").over(Window.partitionBy("doc_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        out = own.withColumn("__inside", inside).join(docs, "doc_id").withColumn("offset", F.col("__start") + F.col("__inside")).drop("__start", "__inside")
     take = F.col("__size") if not limit else F.least(F.col("__size"), F.lit(limit) - F.col("offset"))
-    return out.withColumn("take", take).where("take > 0").drop("__size", "__start", "__inside")
+    return out.withColumn("take", take).where("take > 0").drop("__size")
 
 
 def sliding_windows(tokens: Column, block: int) -> Column:

@@ -35,6 +35,12 @@ def random_k(df: DataFrame, k: int, id_col: str = "doc_id", seed: int = 0) -> Da
     return df.orderBy(hash_order(F.col(id_col), seed), id_col).limit(k)
 
 
+def epochs(df: DataFrame, n: int, *ids: str, seed: int = 0) -> DataFrame:
+    """``n`` passes over ``df`` (column ``epoch``), each in an order of its own by hash (column ``place``, to sort by within an epoch)."""
+    out = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return out.withColumn("place", F.sha1(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), *[F.col(c).cast("string") for c in ids]).cast("binary")))
+
+
 def batches(df: DataFrame, rank: str, size: int, item: str) -> DataFrame:
     """(batch, items): runs of ``size`` rows in the order of a rank from 0."""
     return df.groupBy(F.floor(F.col(rank) / size).alias("batch")).agg(F.transform(F.array_sort(F.collect_list(F.struct(rank, item))), lambda x: x[item]).alias("items"))

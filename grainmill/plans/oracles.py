@@ -45,7 +45,7 @@ _JACCARD = """sz AS (SELECT doc_id, any_value(words) AS words, count(*) AS k FRO
     p AS (SELECT a, b, shared / (x.k + y.k - shared) AS jaccard, x.words AS len_a, y.words AS len_b FROM sh2 JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE shared / (x.k + y.k - shared) >= 0.7)"""
 _LONGER = "CASE WHEN len_b > len_a THEN a ELSE b END"
 
-_A, _B = permutations(16, 17)
+_A, _B = permutations(128, 17)
 _PERMS = ", ".join(f"({i}, {a}::UBIGINT, {b}::UBIGINT)" for i, (a, b) in enumerate(zip(_A.tolist(), _B.tolist(), strict=True)))
 _SIG = f"""{_SETS}, pm(i, a, b) AS (VALUES {_PERMS}),
     hs AS (SELECT doc_id, {_hash64('g')} & 2305843009213693951 AS v FROM sets),
@@ -66,7 +66,7 @@ def _like(left: str, right: str) -> str:
         GROUP BY x.doc_id, x.k, y.doc_id, y.k) WHERE shared / (ka + kb - shared) >= 0.7"""
 
 
-_CURVES = "(VALUES ('base', 3e9, 50.0), ('base', 6e9, 40.0), ('base', 9e9, 36.0), ('dedup', 3e9, 48.0), ('dedup', 6e9, 38.0), ('dedup', 9e9, 38.0)) c(curve, tokens, metric)"
+_CURVES = "(VALUES ('base', 3e9, 50.0), ('base', 6e9, 40.0), ('base', 9e9, 36.0), ('other', 3e9, 48.0), ('other', 6e9, 38.0), ('other', 9e9, 38.0)) c(curve, tokens, metric)"
 _CROSS = f"""g AS (SELECT curve, tokens, metric, lead(tokens) OVER w AS t1, lead(metric) OVER w AS m1 FROM {_CURVES} WINDOW w AS (PARTITION BY curve ORDER BY tokens)),
     x AS (SELECT curve, target, arg_min(CASE WHEN metric = m1 THEN tokens ELSE tokens + (target - metric) / (m1 - metric) * (t1 - tokens) END, tokens) AS tokens
           FROM g, (VALUES (45.0::DOUBLE), (40.0), (38.0)) t(target) WHERE t1 IS NOT NULL AND ((metric >= target AND m1 <= target) OR (metric <= target AND m1 >= target)) GROUP BY ALL)"""
@@ -77,6 +77,23 @@ _OPTIONS = "o AS (SELECT event_id // 4 AS item, event_id % 4 AS option, CAST(flo
 _RANK = "row_number() OVER (ORDER BY sha1({key}), doc_id) - 1"
 
 
+def _manifest_near() -> str:
+    """Chunks of equal or similar signatures of character shingles; of two different texts the later one goes."""
+    a, b = permutations(128, 1337)
+    perms = ", ".join(f"({i}, {x}::UBIGINT, {y}::UBIGINT)" for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)))
+    return f"""WITH {_cut(128, 128, 32, full=True)}, r AS (SELECT *, row_number() OVER (ORDER BY doc_id, position) AS k, min((doc_id, position)) OVER (PARTITION BY text) = (doc_id, position) AS first FROM c),
+        g AS (SELECT k, unnest(list_distinct([substr(text, i + 1, 32) FOR i IN range(0, length(text) - 32, 4)])) AS g FROM r),
+        h AS (SELECT k, {_hash64('g')} AS v FROM g), pm(i, a, b) AS (VALUES {perms}),
+        mh AS (SELECT k, i, min((((a::HUGEINT * v) % 18446744073709551616 + b::HUGEINT) % 18446744073709551616) % 2305843009213693951) AS m FROM h, pm GROUP BY k, i),
+        al AS (SELECT r.k, pm.i, coalesce(m, 2305843009213693951) AS m FROM r CROSS JOIN pm LEFT JOIN mh ON mh.k = r.k AND mh.i = pm.i),
+        bk AS (SELECT k, i // 32 AS band, string_agg(m, ',' ORDER BY i) AS rows FROM al GROUP BY ALL),
+        cp AS (SELECT DISTINCT x.k AS a, y.k AS b FROM bk x JOIN bk y ON x.band = y.band AND x.rows = y.rows AND x.k < y.k),
+        ok AS (SELECT cp.a, cp.b FROM cp JOIN r x ON x.k = cp.a JOIN r y ON y.k = cp.b JOIN al p ON p.k = cp.a JOIN al q ON q.k = cp.b AND q.i = p.i WHERE x.text <> y.text GROUP BY cp.a, cp.b HAVING count(*) FILTER (p.m = q.m) / 128 >= 0.85),
+        gone AS (SELECT DISTINCT text FROM r JOIN ok ON ok.b = r.k)
+        SELECT 'chunk:' || doc_id || ':' || position AS id, first AND text NOT IN (SELECT text FROM gone) AS kept,
+               CASE WHEN NOT first THEN 'duplicate' WHEN text IN (SELECT text FROM gone) THEN 'near_duplicate' END AS reason FROM r"""
+
+
 def _recipe() -> str:
     """Recipe counts: exact copies within a split, near copies by brute force, then what validation and test share with training."""
     gram = "CASE WHEN len(tokens) >= 5 THEN list_distinct([array_to_string(tokens[i : i + 4], ' ') FOR i IN range(1, len(tokens) - 3)]) ELSE list_distinct(tokens) END"
@@ -133,6 +150,8 @@ ORACLE: dict[str, str] = {
     "band_keys": f"WITH {_FIRST}, {_SIG}, {_BANDS} SELECT doc_id, band, rows FROM bk",
     "lsh_candidates": f"WITH {_FIRST}, {_SIG}, {_BANDS}, {_CAND} SELECT a, b FROM cp",
     "profile_lsh": f"WITH {_FIRST}, {_SIG}, {_BANDS}, {_CAND} SELECT (SELECT count(*) FROM bk) AS bucket_ops, (SELECT count(*) FROM cp) AS candidates",
+    "profile_near": f"WITH {_FIRST}, {_SIG}, {_BANDS}, {_CAND}, {_JACCARD} SELECT (SELECT count(*) FROM bk) AS bucket_ops, (SELECT count(*) FROM cp) AS candidates, (SELECT count(DISTINCT b) FROM p SEMI JOIN cp USING (a, b)) AS drops",
+    "near_dedup_manifest": _manifest_near(),
     "jaccard_pairs": f"WITH {_FIRST}, {_SETS}, {_JACCARD} SELECT a, b, round(jaccard, 9) AS jaccard FROM p",
     "near_dedup_mem": f"WITH {_FIRST}, {_SETS}, {_JACCARD} SELECT doc_id FROM u WHERE doc_id NOT IN (SELECT {_LONGER} FROM p)",
     "near_dedup_fast": f"WITH {_FIRST}, {_SETS}, {_JACCARD} SELECT DISTINCT {_LONGER} AS doc_id FROM p",
@@ -141,7 +160,8 @@ ORACLE: dict[str, str] = {
     "cross_split_exact": f"WITH {_DS} SELECT doc_id FROM n WHERE split = 'train' AND t IN (SELECT t FROM n WHERE split = 'val')",
     "cross_split_near": f"WITH {_DS}, tr AS (SELECT * FROM d WHERE split = 'train'), va AS (SELECT * FROM d WHERE split = 'val') SELECT a AS doc_id FROM ({_like('tr', 'va')})",
     "cross_split_sequential": f"WITH {_DS}, tr AS (SELECT * FROM d WHERE split = 'train'), ev AS (SELECT * FROM d WHERE split <> 'train') SELECT doc_id FROM tr WHERE t NOT IN (SELECT t FROM ev) AND doc_id NOT IN (SELECT a FROM ({_like('tr', 'ev')}))",
-    "benchmark_overlap": f"WITH {_N} SELECT sha1({_norm()}) AS hash FROM benchmark WHERE {_norm()} IN (SELECT t FROM n)",
+    "benchmark_overlap": f"WITH {_N}, b AS (SELECT item_id, {_norm()} AS t FROM benchmark) SELECT sha1(t) AS hash FROM b WHERE EXISTS (SELECT 1 FROM n WHERE contains(' ' || n.t || ' ', ' ' || b.t || ' '))",
+    "drop_hash_files": f"WITH {_DS} SELECT split, sha1(t) AS hash FROM n WHERE split <> 'train' AND t IN (SELECT t FROM n WHERE split = 'train')",
     "cross_drop_list": f"WITH {_DS} SELECT sha1(t) AS hash FROM n WHERE split <> 'train' AND t IN (SELECT t FROM n WHERE split = 'train')",
     "split_fractions": f"""WITH r AS (SELECT doc_id, {_RANK.format(key='CAST(doc_id AS VARCHAR)')} AS r, count(*) OVER () AS n FROM documents)
         SELECT doc_id, CASE WHEN r < greatest(1, floor(n * 0.9::DOUBLE)) THEN 'train' WHEN r < greatest(1, floor(n * 0.9::DOUBLE)) + greatest(1, floor(n * 0.05::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM r""",
@@ -162,7 +182,9 @@ ORACLE: dict[str, str] = {
     "percentiles": "SELECT event_type, quantile_disc(value, 0.5) AS value, 0.5::DOUBLE AS p FROM events GROUP BY event_type UNION ALL SELECT event_type, quantile_disc(value, 0.9), 0.9 FROM events GROUP BY event_type UNION ALL SELECT event_type, quantile_disc(value, 0.99), 0.99 FROM events GROUP BY event_type",
     "run_summary": "SELECT 'run' || user_id % 5 AS run, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",
     "curve_interpolation": f"WITH {_CROSS} SELECT curve, target, round(tokens, 3) AS tokens FROM x",
-    "data_equivalent_factor": f"WITH {_CROSS} SELECT round(a.tokens / b.tokens, 9) AS factor FROM x a, x b WHERE a.curve = 'base' AND b.curve = 'dedup' AND a.target = 40 AND b.target = 40",
+    "data_equivalent_factor": f"WITH {_CROSS} SELECT round(a.tokens / b.tokens, 9) AS factor FROM x a, x b WHERE a.curve = 'base' AND b.curve = 'other' AND a.target = 40 AND b.target = 40",
+    "directory_analysis": "SELECT CASE WHEN event_id % 2 = 1 THEN 'odd' ELSE 'even' END AS directory, round(avg(value), 8) AS mean, round(1.96::DOUBLE * stddev_samp(value) / sqrt(count(value)), 8) AS ci, count(value) AS n FROM events GROUP BY 1",
+    "epochs": "SELECT conv_id, turn, epoch, sha1('0|' || epoch || '|' || conv_id || '|' || turn) AS place FROM conversations, range(3) t(epoch)",
     "hash_shuffle": "SELECT doc_id, row_number() OVER (ORDER BY sha1('13|' || doc_id), doc_id) - 1 AS rank FROM documents",
     "reservoir_sample": "SELECT event_id, value FROM events ORDER BY sha1(CAST(event_id AS VARCHAR)), event_id LIMIT 200",
     "random_k": "SELECT doc_id FROM documents ORDER BY sha1('3|' || doc_id), doc_id LIMIT 50",
@@ -179,7 +201,24 @@ ORACLE: dict[str, str] = {
     "split_lists": f"""WITH r AS (SELECT doc_id, {_RANK.format(key='CAST(doc_id AS VARCHAR)')} AS r, count(*) OVER () AS n FROM documents),
         s AS (SELECT doc_id, CASE WHEN r < greatest(1, floor(n * 0.9::DOUBLE)) THEN 'train' WHEN r < greatest(1, floor(n * 0.9::DOUBLE)) + greatest(1, floor(n * 0.05::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM r)
         SELECT split, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS id_sum FROM s GROUP BY split""",
+    "scan_formats": f"""WITH {_N}, x AS (SELECT sha1(replace(replace(t, '\\', ''), '"', '')) AS digest FROM n WHERE replace(replace(t, '\\', ''), '"', '') <> '')
+        SELECT digest, count(*) AS n, format FROM x, (VALUES ('json'), ('csv'), ('text')) f(format) GROUP BY ALL""",
+    "scan_shuffled": "SELECT doc_id, lang FROM documents WHERE text <> '' ORDER BY sha1('13|' || doc_id), doc_id LIMIT 100",
+    "jsonl_texts": "SELECT sha1(text) AS digest FROM documents",
+    "shard_set_metadata": f"WITH {_S}, z AS (SELECT *, {_hash64('text')} AS h FROM sh) SELECT CAST(shard_id AS INTEGER) AS shard_id, CAST(local_index AS INTEGER) AS local_index, {_SIGNED} AS exact_hash FROM z",
+    "shard_set_shingles": f"""WITH {_S}, z AS (SELECT shard_id, local_index, tokens AS w FROM sh), g AS (SELECT shard_id, local_index, {_GRAMS.format(short='CAST([] AS VARCHAR[])')} AS g FROM z)
+        SELECT CAST(shard_id AS INTEGER) AS shard_id, CAST(local_index AS INTEGER) AS local_index, len(g) AS n, array_to_string(list_sort([CAST({_hash64('x')} & 2305843009213693951 AS BIGINT) FOR x IN g]), ',') AS shingles FROM g""",
+    "shard_set_manifest": f"WITH {_S} SELECT CAST(sum(sum(length)) OVER () AS BIGINT) AS total_tokens, shard_id, count(*) AS chunk_count, CAST(sum(length) AS BIGINT) AS token_count, 'shard_id=' || shard_id AS folder FROM sh GROUP BY shard_id",
+    "metadata_strata": "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, scan FROM documents, (VALUES ('parquet'), ('csv')) s(scan) GROUP BY ALL",
     "recipe_summary": _recipe(),
     "stream_exact_dedup": f"WITH {_N} SELECT DISTINCT sha1(t) AS key FROM n",
+    "stream_exact_within": "SELECT DISTINCT event_type || ' ' || user_id AS text FROM events",
+    "stream_near_dedup": f"WITH {_D}, u AS (SELECT * FROM d), {_SETS}, {_JACCARD} SELECT doc_id FROM n WHERE doc_id NOT IN (SELECT b FROM p)",
+    "stream_first_seen": "SELECT source AS key, min(doc_id) AS first, count(*) AS seen FROM documents GROUP BY source",
+    "event_sliding": """WITH h AS (SELECT *, epoch(ts) AS s FROM events), w AS (SELECT CAST(floor(s / 10800) AS BIGINT) * 10800 - 10800 * k AS st, event_type, value FROM h, range(2) t(k))
+        SELECT strftime(make_timestamp(st * 1000000), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2""",
+    "event_sessions": """WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 8 HOUR, true) AS new FROM events),
+        s AS (SELECT *, sum(CAST(new AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
+        SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n FROM s GROUP BY user_id, k""",
     "event_hours": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import analysis, chunks, cross, exact, near, packing, sampling, splits
 from ..sources import readers, sinks
+from ..streaming import duplicates as streams
+from ..tables import new_path, spread, written
 from . import recipes
-from .config import DedupSettings, NearSettings, Recipe, Settings
+from .config import Settings, settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -27,7 +28,7 @@ def query(f: Callable) -> Callable:
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _docs(spark, d):
@@ -51,7 +52,7 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def _sharded(spark, d) -> DataFrame:
-    return chunks.assign_shards(_chunks(spark, d), 100).withColumn("exact_hash", X.sha1_signed64(F.col("text")))
+    return chunks.sharded_chunks(_docs(spark, d), 100, SIZE, SIZE, LEAST).withColumn("exact_hash", X.sha1_signed64(F.col("text")))
 
 
 def _split_docs(spark, d) -> DataFrame:
@@ -62,7 +63,8 @@ def _split_docs(spark, d) -> DataFrame:
 
 def _ord(df: DataFrame) -> DataFrame:
     """Normalised text and its length in words, in the order of doc_id."""
-    return df.select("doc_id", F.col("doc_id").alias("ord"), _norm().alias("t"), F.size(_words()).alias("length"), *[c for c in ("split",) if c in df.columns])
+    own = df.select("doc_id", F.col("doc_id").alias("ord"), _norm().alias("t"), *[c for c in ("split",) if c in df.columns])
+    return own.withColumn("length", X.word_count(F.col("t")))
 
 
 def _distinct(df: DataFrame) -> DataFrame:
@@ -181,7 +183,7 @@ def chunk_stats(spark, d):
 
 @query
 def shard_assignment(spark, d):
-    return _sharded(spark, d).select("chunk_id", "shard_id", "local_index", "length", "exact_hash")
+    return chunks.assign_shards(_chunks(spark, d), 100).withColumn("exact_hash", X.sha1_signed64(F.col("text"))).select("chunk_id", "shard_id", "local_index", "length", "exact_hash")
 
 
 @query
@@ -240,33 +242,35 @@ def exact_dup_counts(spark, d):
 # near -------------------------------------------------------------------------------------------
 
 
-@query
-def minhash_signature(spark, d):
-    s = near.with_sets(_ord(_docs(spark, d)), F.col("t"), F.col("length"), 5, "words")
-    sig = near.minhash(F.col("shingles"), 16, 17)
-    return s.select(F.col("ord").alias("doc_id"), F.array_join(sig, ",").alias("signature"))
+def _how(**kw) -> near.Shingles:
+    """Normalised text (column t) and its length, as near queries take them."""
+    return near.Shingles(F.col("t"), F.col("length"), **kw)
 
 
-def _signed(spark, d) -> DataFrame:
-    s = near.with_sets(_distinct(_ord(_docs(spark, d))), F.col("t"), F.col("length"), 5, "words").where("size(shingles) > 0").persist()
-    return s.select("ord", near.minhash(F.col("shingles"), 16, 17).alias("signature"))
+@query
+def minhash_signature(spark, d):
+    return near.signed(_ord(_docs(spark, d)), _how(), empty=True).select(F.col("ord").alias("doc_id"), F.array_join("signature", ",").alias("signature"))
 
 
 @query
 def band_keys(spark, d):
-    bands = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: F.array_join(F.slice("signature", b * 4 + 1, F.lit(4)), ","))
-    return _signed(spark, d).select(F.col("ord").alias("doc_id"), F.posexplode(bands).alias("band", "rows")).withColumn("band", F.col("band").cast("bigint"))
+    """The rows of each band as text; that their hash, the library's key, is equal where they are is checked on the way."""
+    s = near.signed(_distinct(_ord(_docs(spark, d))), _how())
+    bands = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.array_join(F.slice("signature", b * 4 + 1, F.lit(4)), ","))
+    rows = s.select(F.col("ord").alias("doc_id"), F.posexplode(F.arrays_zip(bands.alias("rows"), X.band_keys(F.col("signature"), 4, 32).alias("key"))).alias("band", "b"))
+    names = rows.groupBy("band", "b.rows").agg(F.min("b.key").alias("lo"), F.max("b.key").alias("hi")).where("lo = hi").drop("hi")
+    found = rows.select("doc_id", "band", F.col("b.key").alias("lo")).join(names, ["band", "lo"])
+    return found.select("doc_id", F.col("band").cast("bigint").alias("band"), "rows")
 
 
 @query
 def lsh_candidates(spark, d):
-    return near.candidate_pairs(_signed(spark, d).persist(), 4, 4)
+    return near.candidate_pairs(near.signed(_distinct(_ord(_docs(spark, d))), _how(), rows=4))
 
 
 def _pairs(spark, d, threshold=NEAR) -> DataFrame:
-    sets = near.with_sets(_distinct(_ord(_docs(spark, d))), F.col("t"), F.col("length"), 5, "words").where("size(shingles) > 0").persist()
-    signed = sets.withColumn("signature", near.minhash(F.col("shingles"))).select("ord", "signature")
-    return near.verified_pairs(near.candidate_pairs(signed, 4, 32), sets, threshold)
+    x = _distinct(_ord(_docs(spark, d)))
+    return near.verified_pairs(near.candidate_pairs(near.signed(x, _how(), rows=4)), x, _how(), threshold)
 
 
 @query
@@ -304,7 +308,8 @@ def near_dedup_fast(spark, d):
 
 @query
 def near_dedup_manifest(spark, d):
-    return near.manifest_near(_chunks(spark, d, full_only=True))
+    """Without the digests: their equality is that of texts, and their form is another query's."""
+    return near.manifest_near(_chunks(spark, d, full_only=True)).drop("hash")
 
 
 # splits -----------------------------------------------------------------------------------------
@@ -324,7 +329,7 @@ def cross_split_near(spark, d):
 
 @query
 def cross_split_sequential(spark, d):
-    x = _ord(_split_docs(spark, d)).persist()
+    x = _ord(_split_docs(spark, d))
     one = cross.clean_train(x.where("split = 'train'"), x.where("split = 'val'"), F.col("t"), F.col("length"), NEAR)
     two = cross.clean_train(one, x.where("split = 'test'"), F.col("t"), F.col("length"), NEAR)
     return two.select("doc_id")
@@ -332,8 +337,9 @@ def cross_split_sequential(spark, d):
 
 @query
 def benchmark_overlap(spark, d):
-    """Benchmark items that equal a document after normalisation, and the other way round, as one list of hashes."""
-    return cross.drop_hashes(_t(spark, d, "benchmark"), exact.doc_manifest(_docs(spark, d)))
+    """The hashes of benchmark items that stand, word for word, in a document."""
+    norm = lambda name: _t(spark, d, name).select(_norm().alias("t"))
+    return cross.contained(norm("benchmark"), norm("documents"), F.col("t")).select(F.sha1(F.col("t").cast("binary")).alias("hash"))
 
 
 @query
@@ -369,7 +375,8 @@ def canary_recall(spark, d):
 
 @query
 def token_pack(spark, d):
-    return packing.packed(_chunks(spark, d), 100_000).select("chunk_id", F.col("offset").alias("token_offset"), "take")
+    offsets = chunks.document_offsets(_docs(spark, d), SIZE, SIZE, LEAST)
+    return packing.packed(_chunks(spark, d), 100_000, offsets, SIZE, SIZE).select("chunk_id", F.col("offset").alias("token_offset"), "take")
 
 
 @query
@@ -436,7 +443,7 @@ def _curve(spark, text: str) -> DataFrame:
 
 @query
 def curve_interpolation(spark, d):
-    c = reduce(DataFrame.unionByName, [_curve(spark, t).withColumn("curve", F.lit(n)).withColumn("target", F.lit(float(g))) for n, t in (("base", _BASE), ("dedup", _OTHER)) for g in (45, 40, 38)])
+    c = reduce(DataFrame.unionByName, [_curve(spark, t).withColumn("curve", F.lit(n)).withColumn("target", F.lit(float(g))) for n, t in (("base", _BASE), ("other", _OTHER)) for g in (45, 40, 38)])
     return analysis.interpolated(c, F.col("target"), "curve", "target").withColumn("tokens", F.round("tokens", 3))
 
 
@@ -447,9 +454,24 @@ def data_equivalent_factor(spark, d):
 
 @query
 def profile_lsh(spark, d):
-    s = _signed(spark, d).persist()
-    pairs = near.candidate_pairs(s, 4, 4)
-    return s.agg((4 * F.count("*")).alias("bucket_ops")).crossJoin(pairs.agg(F.count("*").alias("candidates")))  # one row each
+    s = written(near.signed(_distinct(_ord(_docs(spark, d))), _how(), rows=4), "profile")
+    pairs = near.candidate_pairs(s)
+    return s.agg((32 * F.count("*")).alias("bucket_ops")).crossJoin(pairs.agg(F.count("*").alias("candidates")))  # one row each
+
+
+@query
+def profile_near(spark, d):
+    return near.profile(_distinct(_ord(_docs(spark, d))), F.col("t"), F.col("length"), NEAR)
+
+
+@query
+def directory_analysis(spark, d):
+    path = new_path(spark, "runs")
+    rows = _t(spark, d, "events").select(F.col("event_id").alias("run"), F.col("value").alias("val_perplexity"), (F.col("event_id") % 2).alias("odd"))
+    for name, odd in (("even", 0), ("odd", 1)):
+        sinks.write_summary(rows.where(F.col("odd") == odd).drop("odd"), f"{path}/{name}/summary.tsv")
+    found = readers.run_summaries(spark, [f"{path}/even", f"{path}/odd", f"{path}/none"])
+    return analysis.by_directory(found, "val_perplexity").select("directory", F.round("mean", 8).alias("mean"), F.round("ci", 8).alias("ci"), "n")
 
 
 # sampling ---------------------------------------------------------------------------------------
@@ -482,13 +504,13 @@ def top_examples(spark, d):
     return _docs(spark, d).where(F.contains("text", F.lit("the"))).orderBy("doc_id").limit(5).select("doc_id", "lang")
 
 
-# sources and sinks ------------------------------------------------------------------------------
+@query
+def epochs(spark, d):
+    e = sampling.epochs(_t(spark, d, "conversations").select("conv_id", "turn"), 3, "conv_id", "turn")
+    return e.withColumn("epoch", F.col("epoch").cast("bigint"))
 
 
-def _scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/grainmill-{tag}-{uuid.uuid4().hex}"
+# sources and sinks ------------------------------------------------------------------------------
 
 
 @query
@@ -503,21 +525,21 @@ def scan_streamed(spark, d):
 
 @query
 def jsonl_round_trip(spark, d):
-    path = _scratch(spark, "jsonl")
+    path = new_path(spark, "jsonl")
     _docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), "text").write.json(path)
     return readers.jsonl_documents(spark, path).select("id", F.sha1(F.col("text").cast("binary")).alias("digest"))
 
 
 @query
 def drop_list_round_trip(spark, d):
-    path = _scratch(spark, "drops")
+    path = new_path(spark, "drops")
     sinks.write_drop_list(exact.drop_list(_sharded(spark, d)), path)
     return readers.drop_list(spark, path).select(F.col("shard_id").cast("bigint").alias("shard_id"), F.col("local_index").cast("bigint").alias("local_index"))
 
 
 @query
 def manifest_round_trip(spark, d):
-    path = _scratch(spark, "manifest")
+    path = new_path(spark, "manifest")
     sinks.write_manifest(exact.doc_manifest(_docs(spark, d)), path)
     return readers.kept_hashes(spark, path)
 
@@ -529,21 +551,21 @@ def manifest_lines(spark, d):
 
 @query
 def shard_round_trip(spark, d):
-    path = _scratch(spark, "shards")
+    path = new_path(spark, "shards")
     sinks.write_shards(_sharded(spark, d), path, 100)
     return spark.read.parquet(path).groupBy("shard_id").agg(F.count("*").alias("n"), F.sum("length").alias("total")).withColumn("shard_id", F.col("shard_id").cast("bigint"))
 
 
 @query
 def summary_round_trip(spark, d):
-    path = _scratch(spark, "summary")
+    path = new_path(spark, "summary")
     sinks.write_summary(run_summary(spark, d), path)
     return readers.run_summary(spark, path).select("run", F.col("value").cast("double").alias("value"))
 
 
 @query
 def split_lists(spark, d):
-    path = _scratch(spark, "splits")
+    path = new_path(spark, "splits")
     sinks.write_split_lists(split_fractions(spark, d), path)
     return spark.read.json(path).groupBy("split").agg(F.count("*").alias("n"), F.sum("doc_id").alias("id_sum"))
 
@@ -559,13 +581,84 @@ def synthetic_profile(spark, d):
     return s.groupBy("shard_id").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("shingles"))
 
 
+@query
+def scan_formats(spark, d):
+    """The same texts through lines of JSON, of text, and of CSV."""
+    path, rows = new_path(spark, "formats"), _docs(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), F.translate(_norm(), '\\"', "").alias("text"))
+    rows.write.json(f"{path}/json")
+    rows.write.option("header", True).csv(f"{path}/csv")
+    rows.select("text").write.text(f"{path}/text")
+    read = lambda fmt: readers.documents(spark, f"{path}/{fmt}", fmt).groupBy(F.sha1(F.col("text").cast("binary")).alias("digest")).agg(F.count("*").alias("n")).withColumn("format", F.lit(fmt))
+    return reduce(DataFrame.unionByName, [read(fmt) for fmt in ("json", "csv", "text")])
+
+
+@query
+def scan_shuffled(spark, d):
+    """Prefetched, shuffled by a seed, and the first hundred of it: the limit is the feature."""
+    docs = readers.prefetched(_docs(spark, d), new_path(spark, "prefetched"))
+    path = new_path(spark, "shuffled")
+    docs.write.parquet(path)
+    return readers.documents(spark, path, limit=100, shuffle_seed=13).select("doc_id", "lang")
+
+
+@query
+def jsonl_texts(spark, d):
+    path = new_path(spark, "jsonl")
+    _docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), "text").write.json(path)
+    return readers.jsonl_texts(spark, path).select(F.sha1(F.col("text").cast("binary")).alias("digest"))
+
+
+def _shard_set(spark, d) -> str:
+    path = new_path(spark, "shard-set")
+    sinks.write_shard_set(_sharded(spark, d), path, 100)
+    return path
+
+
+@query
+def shard_set_metadata(spark, d):
+    return readers.chunk_metadata(spark, f"{_shard_set(spark, d)}/chunk_metadata")
+
+
+@query
+def shard_set_shingles(spark, d):
+    s = readers.shingle_sets(spark, f"{_shard_set(spark, d)}/shingles")
+    return s.select("shard_id", "local_index", F.size("shingles").cast("bigint").alias("n"), F.array_join(F.array_sort("shingles"), ",").alias("shingles"))
+
+
+@query
+def shard_set_manifest(spark, d):
+    m = readers.shard_set_manifest(spark, _shard_set(spark, d))
+    return m.select("total_tokens", F.posexplode("shards").alias("shard_no", "s")).select("total_tokens", F.col("s.shard_id").alias("shard_id"), F.col("s.chunk_count").alias("chunk_count"), F.col("s.token_count").alias("token_count"), F.regexp_extract("s.path", "([^/]+)$", 1).alias("folder"))
+
+
+@query
+def metadata_strata(spark, d):
+    path = new_path(spark, "metadata")
+    rows = _docs(spark, d).select("doc_id", "lang", "n_chars")
+    rows.write.parquet(f"{path}/m.parquet")
+    rows.write.option("header", True).csv(f"{path}/csv")
+    one, two = (readers.metadata(spark, p, ["lang", "n_chars"]) for p in (f"{path}/m.parquet", f"{path}/csv"))
+    of = lambda df, name: df.groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").cast("bigint").alias("chars")).withColumn("scan", F.lit(name))
+    return of(one, "parquet").unionByName(of(two, "csv"))
+
+
+@query
+def drop_hash_files(spark, d):
+    path, x = new_path(spark, "drop-hashes"), _split_docs(spark, d)
+    sinks.write_manifest(exact.doc_manifest(x.where("split = 'train'")), f"{path}/manifest")
+    kept = readers.manifest(spark, f"{path}/manifest")
+    digest = F.sha1(_norm().cast("binary"))
+    sinks.write_drop_hashes({s: x.where(F.col("split") == s).select(F.col("doc_id").alias("ord"), digest.alias("hash")).join(kept.where("kept").select("hash").distinct(), "hash", "left_semi") for s in ("val", "test")}, f"{path}/manifest", f"{path}/out")
+    return reduce(DataFrame.unionByName, [spark.read.schema("hash string").json(f"{path}/out/{s}_drop").withColumn("split", F.lit(s)) for s in ("val", "test")])
+
+
 # recipes and streams ----------------------------------------------------------------------------
 
 
 def recipe_settings() -> Settings:
-    cfg = Settings(dedup=DedupSettings(SIZE, SIZE, LEAST, near=NearSettings(threshold=NEAR, skip_short_tokens=0)))
-    cfg.runs = [Recipe("no_dedup", False), Recipe("exact"), Recipe("near", True, True, NEAR)]
-    return cfg
+    near_copies = {"threshold": NEAR, "skip_short_tokens": 0}
+    runs = [{"name": "no_dedup"}, {"name": "exact", "apply_exact": True}, {"name": "near", "apply_exact": True, "apply_near": True}]
+    return settings({"dedup": {"chunk_tokens": SIZE, "stride_tokens": SIZE, "min_chunk_tokens": LEAST, "near": near_copies}, "runs": runs})
 
 
 @query
@@ -573,26 +666,55 @@ def recipe_summary(spark, d):
     return recipes.summary(_split_docs(spark, d), recipe_settings())
 
 
+def _arriving(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A stream of a table's rows, from a folder, as file streams read folders."""
+    path, rows = new_path(spark, "arrivals"), _t(spark, d, name)
+    rows.write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).parquet(path)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in stream.columns else stream  # watermarks take no time without a zone
+
+
 @query
 def stream_exact_dedup(spark, d):
-    from ..streaming.dedup import exact_stream
+    kept = streams.drained(streams.exact_stream(_arriving(spark, d, "documents")).select(_norm().alias("t")), new_path(spark, "stream"), "append")
+    return kept.select(F.sha1(F.col("t").cast("binary")).alias("key"))
 
-    path = _scratch(spark, "stream")
-    src = spark.readStream.schema(_docs(spark, d).schema).option("pathGlobFilter", "*.parquet").parquet(_stream_dir(spark, d))
-    q = exact_stream(src).select(X.normalize_simple(F.col("text")).alias("t")).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema("t string").parquet(f"{path}/out").select(F.sha1(F.col("t").cast("binary")).alias("key"))
 
+@query
+def stream_exact_within(spark, d):
+    """With an event time, so that keys are forgotten: one of each type and user within the delay of the watermark."""
+    e = _arriving(spark, d, "events").select("ts", F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("text"))
+    return streams.drained(streams.exact_stream(e, "ts", "400 days"), new_path(spark, "stream"), "append").select("text")
 
-def _stream_dir(spark: SparkSession, d: str) -> str:
-    """A folder with the documents, as a file stream reads folders."""
-    path = _scratch(spark, "arrivals")
-    _docs(spark, d).write.parquet(path)
-    return path
+
+@query
+def stream_near_dedup(spark, d):
+    path = new_path(spark, "stream")
+    streams.near_stream(_arriving(spark, d, "documents"), f"{path}/bands", f"{path}/kept", f"{path}/checkpoint", threshold=NEAR).awaitTermination()
+    return spark.read.parquet(f"{path}/kept").select("doc_id")
+
+
+@query
+def stream_first_seen(spark, d):
+    return streams.drained(streams.first_seen(_arriving(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", None), new_path(spark, "stream"))
+
+
+def _hours(df: DataFrame) -> DataFrame:
+    return df.withColumn("total", F.round("total", 4)).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query
 def event_hours(spark, d):
-    from ..streaming.dedup import event_windows
+    return _hours(streams.drained(streams.event_windows(_arriving(spark, d, "events")), new_path(spark, "stream")))
 
-    return event_windows(_t(spark, d, "events")).withColumn("total", F.round("total", 4)).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+@query
+def event_sliding(spark, d):
+    return _hours(streams.drained(streams.event_windows(_arriving(spark, d, "events"), "6 hours", "3 hours"), new_path(spark, "stream")))
+
+
+@query
+def event_sessions(spark, d):
+    s = streams.drained(streams.sessions(_arriving(spark, d, "events"), "8 hours"), new_path(spark, "stream"), "complete")
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return s.select("user_id", stamp("start").alias("start"), stamp("end").alias("end"), "n")

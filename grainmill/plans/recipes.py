@@ -4,48 +4,56 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import cross, exact, near
 from ..operators.chunks import build_chunks
-from .config import DedupSettings, NearSettings, Recipe, Settings
+from ..tables import written
+from .config import Cleaning, NearRules, Recipe, Settings
 
 
-def deduplicated(chunks: DataFrame, recipe: Recipe, cfg: NearSettings, seed: int) -> tuple[DataFrame, DataFrame]:
+def normalizer(cleaning: Cleaning):
+    """The normal form that the settings ask for, as a function of a column."""
+
+    def normalize(text: Column) -> Column:
+        return X.normalize_full(text, cleaning.lowercase, cleaning.strip_html, cleaning.collapse_whitespace)
+
+    return normalize
+
+
+def deduplicated(chunks: DataFrame, recipe: Recipe, rules: NearRules, seed: int) -> tuple[DataFrame, DataFrame]:
     """(kept, after the exact step) of one split."""
-    out = exact.keep_first(chunks, X.sha1_61(F.col("text")), "doc_id", "position") if recipe.apply_exact else chunks
-    kept = out
-    if recipe.apply_near:
-        gone = near.near_losers(out, F.col("text"), F.col("length"), recipe.near_threshold or cfg.threshold, cfg.shingle_size, cfg.num_permutations, cfg.band_size, seed, skip_short=cfg.skip_short_tokens)
-        kept = out.join(gone, "ord", "left_anti")
-    return kept, out
+    out = exact.keep_first(chunks, X.sha1_61(F.col("text")), "doc_id", "position") if recipe.exact else chunks
+    if recipe.threshold is None:
+        return out, out
+    gone = near.near_losers(out, F.col("text"), F.col("length"), recipe.threshold, seed=seed, skip_short=rules.skip_short, **rules.lsh)
+    return out.join(gone, "ord", "left_anti"), out
 
 
-def prepared(chunks: DataFrame, recipe: Recipe, cfg: DedupSettings, seed: int = 17) -> dict[str, DataFrame]:
+def prepared(chunks: DataFrame, recipe: Recipe, cfg: Settings) -> dict[str, DataFrame]:
     """The kept chunks of each split; training chunks that collide with validation, then with test chunks, go.
 
     The cross-split step looks for near copies whenever these are enabled, at the general threshold.
     """
-    parts = {s: deduplicated(chunks.where(F.col("split") == s), recipe, cfg.near, seed + i) for i, s in enumerate(("train", "val", "test"))}
-    kept = {s: k for s, (k, _) in parts.items()} | {"exact": parts["train"][1]}
+    parts = {s: deduplicated(chunks.where(F.col("split") == s), recipe, cfg.near, cfg.seed + i) for i, s in enumerate(("train", "val", "test"))}
+    kept = {s: written(k, "kept") for s, (k, _) in parts.items()} | {"exact": parts["train"][1]}
     if cfg.cross_split:
-        lsh = {"n": cfg.near.shingle_size, "num_perm": cfg.near.num_permutations, "rows": cfg.near.band_size}
         for other in ("val", "test"):
-            kept["train"] = cross.clean_train(kept["train"], kept[other], F.col("text"), F.col("length"), cfg.near.threshold if cfg.near.enabled else None, cfg.near.skip_short_tokens, **lsh)
+            kept["train"] = cross.clean_train(kept["train"], kept[other], F.col("text"), F.col("length"), cfg.near.threshold if cfg.near.enabled else None, cfg.near.skip_short, **cfg.near.lsh)
     return kept
 
 
 def summary(docs: DataFrame, cfg: Settings) -> DataFrame:
     """A row for each recipe: chunks and tokens that train, and the chunks of the other splits. ``docs`` has doc_id, text and split."""
-    d = cfg.dedup
-    normalize = lambda c: X.normalize_full(c, d.lowercase, d.strip_html, d.collapse_whitespace)
-    chunks = build_chunks(docs.where(X.has_text(F.col("text"))), d.chunk_tokens, d.stride_tokens, d.min_chunk_tokens, normalize=normalize)
-    chunks = chunks.join(docs.select("doc_id", "split"), "doc_id").withColumn("ord", F.struct("doc_id", "position")).persist()
+    w = cfg.windows
+    some = docs.where(X.has_text(F.col("text")))
+    chunks = build_chunks(some, w.size, w.stride, w.least, normalize=normalizer(cfg.cleaning), carry=("split",))
+    chunks = written(chunks.drop("tokens").withColumn("ord", F.struct("doc_id", "position")), "chunks")
     rows = []
-    for r in cfg.runs:
-        kept = prepared(chunks, r, d, cfg.seed)
+    for r in cfg.recipes:
+        kept = prepared(chunks, r, cfg)
         count = lambda df, name: df.agg(F.count("*").alias(name), F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias(f"{name}_tokens"))
         row = reduce(lambda a, b: a.crossJoin(b), [count(kept["train"], "train"), count(kept["val"], "val"), count(kept["test"], "test"), count(kept["exact"], "after_exact")])  # one row each
         rows.append(row.select(F.lit(r.name).alias("run"), F.col("train").alias("train_chunks"), "train_tokens", F.col("val").alias("val_chunks"), F.col("test").alias("test_chunks"), F.col("after_exact").alias("exact_chunks")))

@@ -15,7 +15,7 @@ _records: list[tuple[str, float]] = []
 
 
 def enabled() -> bool:
-    return os.environ.get("CHUNK_TIMING", "") not in ("", "0")
+    return os.environ.get("GRAINMILL_TIMING", "") not in ("", "0")
 
 
 @contextmanager

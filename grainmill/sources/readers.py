@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import first_text
 from ..operators.sampling import limited, shuffled
+from ..tables import hadoop_path
 
 
 def documents(spark: SparkSession, path: str | list[str], fmt: str = "parquet", text_field: str = "text", limit: int | None = None, shuffle_seed: int | None = None) -> DataFrame:
@@ -62,11 +65,16 @@ def shingle_sets(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("shingles", F.coalesce("shingles", F.expr("CAST(array() AS array<bigint>)")))
 
 
+def shard_set_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """One row: shards, chunk_metadata_path, shingle_path, total_tokens."""
+    return spark.read.schema("shards array<struct<shard_id: bigint, path: string, chunk_count: bigint, token_count: bigint>>, chunk_metadata_path string, shingle_path string, total_tokens bigint").json(f"{path}/manifest")
+
+
 def drop_list(spark: SparkSession, path: str) -> DataFrame:
     """(shard_id, local_index); a missing file is an empty list."""
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     schema = "shard_id int, local_index int"
-    if not jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm):
+    fs, found = hadoop_path(spark, path)
+    if not fs.exists(found):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).json(path)
 
@@ -84,6 +92,14 @@ def run_summary(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, quote="")
 
 
+def run_summaries(spark: SparkSession, directories: list[str], name: str = "summary.tsv") -> DataFrame:
+    """The summaries of several run directories, and the last part of each one's path (column ``directory``); a directory without one is passed over."""
+    found = [path for path in (f"{d.rstrip('/')}/{name}" for d in directories) if (lambda fs_path: fs_path[0].exists(fs_path[1]))(hadoop_path(spark, path))]
+    if not found:
+        return spark.createDataFrame([], "run string, val_perplexity string, directory string")
+    return run_summary(spark, found).withColumn("directory", F.regexp_extract(F.input_file_name(), rf"([^/]+)/{re.escape(name)}[^/]*(?:/[^/]*)?$", 1))
+
+
 def metadata(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     """Parquet by its suffix, else CSV with inferred types."""
     rows = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.csv(path, header=True, inferSchema=True)

@@ -4,15 +4,47 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..operators.near import Shingles, shingle_sets
+
 
 def write_shards(sharded: DataFrame, path: str, shard_size: int = 10_000) -> None:
     """Chunks as Parquet, a folder for each shard: columns tokens, text, length, doc_id, position, local_index."""
     sharded.repartition("shard_id").sortWithinPartitions("shard_id", "local_index").write.option("maxRecordsPerFile", shard_size).partitionBy("shard_id").mode("overwrite").parquet(path)
 
 
+def write_shard_set(sharded: DataFrame, path: str, shard_size: int = 10_000, shingle_size: int = 5) -> None:
+    """Everything that later steps read of a set of shards, under ``path``:
+
+    ``shards`` (Parquet), ``chunk_metadata`` (JSON lines of shard_id, local_index, length, exact_hash), ``shingles`` (JSON lines of
+    shard_id, local_index, shingles) and ``manifest`` (one JSON object: a record for each shard, the two paths, and the total of tokens).
+    """
+    write_shards(sharded.drop("exact_hash"), f"{path}/shards", shard_size)
+    rows = sharded.sparkSession.read.parquet(f"{path}/shards").withColumn("shard_id", F.col("shard_id").cast("bigint"))
+    rows.select("shard_id", "local_index", "length", X.sha1_signed64(F.col("text")).alias("exact_hash")).write.mode("overwrite").json(f"{path}/chunk_metadata")
+    own = rows.withColumn("ord", F.struct("shard_id", "local_index"))
+    sets = shingle_sets(own, Shingles(F.col("text"), F.col("length"), shingle_size, "none"))
+    sets.select("ord.*", "shingles").write.mode("overwrite").json(f"{path}/shingles")
+    shards = rows.groupBy("shard_id").agg(F.count("*").alias("chunk_count"), F.sum("length").alias("token_count"))
+    record = F.struct("shard_id", F.concat(F.lit(f"{path}/shards/shard_id="), F.col("shard_id")).alias("path"), "chunk_count", "token_count")
+    whole = shards.agg(F.sort_array(F.collect_list(record)).alias("shards"), F.lit(f"{path}/chunk_metadata").alias("chunk_metadata_path"), F.lit(f"{path}/shingles").alias("shingle_path"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("total_tokens"))
+    whole.select(F.to_json(F.struct(*whole.columns)).alias("value")).write.mode("overwrite").text(f"{path}/manifest")
+
+
+def write_drop_hashes(drops: dict[str, DataFrame], manifest_path: str, path: str, order: str = "ord") -> None:
+    """For each split the hashes (column ``hash``) that its corpus shares with training, in the order of the corpus, as JSON lines in ``<split>_drop``;
+    and in ``manifest_digest`` the digests of the manifest's files, for an audit."""
+    for split, rows in drops.items():
+        rows.orderBy(order).select("hash").write.mode("overwrite").json(f"{path}/{split}_drop")
+        spark = rows.sparkSession
+    if drops:
+        file_digests(spark, manifest_path).write.mode("overwrite").json(f"{path}/manifest_digest")
+
+
 def write_drop_list(dropped: DataFrame, path: str) -> None:
     """Sorted JSON lines of (shard_id, local_index)."""
     dropped.select("shard_id", "local_index").distinct().orderBy("shard_id", "local_index").write.mode("overwrite").json(path)
@@ -34,9 +66,7 @@ def content_digest(df: DataFrame) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, digest): XXH64 of each file's bytes."""
-    import pandas as pd
-
+    """(path, digest): XXH64 of each file's bytes; empty files are passed over, as scans do."""
     @F.pandas_udf("string")
     def digest(contents: pd.Series) -> pd.Series:
         import xxhash

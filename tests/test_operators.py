@@ -2,13 +2,17 @@
 
 import json
 import math
+import os
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from grainmill.functions import text as X
 from grainmill.operators import analysis, chunks, cross, exact, near, packing, sampling, splits
-from grainmill.plans.config import composed, settings
+from grainmill.plans import timing
+from grainmill.plans.config import composed, dumped, field_map, grid_settings, load_settings, resolved, settings
 from grainmill.sources import readers, sinks
 
 
@@ -137,10 +141,195 @@ def test_canaries(spark):
     assert c["tokens"] == ["a", "b", "</s>"] and c["doc_id"] == -1
 
 
-def test_settings():
+def test_settings(tmp_path):
     assert composed({"a": 1, "b": {"x": 1, "y": 2}}, {"b": {"y": 3, "z": 4}, "c": 5}) == {"a": 1, "b": {"x": 1, "y": 3, "z": 4}, "c": 5}
-    cfg = settings({"dedup": {"near": {"threshold": 0.9}}, "runs": [{"name": "x"}, {"name": "y", "apply_near": True}], "unknown": 1})
-    assert [(r.name, r.apply_exact, r.near_threshold) for r in cfg.runs] == [("x", False, None), ("y", False, 0.9)]
+    cfg = settings({"dedup": {"near": {"threshold": 0.9}}, "runs": [{"name": "x"}, {"name": "y", "apply_near": True}, {"name": "z", "apply_exact": True, "apply_near": True, "near_threshold": 0.7}, {"name": "n", "near_threshold": 0.7}], "unknown": 1})
+    assert [(r.name, r.exact, r.threshold) for r in cfg.recipes] == [("x", False, None), ("y", False, 0.9), ("z", True, 0.7), ("n", False, None)]
+    assert [(r.name, r.exact, r.threshold) for r in settings().recipes] == [("no_dedup", False, None), ("exact", True, None), ("near", True, 0.85)]
+    assert settings({"runs": [], "dedup": None}).recipes == () and settings({"dedup": {"strip_html": False}}).cleaning.strip_html is False
+    (tmp_path / "s.json").write_text('{"seed": 3, "dedup": {"chunk_tokens": 9}}')
+    assert (load_settings(f"{tmp_path}/s.json").seed, load_settings(f"{tmp_path}/s.json").windows.size, load_settings(None).seed) == (3, 9, 17)
+
+
+def test_settings_files(tmp_path, monkeypatch):
+    pytest.importorskip("yaml")
+    (tmp_path / "fields.yaml").write_text("host: url_host\nlang: language\n")
+    assert field_map(f"{tmp_path}/fields.yaml") == ["url_host", "language"]
+    for kind, name, text in (("model", "tiny", "model: {width: 4}"), ("dedup", "exact", "dedup: {chunk_tokens: 64}"), ("tokens", "one", "tokens: 1")):
+        (tmp_path / kind).mkdir()
+        (tmp_path / kind / f"{name}.yaml").write_text(text)
+    (tmp_path / "grid.csv").write_text("name,dedup,tokens,model,seed\nr1,exact,one,tiny,5\nr2,exact,one,tiny,\n")
+    got = grid_settings(f"{tmp_path}/grid.csv", {"seed": 1, "dedup": {"cross_split": False}}, str(tmp_path))
+    assert got == {n: {"seed": s, "dedup": {"cross_split": False, "chunk_tokens": 64}, "model": {"width": 4}, "tokens": 1} for n, s in (("r1", 5), ("r2", 1))}
+    assert json.loads(dumped(got)) == got
+    monkeypatch.setenv("GRAINMILL_WORKDIR", "/work")
+    monkeypatch.setenv("HERE", "/abs")
+    assert [resolved(x) for x in ("a/b", "/c", "$HERE/d")] == ["/work/a/b", "/c", "/abs/d"]
+
+
+def test_grid_metadata_and_reports(spark, tmp_path):
+    (tmp_path / "grid.csv").write_text("name,dedup,tokens,model,seed\nr1,exact,one,tiny,5\n")
+    assert [tuple(r) for r in readers.grid(spark, f"{tmp_path}/grid.csv").collect()] == [("r1", "exact", "one", "tiny", 5)]
+    (tmp_path / "lines.txt").write_text("a b\n\nc\n")
+    assert sorted(r["text"] for r in readers.documents(spark, f"{tmp_path}/lines.txt", "text").collect()) == ["a b", "c"]
+    with pytest.raises(ValueError):
+        readers.documents(spark, f"{tmp_path}/lines.txt", "text").select(F.lit(1).alias("n")).write.parquet(f"{tmp_path}/n")
+        readers.documents(spark, f"{tmp_path}/n")
+    rows = spark.createDataFrame([("foo", 9.0), ("bar", 3.0)], "run string, mean double")
+    sinks.report(rows, f"{tmp_path}/report.json", seed=1)
+    assert json.loads((tmp_path / "report.json").read_text()) == {"seed": 1, "runs": [{"run": "foo", "mean": 9.0}, {"run": "bar", "mean": 3.0}]}
+
+
+def test_file_digests(spark, tmp_path):
+    import xxhash
+
+    for name, content in (("a", b"hello"), ("b", b"hello, world")):
+        (tmp_path / name).write_bytes(content)
+    got = {r["path"][-1]: r["digest"] for r in sinks.file_digests(spark, str(tmp_path)).collect()}
+    assert got == {"a": xxhash.xxh64_hexdigest(b"hello"), "b": xxhash.xxh64_hexdigest(b"hello, world")}
+    table = spark.range(50).withColumn("x", F.col("id") % 3)
+    same, other = sinks.content_digest(table.repartition(5)).first(), sinks.content_digest(table.where("id > 0")).first()
+    assert same == sinks.content_digest(table.orderBy(F.desc("id"))).first() and same != other and same["n_rows"] == 50
+
+
+def test_synthetic_chunks(spark):
+    rows = readers.synthetic_chunks(spark, 400, seed=3, per_shard=100, shingles=20).collect()
+    assert rows == readers.synthetic_chunks(spark, 400, seed=3, per_shard=100, shingles=20).collect() != readers.synthetic_chunks(spark, 400, seed=4, per_shard=100, shingles=20).collect()
+    assert sorted((r["shard_id"], r["local_index"]) for r in rows) == [(i // 100, i % 100) for i in range(400)]
+    assert 0.05 < 1 - len({r["exact_hash"] for r in rows}) / 400 < 0.2 and all(10 <= len(set(r["shingles"])) == len(r["shingles"]) <= 30 for r in rows)
+
+
+def test_timers(spark, monkeypatch):
+    monkeypatch.setattr(timing, "_records", [])
+    with timing.stage("off"):
+        pass
+    monkeypatch.setenv("GRAINMILL_TIMING", "1")
+    for _ in range(3):
+        with timing.stage("on"):
+            pass
+    timing.record("set", 0.5)
+    got = {r["stage"]: r for r in timing.timing_report(spark).collect()}
+    assert set(got) == {"on", "set"} and got["on"]["n"] == 3 and got["set"]["p50"] == got["set"]["max"] == 500.0
+
+
+def test_percentiles_by_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.choice([None, 1.0, 1.0, rng.random() * 50])) for g in ("a", "b", None) for _ in range(rng.randrange(1, 200))] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r["g"]: r for r in analysis.stage_stats(df, "v", "g").collect()}
+    near_ = {r["g"]: r["value"] for r in analysis.nearest_rank(df, "v", 0.9, "g").collect()}
+    for g in ("a", "b", None):
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        for q in (0.5, 0.9, 0.95, 0.99):
+            low = math.floor(q * (len(v) - 1))
+            assert got[g][f"p{round(100 * q)}"] == pytest.approx(v[low] + (v[math.ceil(q * (len(v) - 1))] - v[low]) * (q * (len(v) - 1) - low))
+        assert near_[g] == v[max(0, math.ceil(0.9 * len(v)) - 1)]
+    assert got["none"]["n"] == 0 and got["none"]["p50"] is None and near_["none"] == 0
+
+
+@pytest.mark.parametrize(("size", "stride", "least", "full"), [(4, 4, 1, False), (4, 2, 1, False), (4, 6, 2, False), (4, 3, 4, False), (4, 2, 0, True), (4, 2, 5, False)])
+def test_window_arithmetic(spark, size, stride, least, full):
+    d = docs(spark, *[" ".join(f"w{j}" for j in range(n)) for n in (0, 1, 2, 3, 4, 5, 8, 9, 17)])
+    c = chunks.build_chunks(d, size, stride, least, full_only=full)
+    rows = sorted((r["doc_id"], r["position"], r["length"]) for r in c.collect())
+    got = {(r["doc_id"], r["position"]): r for r in chunks.sharded_chunks(d, 3, size, stride, least, full_only=full).collect()}
+    offsets = chunks.document_offsets(d, size, stride, least, full)
+    summed = {(r["doc_id"], r["position"]): (r["offset"], r["take"]) for r in packing.packed(c, 11).collect()}
+    counted = {(r["doc_id"], r["position"]): (r["offset"], r["take"]) for r in packing.packed(c, 11, offsets, size, stride).collect()}
+    at, want = 0, {}
+    for k, (i, p, n) in enumerate(rows):
+        assert (got[i, p]["shard_id"], got[i, p]["local_index"]) == divmod(k, 3)
+        if at < 11:
+            want[i, p] = (at, min(n + 1, 11 - at))
+        at += n + 1
+    assert len(got) == len(rows) and summed == counted == want
+
+
+def test_running_offsets_with_an_outlier(spark):
+    rows = [(i, i % 5) for i in range(300)] + [(10**15, 7), (-5, 2)]
+    got = chunks.running_offset(spark.createDataFrame(rows, "k bigint, n bigint").repartition(4), ["k"], ["n"]).collect()
+    total = 0
+    for (_, n), r in zip(sorted(rows), sorted(got, key=lambda r: r["k"]), strict=True):
+        assert r["before_n"] == total
+        total += n
+
+
+def test_signatures_by_brute_force(spark):
+    import hashlib
+
+    d = docs(spark, "a b c d e f g", "a b", "", "é ü a b c")
+    x = d.select(F.col("doc_id").alias("ord"), F.col("text").alias("t"), X.word_count(F.col("text")).alias("length"))
+    how = near.Shingles(F.col("t"), F.col("length"))
+    got = {r["ord"]: r["signature"] for r in near.signed(x, how, 16, 17, empty=True).collect()}
+    a, b = near.permutations(16, 17)
+    for i, text in enumerate(["a b c d e f g", "a b", "", "é ü a b c"], 1):
+        w = text.split()
+        grams = {" ".join(w[k : k + 5]) for k in range(len(w) - 4)} or set(w)
+        keys = [int.from_bytes(hashlib.sha1(g.encode()).digest()[:8], "big") & X.MASK61 for g in grams]
+        assert got[i] == [min(((p * k + q) % (1 << 64) % X.MASK61 for k in keys), default=X.MASK61) for p, q in zip(a.tolist(), b.tolist(), strict=True)]
+    assert sorted(r["ord"] for r in near.signed(x, how, 16, 17, rows=4).collect()) == [1, 2, 4]
+
+
+@pytest.mark.parametrize("rule", ["longer", "earlier"])
+def test_near_rules_by_brute_force(spark, rule):
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(4000)}" for _ in range(60)] for _ in range(12)]
+    texts = [" ".join(b[:60 - k] + [f"x{rng.randrange(9)}"] * (k > 0)) for b in base for k in (0, 0, 1, 2, 9)] + ["", "", "one two"]
+    rng.shuffle(texts)
+    d = docs(spark, *texts).select(F.col("doc_id").alias("ord"), F.col("text").alias("t"), X.word_count(F.col("text")).alias("length"))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {(x,) for x in w} for i, t in enumerate(texts, 1) for w in [t.split()]}
+    size = {i: len(t.split()) for i, t in enumerate(texts, 1)}
+    lost = set()
+    for p in sets:
+        for q in sets:
+            if p < q and sets[p] and sets[q] and len(sets[p] & sets[q]) >= 0.8 * len(sets[p] | sets[q]):
+                lost.add(p if rule == "longer" and size[q] > size[p] else q)
+    for exact_ in (True, False):
+        assert {r["ord"] for r in near.near_losers(d, F.col("t"), F.col("length"), 0.8, rule=rule, exact=exact_).collect()} == lost
+
+
+def test_manifest_of_near_chunks_by_brute_force(spark):
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    base = make(300)
+    texts = [base, make(300), base, base[:296] + "zzzz", make(20), make(30), "q" * 32, base[:296] + "zzzz", make(20)]
+    c = docs(spark, *texts).select("doc_id", F.lit(0).alias("position"), "text")
+    a, b = near.permutations(64, 5)
+    sign = [near.minhash(np.unique(near.sha1_keys(near.char_grams(t))), a, b) for t in texts]
+    gone = {texts[j] for i in range(len(texts)) for j in range(i + 1, len(texts)) if texts[i] != texts[j] and (sign[i] == sign[j]).mean() >= 0.6 and any((sign[i][k : k + 4] == sign[j][k : k + 4]).all() for k in range(0, 64, 4))}
+    got = {r["id"]: (r["kept"], r["reason"]) for r in near.manifest_near(c, 0.6, 64, 5, 16).collect()}
+    want = {f"chunk:{i + 1}:0": (texts.index(t) == i and t not in gone, "duplicate" if texts.index(t) != i else "near_duplicate" if t in gone else None) for i, t in enumerate(texts)}
+    assert got == want and gone
+
+
+def test_contained_items(spark):
+    items, texts = docs(spark, "a b c", "c d", "", "x y z w"), docs(spark, "q a b c d", "x y", "aa b c")
+    assert sorted(r["doc_id"] for r in cross.contained(items, texts, F.col("text")).collect()) == [1, 2]
+
+
+def test_subword_tokens(spark):
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if not os.path.exists(path):
+        pytest.skip("no vocabulary file")
+    d = docs(spark, "Hello wörld, again and again", "", "<|endoftext|>")
+    c = chunks.build_chunks(d, 4, 4, tokens=X.bpe_tokens(path), normalize=lambda t: t)
+    whole = c.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("position", "tokens"))), lambda x: x["tokens"])).alias("t"))
+    assert {r["doc_id"]: r["text"] for r in whole.select("doc_id", X.bpe_text(F.col("t"), path).alias("text")).collect()} == {1: "Hello wörld, again and again", 3: "<|endoftext|>"}
+
+
+def test_command(spark, tmp_path):
+    from grainmill.plans import steps
+
+    text = " ".join(f"w{i}" for i in range(50))
+    docs(spark, text, text + " x", text, "short").write.parquet(f"{tmp_path}/docs")
+    (tmp_path / "s.json").write_text('{"dedup": {"chunk_tokens": 64, "stride_tokens": 64, "min_chunk_tokens": 2, "near": {"skip_short_tokens": 0}}}')
+    run = ["prepare", "--docs", f"{tmp_path}/docs", "--out", f"{tmp_path}/out", "--settings", f"{tmp_path}/s.json", "--shard-size", "2", "--block", "40"]
+    for more in ([], ["--from", "drops"]):
+        steps.main(run + more)
+        assert spark.read.parquet(f"{tmp_path}/out/blocks").selectExpr("doc_id", "size(tokens)").collect() == [(1, 40)]
+    shards = readers.shard_set_manifest(spark, f"{tmp_path}/out/chunks").first()
+    assert shards["total_tokens"] == 151 and [(s["shard_id"], s["chunk_count"]) for s in shards["shards"]] == [(0, 2), (1, 1)]
+    assert sorted(map(tuple, readers.drop_list(spark, f"{tmp_path}/out/drops").collect())) == [(0, 1), (1, 0)]
 
 
 def test_files(spark, tmp_path):
@@ -156,7 +345,7 @@ def test_files(spark, tmp_path):
 
 
 def test_near_stream(spark, tmp_path):
-    from grainmill.streaming.dedup import near_stream
+    from grainmill.streaming.duplicates import near_stream
 
     text = " ".join(f"w{i}" for i in range(80))
     docs(spark, text, text + " x", "quite another text of a few words").coalesce(1).write.parquet(f"{tmp_path}/in")
