@@ -1,71 +1,41 @@
-"""What the operators of this subpackage share: written intermediate tables and small helpers."""
+"""What the operators of this subpackage share, beside the written tables of the library."""
 
 from __future__ import annotations
 
-import atexit
+import ctypes
+import functools
 import math
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
 
-_written: list[tuple[SparkSession, str]] = []
-_own: dict[str, str] = {}
+from ..tables import collected, delete, new_path, released, shared_dir, shuffle_partitions, spread, written
 
+__all__ = ["collected", "delete", "lean", "new_path", "power_of_two", "released", "shared_dir", "shuffle_partitions", "spread", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local master may fall back to a temporary folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="grainmill-")
-        _written.append((spark, _own[app]))
-    return _own[app]
 
+def power_of_two(x: float) -> int:
+    """The smallest power of two that is at least ``x``."""
+    return 1 << max(0, math.ceil(math.log2(max(1.0, x))))
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/grainmill/{tag}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
 
+def _give_back() -> None:
+    """Free memory goes back to the system: Python workers live on between tasks, beside an executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
 
-def delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
+def lean(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A function over batches that gives back at its end what it has used."""
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
+    @functools.wraps(run)
+    def iterate(batches: Iterator) -> Iterator:
         try:
-            delete(spark, path)
-        except Exception:  # the session may have ended before
-            return
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a table in the shared folder: it cuts the lineage, survives lost executors and has a known size."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._grainmill_path = path
-    return out
-
-
-def released(df: DataFrame) -> None:
-    """Delete a table of ``written`` that nothing will read again."""
-    delete(df.sparkSession, df._grainmill_path)
+            yield from run(batches)
+        finally:
+            _give_back()
 
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def power_of_two(x: float) -> int:
-    """The smallest power of two that is at least ``x``."""
-    return 1 << max(0, math.ceil(math.log2(max(1.0, x))))
+    return iterate

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+PIECE = 1 << 18  # bytes handled at once: what they need stays small, and in the processor's cache
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -10,20 +16,35 @@ _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_KEPT = 1 << 19
+_powers: list[np.ndarray] = []
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers 0 to n - 1 of R and of its inverse modulo 2^64."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        for k, r in enumerate((_R, _R_INVERSE)):
-            x = np.full(size, r, np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
+    """The powers 0 to n - 1 of R and of its inverse modulo 2^64. Only tables of ``_KEPT`` are kept; longer ones go with the text that needs them."""
+
+    def table(r: np.uint64, size: int) -> np.ndarray:
+        x = np.full(size, r, np.uint64)
+        x[:1] = 1
+        return np.multiply.accumulate(x, out=x)
+
+    if n > _KEPT:
+        return table(_R, n), table(_R_INVERSE, n)
+    if not _powers:
+        _powers.extend([table(_R, _KEPT), table(_R_INVERSE, _KEPT)])
     return _powers[0], _powers[1]
 
 
+def pieces(texts: pa.Array, most: int = PIECE) -> Iterator[tuple[int, list[bytes | None]]]:
+    """The texts of a column in runs of up to ``most`` bytes (one text at least), each with the number of its first row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")))
+        yield first, texts.slice(first, last - first).to_pylist()
+        first = last
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A finalizer: every input bit reaches every output bit."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
