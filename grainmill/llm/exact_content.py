@@ -6,9 +6,12 @@ The splitters hold a short head instead of the text, so that they stay small on
 large group of equal texts over several partitions. Groups that cross a partition border are joined by their whole
 texts: at most the first and last few runs of each partition take part.
 
-Defined results: a null text counts as empty. A row with a null id never stays while its group has another row. Of
-repeated rows with equal id and text exactly one stays. An empty table gives an empty result. Extra columns are carried
-by ``drop_exact_duplicates`` whatever their names, and ignored by ``exact_duplicates``.
+Rows that are carried cross the shuffle once, with their text in them; a partition is read in pieces of ``PIECE`` bytes.
+
+Defined results: a null text counts as empty, and a very long one is compared whole like others. A row with a null id never
+stays while its group has another row. Of repeated rows with equal id and text exactly one stays, any of them where other
+columns differ; all of these are in one partition. An empty table gives an empty result. Extra columns are carried by
+``drop_exact_duplicates`` whatever their names, and ignored by ``exact_duplicates``.
 """
 
 from __future__ import annotations
@@ -22,9 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import shuffle_partitions, written
+from ._shared import lean, shuffle_partitions, written
+from ._tokens import pieces
 
-HEAD_BYTES = 32
+HEAD_BYTES, PIECE, ROWS = 32, 1 << 21, 20_000
 
 
 class _Run:
@@ -37,24 +41,37 @@ class _Run:
 
 
 def _sorted(df: DataFrame, id_col: str, text_col: str, keep: str, normalise, carry: bool) -> DataFrame:
+    """(head, hash, id, t) in the order of content; with ``carry`` also the row, in which t is left to be looked up unless it is normalised."""
     if keep not in ("largest", "smallest"):
         raise ValueError("keep is largest or smallest")
-    text: Column = F.coalesce(F.col(text_col), F.lit(""))
-    text = normalise(text) if normalise else text
-    row = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if carry else []
-    x = df.select(F.col(id_col).alias("id"), text.cast("binary").alias("t"), *row)
-    x = x.select(F.expr(f"substring(t, 1, {HEAD_BYTES})").alias("head"), F.xxhash64("t").alias("hash"), *x.columns)
+
+    def content(text: Column) -> Column:
+        text = F.coalesce(text, F.lit(""))
+        return (normalise(text) if normalise else text).cast("binary")
+
     last = F.asc_nulls_first("id") if keep == "largest" else F.desc_nulls_first("id")
-    return x.repartitionByRange(shuffle_partitions(df.sparkSession), "head", "hash", last).sortWithinPartitions("head", "hash", "t", last)
+    t = content(F.col(text_col))
+    row = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if carry else [t.alias("t")]
+    x = df.select(F.substring(t, 1, HEAD_BYTES).alias("head"), F.xxhash64(t).alias("hash"), F.col(id_col).alias("id"), *row)
+    x = x.repartitionByRange(shuffle_partitions(df.sparkSession), "head", "hash", last)
+    x = x.withColumn("t", content(F.col("row").getField(text_col))) if carry else x
+    x = x.sortWithinPartitions("head", "hash", "t", last)
+    return x.drop("t") if carry and not normalise else x
 
 
-def _groups(batches: Iterator[pa.RecordBatch], ids: bool) -> Iterator[tuple[list[_Run] | None, bool, pa.RecordBatch | None]]:
-    """The runs that share a head and hash, whether these are the partition's first or last; and each batch when it has been read."""
-    key, runs, first, no = None, [], True, 0
+def _in_pieces(batches: Iterator[pa.RecordBatch], text: Callable[[pa.RecordBatch], pa.Array]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of batches of up to ``PIECE`` bytes of text, and their texts."""
     for batch in batches:
-        col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-        heads, hashes, texts = col["head"].to_pylist(), col["hash"].to_pylist(), col["t"].to_pylist()
-        owners = col["id"].to_pylist() if ids else None
+        for first, texts in pieces(text(batch), PIECE):
+            yield batch.slice(first, len(texts)), [x or b"" for x in texts]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], ids: bool, text: Callable[[pa.RecordBatch], pa.Array]) -> Iterator[tuple[list[_Run] | None, bool, pa.RecordBatch | None]]:
+    """The runs that share a head and hash, whether these are the partition's first or last; and each piece when it has been read."""
+    key, runs, first, no = None, [], True, 0
+    for batch, texts in _in_pieces(batches, text):
+        heads, hashes = batch.column("head").to_pylist(), batch.column("hash").to_pylist()
+        owners = batch.column("id").to_pylist() if ids else None
         for i, at in enumerate(zip(heads, hashes, strict=True)):
             if at != key:
                 if runs:
@@ -75,6 +92,7 @@ def _groups(batches: Iterator[pa.RecordBatch], ids: bool) -> Iterator[tuple[list
 
 
 def _mark(schema: pa.Schema) -> Callable:
+    @lean
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each input row: its run's kept id and size, and the text once for each run at a border."""
         part = TaskContext.get().partitionId()
@@ -86,19 +104,23 @@ def _mark(schema: pa.Schema) -> Callable:
                 x.clear()
             return made
 
-        for runs, border, _ in _groups(batches, ids=True):
+        for runs, border, _ in _groups(batches, ids=True, text=lambda b: b.column("t")):
             for run in runs or ():
-                n, sha = run.n, hashlib.sha256(run.text).hexdigest()
-                for x, more in zip(rows, (run.ids, [sha] * n, [run.ids[-1]] * n, [n] * n, [False] * (n - 1) + [True], [part] * n, [run.no] * n, [border] * n, [None] * (n - 1) + [run.text if border else None]), strict=True):
-                    x.extend(more)
-            if runs is None or len(rows[0]) >= 50_000:
-                yield out()
+                sha = hashlib.sha256(run.text).hexdigest()
+                for at in range(0, run.n, ROWS):  # a run may be most of a partition
+                    own = run.ids[at : at + ROWS]
+                    n, ends = len(own), at + ROWS >= run.n
+                    for x, more in zip(rows, (own, [sha] * n, [run.ids[-1]] * n, [run.n] * n, [False] * (n - 1) + [ends], [part] * n, [run.no] * n, [border] * n, [None] * (n - 1) + [run.text if border and ends else None]), strict=True):
+                        x.extend(more)
+                    if len(rows[0]) >= ROWS:
+                        yield out()
         yield out()
 
     return mark
 
 
-def _last_rows(schema: pa.Schema) -> Callable:
+def _last_rows(schema: pa.Schema, text: Callable[[pa.RecordBatch], pa.Array]) -> Callable:
+    @lean
     def last_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The last row of each run, whole, with what is needed to join runs at borders."""
         part = TaskContext.get().partitionId()
@@ -112,7 +134,7 @@ def _last_rows(schema: pa.Schema) -> Callable:
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) if x.type != f.type else x for x, f in zip(made, schema, strict=True)], schema=schema)
             ready.clear()
 
-        for runs, border, done in _groups(batches, ids=False):
+        for runs, border, done in _groups(batches, ids=False, text=text):
             for run in runs or ():
                 batch, i = run.last
                 ready.setdefault(id(batch), (batch, []))[1].append((i, run.no, border, run.text if border else None))
@@ -158,7 +180,9 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of ``df`` that stay, with all their columns."""
     x = _sorted(df, id_col, text_col, keep, normalise, carry=True)
     schema = T.StructType([x.schema["row"], T.StructField("id", x.schema["id"].dataType), T.StructField("part", T.IntegerType()), T.StructField("run", T.LongType()), T.StructField("border", T.BooleanType()), T.StructField("text", T.BinaryType())])
-    runs = written(x.mapInArrow(_last_rows(_arrow(schema)), schema), "rows")
+    place = [c.lower() for c in df.columns].index(text_col.lower())
+    text = (lambda b: b.column("t")) if normalise else (lambda b: b.column("row").field(place).cast(pa.binary()))
+    runs = written(x.mapInArrow(_last_rows(_arrow(schema), text), schema), "rows")
     whole = F.broadcast(_joined_borders(runs, keep, sized=False))
     stay = runs.join(whole, ["part", "run"], "left").where("final IS NULL OR (final.part = part AND final.run = run)")
     return stay.select("row.*")
