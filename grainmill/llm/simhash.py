@@ -20,8 +20,10 @@ bucket also names its groups of fingerprints that links within the bits connect.
 joined are gone through once more with the shingle sets at hand, in pairs of chunks of ``OPEN``: there, every pair that is still apart
 is compared, and a spanning forest of the pairs that are similar enough is added. So no pair that shares a bucket is left out.
 
-Defined results: a null or wordless text has fingerprint zero and is linked like any other; null ids never become a
-component's id while it has another; repeated rows are separate rows of one component; an empty table gives an empty one.
+Defined results: a null or wordless text has fingerprint zero and is linked like any other; a very long text counts whole; null ids
+never become a component's id while it has another; repeated rows are separate rows of one component, of which
+``drop_near_duplicates`` keeps one, that of the least hash of all its columns; extra columns are ignored, or carried by it whatever
+their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -32,23 +34,23 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._shared import shuffle_partitions, written
-from ._tokens import mixed
+from ._shared import lean, shuffle_partitions, written
+from ._tokens import mixed, pieces
 from .components import components
 
-PIVOTS, CHUNK, SMALL, OPEN, PIECE = 16, 4096, 32, 512, 1 << 20
-WIDE, MISS, SLACK = 4, 0.02, 0.045
+PIVOTS, CHUNK, SMALL, OPEN, PIECE = 16, 4096, 32, 512, 1 << 17
+WIDE, MISS, SLACK = 4, 0.01, 0.045
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _pieces(raw: bytes) -> Iterator[bytes]:
-    """``raw`` cut at white space into pieces of about 1 MB."""
+    """``raw`` cut at white space into pieces of about ``PIECE`` bytes."""
     at = 0
     while len(raw) - at > PIECE:
         if not (space := _SPACE.search(raw, at + PIECE)):
@@ -102,13 +104,19 @@ def _majority(ones: np.ndarray, n: int) -> list[int]:
 def fingerprint(text: Column, size: int = 4, seed: int = 42, width: int = 1, distinct: bool = False) -> Column:
     """The fingerprint as an array of BIGINTs of equal bits."""
 
-    @F.pandas_udf("array<bigint>")
-    def of(raws: pd.Series) -> pd.Series:
-        return pd.Series(list(np.array([text_fingerprint(x, size, seed, width, distinct) for x in raws], np.uint64).reshape(-1, width + distinct).view(np.int64)))
+    @F.arrow_udf("array<bigint>")
+    def of(raws: pa.Array) -> pa.Array:
+        made = [text_fingerprint(x, size, seed, width, distinct) for _, some in pieces(raws) for x in some]
+        return _rows(np.array(made, np.uint64).reshape(-1, width + distinct))
 
     return of(text.cast("binary"))
 
 
+def _rows(x: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix of unsigned words as lists of BIGINTs of equal bits."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(x).view(np.int64).ravel()))
+
+
 def _signed(m: int) -> int:
     return m - (1 << 64) if m >> 63 else m
 
@@ -209,9 +217,7 @@ def _linker(bits: int, width: int):
         if kept is not None:
             yield np.zeros(len(kept[0]), np.int64), kept[-1].view(np.uint64)
 
-    def column(rows: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, wide), pa.int32()), pa.array(np.ascontiguousarray(rows).view(np.int64).ravel()))
-
+    @lean
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, x in whole_groups(batches):
             starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -241,9 +247,9 @@ def _linker(bits: int, width: int):
                         members.append(m + s)
                         keys.append(np.full(len(m), _group_key(whole[m + s]), np.int64))
             found = np.concatenate(pairs) if pairs else np.empty((0, 2), int)
-            yield pa.RecordBatch.from_arrays([column(whole[found[:, 0]]), column(whole[found[:, 1]]), pa.nulls(len(found), pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([_rows(whole[found[:, 0]]), _rows(whole[found[:, 1]]), pa.nulls(len(found), pa.int64())], schema=schema)
             if members:
-                own = column(whole[np.concatenate(members)])
+                own = _rows(whole[np.concatenate(members)])
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(own), words), own, pa.array(np.concatenate(keys))], schema=schema)
 
     return link
@@ -268,7 +274,8 @@ def links(fingerprints: DataFrame, bits: int, masks: list[list[int]], chunk: int
 def shingle_set(raw: bytes | None, size: int) -> np.ndarray:
     """The distinct hashes of a text's word shingles."""
     words = (raw or b"").lower().split()
-    grams = [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+    joined, ends = b" ".join(words), list(itertools.accumulate([len(w) + 1 for w in words]))
+    grams = [joined[s : e - 1] for s, e in zip([0, *ends], ends[size - 1 :], strict=False)] or ([joined] if words else [])
     return np.unique(np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64)).view(np.int64)
 
 
@@ -277,8 +284,18 @@ def _sets(df: DataFrame, id_col: str, text_col: str, size: int, base: DataFrame,
     stand = base.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("id", "mark")).alias("r"))
     stand = written(stand.select("fp", F.col("r.id").alias("r_id"), F.col("r.mark").alias("r_mark")), "ends")
     texts = df.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).cast("binary").alias("t"))
-    sets = F.pandas_udf(lambda raws: pd.Series([shingle_set(x, size) for x in raws]), "array<bigint>")
-    held = texts.join(stand, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("mark") == F.col("r_mark"))).select("fp", sets("t").alias("s"))
+    numbers = T.ArrayType(T.LongType())
+
+    @lean
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, raws in pieces(batch.column(1)):
+                made = [shingle_set(x, size) for x in raws]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in made])], pa.int32()), pa.array(np.concatenate(made)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(raws)), lists], names=["fp", "s"])
+
+    found = texts.join(stand, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("mark") == F.col("r_mark"))).select("fp", "t")
+    held = found.mapInArrow(sets, T.StructType([T.StructField("fp", numbers), T.StructField("s", numbers)]))
     return written(held.dropDuplicates(["fp"]), tag)
 
 
@@ -377,11 +394,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8, size: int = 5, bits: int = 4) -> DataFrame:
     """The rows of ``df``, one for each component: that of the smallest id (of repeated rows, one)."""
-    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    found = _members(df, id_col, text_col, bits, size, similarity)
+    found = written(_members(df, id_col, text_col, bits, size, similarity).select("id", "mark", "root"), "members")
     stays = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("s"))
     stays = written(stays.select(F.col("s.id").alias("__gm_id"), F.col("s.mark").alias("__gm_mark")), "stays")
-    rows = df.withColumn("__gm_own", F.col(id_col)).withColumn("__gm_own_mark", mark)
-    rows = rows.join(stays, F.col("__gm_own").eqNullSafe(F.col("__gm_id")) & (F.col("__gm_own_mark") == F.col("__gm_mark")), "left_semi")
-    one = F.row_number().over(Window.partitionBy("__gm_own", "__gm_own_mark").orderBy("__gm_own"))
-    return rows.withColumn("__gm_no", one).where("__gm_no = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    own = df.withColumn("__gm_own", F.col(id_col)).withColumn("__gm_own_mark", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    same = F.col("__gm_own").eqNullSafe(F.col("__gm_id")) & (F.col("__gm_own_mark") == F.col("__gm_mark"))
+    twice = found.groupBy("id", "mark").count().where("count > 1").select(F.col("id").alias("__gm_id"), F.col("mark").alias("__gm_mark"))
+    twice = written(twice.join(stays, twice["__gm_id"].eqNullSafe(stays["__gm_id"]) & (twice["__gm_mark"] == stays["__gm_mark"]), "left_semi"), "twice")
+    if twice.isEmpty():
+        return own.join(stays, same, "left_semi").select(*columns)
+    # of repeated rows one stays: a minimum, which is taken before the shuffle, so that any number of them may be equal
+    alone = own.join(stays, same, "left_semi").join(twice, same, "left_anti").select(*columns)
+    hashed = F.xxhash64(*[c for c, f in zip(columns, df.schema.fields, strict=True) if not _holds_map(f.dataType)])
+    one = own.join(twice, same, "left_semi").groupBy("__gm_own", "__gm_own_mark").agg(F.min_by(F.struct(*columns), hashed).alias("__gm_row"))
+    return alone.unionByName(one.select("__gm_row.*"))
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    """Whether values of this type can't be hashed."""
+    return '"map"' in kind.json() or isinstance(kind, T.VariantType)
