@@ -2,8 +2,9 @@
 
 The blended-spectrum presence kernel of two texts is the number of n-grams (n = 1 to 3) that both hold, over the geometric
 mean of how many each holds. N-grams are counted in hashed form, in ``1 << BITS`` buckets. A bounded sample of labelled
-rows trains the model: at most ``SAMPLE`` rows, dealt evenly to the languages, of at most ``LONGEST`` characters each, the
-first ``LANDMARKS`` of them (dealt evenly too) as landmarks. Every whole text is then scored in batches of matrix products:
+rows trains the model: about ``SAMPLE`` rows, dealt evenly to the languages (one of each language at least), of which longer
+texts give a window of ``LONGEST`` characters at a place that a hash chooses, the first ``LANDMARKS`` of them (dealt evenly
+too) as landmarks. Every whole text is then scored in batches of matrix products:
 presence by landmarks, by the inverse root of the landmarks' kernel, by the ridge weights.
 
 The scores rank languages, but can't tell that a text is of none of them: they sum to a constant. For that, ``familiar`` is the
@@ -12,7 +13,8 @@ bound: halfway between what nearly all training rows reach, each by the others'
 their letters shuffled. Short texts have ``ALLOWED`` over the root of their number of n-grams to spare.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is every text when nothing is labelled; a
-null id counts as the empty string for the split; repeated rows get equal predictions; other columns are ignored.
+null id counts as the empty string for the split; very long texts are scored whole; repeated rows get equal predictions, and
+of equal scores the language that comes first by name is taken; other columns are ignored, or carried by ``keep_identified``.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._tokens import pieces
+
 USUAL, ALLOWED = 0.01, 0.5
 BITS, SAMPLE, LANDMARKS, LONGEST, RIDGE, BATCH, PIECE = 15, 2048, 128, 20_000, 1e-3, 64, 1 << 20
 UNKNOWN = "und"
@@ -63,26 +67,31 @@ class Model:
     usual: np.ndarray  # bits: for each bucket and language, whether it is usual there
     bounds: np.ndarray
 
-    def __post_init__(self):
-        self._l = self._u = None
+    def ready(self) -> Ready:
+        return Ready(self)
+
+
+class Ready:
+    """A model with its matrices unpacked, for as long as a task runs."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.landmarks = np.unpackbits(model.landmarks, axis=1).astype(np.float32)
+        self.landmarks /= np.sqrt(self.landmarks.sum(axis=1, keepdims=True))
+        self.usual = np.unpackbits(model.usual, axis=0).astype(np.float32)
 
     def features(self, x: np.ndarray) -> np.ndarray:
         """Nyström features of a batch of presence rows, and a constant."""
-        if self._l is None:
-            dense = np.unpackbits(self.landmarks, axis=1).astype(np.float32)
-            self._l = np.ascontiguousarray((dense / np.sqrt(dense.sum(axis=1, keepdims=True))).T)
-        k = (x @ self._l) / np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
-        return np.hstack([k @ self.root, np.ones((len(x), 1), np.float32)])
+        k = (x @ self.landmarks.T) / np.sqrt(np.maximum(1, x.sum(axis=1, keepdims=True)))
+        return np.hstack([k @ self.model.root, np.ones((len(x), 1), np.float32)])
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return self.features(x) @ self.weights
+        return self.features(x) @ self.model.weights
 
     def familiar(self, x: np.ndarray, best: np.ndarray) -> np.ndarray:
         """How far each row's share of usual n-grams of the language ``best`` is above the bound."""
-        if self._u is None:
-            self._u = np.unpackbits(self.usual, axis=0).astype(np.float32)
         n = np.maximum(1, x.sum(axis=1))
-        return (x @ self._u)[np.arange(len(x)), best] / n - self.bounds[best] + ALLOWED / np.sqrt(n)
+        return (x @ self.usual)[np.arange(len(x)), best] / n - self.model.bounds[best] + ALLOWED / np.sqrt(n)
 
 
 def _shuffled(text: str, rng: np.random.Generator) -> str:
@@ -134,12 +143,12 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
     good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])
     model = Model(names, np.packbits(bits, axis=1), root.astype(np.float32), np.zeros((int(good.sum()) + 1, len(names)), np.float32), *usual_grams(texts, langs, names))
-    rows = []
+    rows, ready = [], model.ready()
     for at in range(0, len(texts), BATCH):
         x = np.zeros((len(texts[at : at + BATCH]), 1 << BITS), np.float32)
         for row, t in zip(x, texts[at : at + BATCH], strict=True):
             mark_presence(t, row)
-        rows.append(model.features(x))
+        rows.append(ready.features(x))
     phi = np.vstack(rows).astype(np.float64)
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     n = np.array([langs.count(x) for x in langs], float)  # languages weigh the same
@@ -150,19 +159,22 @@ def fit(texts: list[str], langs: list[str]) -> Model | None:
 
 def train(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model | None:
     """The model of a bounded sample of the rows that are not held out."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(~held_out(F.col("id")) & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE // 8).collect()
+    text = F.col(text_col)
+    places = F.pmod(F.xxhash64(F.lit(78), text), F.greatest(F.lit(1), F.length(text) - LONGEST + 1)).cast("int")
+    window = F.when(F.length(text) <= LONGEST, text).otherwise(F.substring(text, places + 1, F.lit(LONGEST)))
+    rows = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), window.alias("text")).where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}")))
+    rows = rows.withColumn("draw", F.pmod(F.xxhash64(F.lit(77), F.coalesce(F.col("id").cast("string"), F.lit("")), "text"), F.lit(1 << 30)) / float(1 << 30))
+    # a row for each language: its count, and the row that is drawn first
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.struct("draw", "text")).alias("first")).collect()
     if not counts:
         return None
-    each = SAMPLE // len(counts)
-    draw = F.pmod(F.xxhash64(F.lit(77), F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.5 * each / r["count"]))])
-    picked = rows.withColumn("draw", draw).where((F.col("draw") < F.try_element_at(share, "lang")) & F.col("text").isNotNull() & (F.length("text") <= LONGEST))
-    found = picked.orderBy("draw", "id").limit(2 * SAMPLE).collect()
-    by: dict[str, list] = {}
-    for r in found:
-        if _LETTER.search(r["text"]):
-            by.setdefault(r["lang"], []).append((r["draw"], r["text"]))
+    each = max(1, SAMPLE // len(counts))
+    by = {r["lang"]: {(r["first"]["draw"], r["first"]["text"])} for r in counts}
+    share = df.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.5 * each / r["n"])) for r in counts], f"lang {df.schema[lang_col].dataType.simpleString()}, share double")
+    place = F.col("draw") / F.col("share")  # even over each language's rows, so that the limit cuts all alike
+    picked = rows.join(F.broadcast(share), "lang").where("draw < share").withColumn("place", place)
+    for r in picked.orderBy("place", "id").limit(2 * SAMPLE).select("lang", "draw", "text").collect():
+        by[r["lang"]].add((r["draw"], r["text"]))
     order = sorted((i, lang, t) for lang, x in by.items() for i, (_, t) in enumerate(sorted(x)[:each]))
     return fit([t for _, _, t in order], [lang for _, lang, _ in order])
 
@@ -173,25 +185,26 @@ def predict(text: Column, model: Model | None, df: DataFrame) -> Column:
         return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("familiar"))
     shared = df.sparkSession.sparkContext.broadcast(model)  # its size is bound by LANDMARKS and BITS
 
-    @F.pandas_udf("lang_pred string, score double, familiar double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+    @F.arrow_udf("lang_pred string, score double, familiar double")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = shared.value.ready()
         x = np.zeros((BATCH, 1 << BITS), np.float32)
-        for texts in batches:
-            names, scores, familiar = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-            at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
-            for s in range(0, len(at), BATCH):
-                own = at[s : s + BATCH]
-                x[: len(own)] = 0
-                for row, i in zip(x, own, strict=False):
-                    mark_presence(texts.iloc[i], row)
-                f = m.score(x[: len(own)])
-                best = f.argmax(axis=1)
-                scores[own] = np.clip((f[np.arange(len(own)), best] + 1) / 2, 0, 1)
-                familiar[own] = m.familiar(x[: len(own)], best)
-                for i, k in zip(own, best.tolist(), strict=True):
-                    names[i] = m.languages[k]
-            yield pd.DataFrame({"lang_pred": names, "score": scores, "familiar": familiar})
+        for batch in batches:
+            names, scores, familiar = [UNKNOWN] * len(batch), np.zeros(len(batch)), np.zeros(len(batch))
+            for first, texts in pieces(batch):
+                at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+                for s in range(0, len(at), BATCH):
+                    own = [first + i for i in at[s : s + BATCH]]
+                    x[: len(own)] = 0
+                    for row, i in zip(x, at[s : s + BATCH], strict=False):
+                        mark_presence(texts[i], row)
+                    f = m.score(x[: len(own)])
+                    best = f.argmax(axis=1)
+                    scores[own] = np.clip((f[np.arange(len(own)), best] + 1) / 2, 0, 1)
+                    familiar[own] = m.familiar(x[: len(own)], best)
+                    for i, k in zip(own, best.tolist(), strict=True):
+                        names[i] = m.model.languages[k]
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores), pa.array(familiar)], ["lang_pred", "score", "familiar"])
 
     return of(text)
 
