@@ -2,12 +2,14 @@
 
 A source of mass m and target share w is repeated at the mean rate w * total / m. Each document's count inverts the
 Poisson distribution of that rate at a uniform number taken from a hash of seed and id, so it depends on nothing else;
-the document is exploded by its count, and the copies are dealt out and sorted by a second hash: a global shuffle with
-one exchange and no sampling pass.
-
-Defined results: a null source is a source of its own; null ids and repeated rows draw the same number as their like; a
-source without a weight is left out, and one of no mass (only empty or null texts) has rate 0 under ``unit="chars"``;
-an empty table gives an empty result. Column names are kept; the added columns are given by ``copy_col``.
+the document is exploded by its count. The copies are dealt out evenly, whatever their ids or texts are, and each part is
+sorted by a second hash: a global shuffle with one exchange and no sampling pass. A rate above ``MOST_RATE`` is the sum of
+equal smaller ones, with a number of its own for each, as a sum of Poisson draws is one of the sum of the rates.
+
+Defined results: a null source is a source of its own; null ids and repeated rows draw the same number as their like; empty
+and very long texts count by their length; a source without a weight is left out, and one of no mass (only empty or null
+texts) has rate 0 under ``unit="chars"``; an empty table gives an empty result. Column names are kept; where the table has a
+column of the name ``copy_col`` already, the added one has as many underscores at its end as make it new.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import written
+from ._shared import shuffle_partitions, written
 
-#: Up to so many sources their tables are broadcast (under 1 kB each); beyond, the join is by shuffle.
-BROADCAST_SOURCES = 10_000
-#: Mean rates beyond this would need more terms than a double can tell apart.
+#: Up to so many bytes the table of sources is broadcast; beyond, the join is by shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Beyond this a draw would need more terms than a double can tell apart.
 MOST_RATE = 500.0
 
 
@@ -61,17 +63,21 @@ def replication(df: DataFrame, source_col: str, text_col: str, weights: dict[str
 
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: dict[str | None, float] | None = None, power: float = 0.7, unit: str = "chars", seed: int = 2024, copy_col: str = "copy") -> DataFrame:
     """The rows of ``df``, each as often as its count says, shuffled; ``copy_col`` numbers the copies of a row from 0."""
+    while copy_col.lower() in {c.lower() for c in df.columns}:
+        copy_col += "_"
     rates = replication(df, source_col, text_col, weights, power, unit)
-    n, most = rates.agg(F.count("*"), F.coalesce(F.max("rate"), F.lit(0.0))).first()
-    if most > MOST_RATE:
-        raise ValueError(f"a source would be repeated {most:.0f} times on average; the most is {MOST_RATE:.0f}")
-    table = rates.select(F.col("source").alias("__gm_source"), poisson_cdf(F.col("rate")).alias("__gm_cdf"))
-    table = F.broadcast(table) if n <= BROADCAST_SOURCES else table
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST_RATE)).cast("int")
+    rates = rates.withColumn("parts", parts).withColumn("rate", F.col("rate") / F.col("parts"))
+    size = rates.agg(F.coalesce(F.sum(100 + 8 * (F.col("rate") + 9 * F.sqrt("rate") + 20)), F.lit(0.0))).first()[0]
+    table = rates.select(F.col("source").alias("__gm_source"), F.col("parts").alias("__gm_parts"), poisson_cdf(F.col("rate")).alias("__gm_cdf"))
+    table = F.broadcast(table) if size <= BROADCAST_BYTES else table
     columns = [F.col(f"`{c}`") for c in df.columns]
-    drawn = df.withColumn("__gm_own", F.col(source_col)).withColumn("__gm_u", uniform(seed, F.col(id_col)))
+    drawn = df.withColumn("__gm_own", F.col(source_col)).withColumn("__gm_id", F.col(id_col)).withColumn("__gm_u", uniform(seed, F.col(id_col)))
     drawn = drawn.join(table, F.col("__gm_own").eqNullSafe(F.col("__gm_source")))
-    count = F.size(F.filter("__gm_cdf", lambda c: c <= F.col("__gm_u")))
+    one = lambda u: F.size(F.filter("__gm_cdf", lambda c: c <= u))
+    rest = F.aggregate(F.sequence(F.lit(1), F.col("__gm_parts") - 1), F.lit(0), lambda n, k: n + one(uniform(seed, F.col("__gm_id"), k)))
+    count = one(F.col("__gm_u")) + F.when(F.col("__gm_parts") > 1, rest).otherwise(0)
     drawn = drawn.withColumn("__gm_n", count).where("__gm_n > 0")
     out = drawn.select(*columns, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__gm_n").cast("bigint") - 1)).alias(copy_col))
-    out = out.withColumn("__gm_at", F.xxhash64(F.lit(seed + 1), id_col, copy_col))
-    return out.repartition("__gm_at").sortWithinPartitions("__gm_at").drop("__gm_at")
+    out = out.repartition(shuffle_partitions(df.sparkSession))
+    return out.sortWithinPartitions(F.xxhash64(F.lit(seed + 1), F.col(f"`{id_col}`"), F.col(f"`{copy_col}`")))
