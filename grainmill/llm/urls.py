@@ -1,11 +1,12 @@
 """URL filters: a trie over reversed host labels, then path segments, broadcast to the executors.
 
 A rule fits its host and all subdomains when the url's path starts with the rule's path. The rule of the deepest host
-wins, then that of the longest path; this holds between allow and block rules alike. Rules up to ``MOST_RULES`` are
-broadcast as a trie; a longer list, or a table of rules, is joined by host suffix instead, with the same results.
+wins, then that of the longest path; this holds between allow and block rules alike, and of an allow and a block rule of the
+same host and path the allow rule holds. Rules up to ``MOST_RULES`` are broadcast as a trie; a longer list, or a table of
+rules, is joined by host suffix and path folder instead, with the same results.
 
-Defined results: a null url, or one without ``://``, has empty host and path and no rule; urls are judged row by row, so
-repeated rows get equal verdicts; an empty table gives an empty result; other columns are ignored.
+Defined results: a null url, or one without ``://``, has empty host and path and no rule; null ids are kept; urls of any
+length are judged whole and row by row, so repeated rows get equal verdicts; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import written
+
 #: The bound of the broadcast: so many rules of at most MOST_LENGTH characters are some tens of MB.
 MOST_RULES, MOST_LENGTH = 100_000, 512
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,14 +86,25 @@ def _by_trie(parts: DataFrame, rules: list[Rule], default: str) -> DataFrame:
     return parts.withColumn("__gm", judge("host", "path")).select(*parts.columns, "__gm.rule", "__gm.verdict")
 
 
+def _before(path: str, n: Column) -> Column:
+    """What stands before the slash of this number."""
+    return F.call_function("substring_index", F.col(path), F.lit("/"), n.cast("int"))
+
+
 def _by_join(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same by an equi-join of each host's suffixes; a page has as many suffixes as labels."""
-    rows = parts.withColumn("__gm_no", F.monotonically_increasing_id())
+    """The same by an equi-join on host suffix and path folder (all of a path up to a slash): a page has as many suffixes as labels, and folders down to the deepest rule's."""
+    rows = written(parts.withColumn("__gm_no", F.monotonically_increasing_id()), "urls")
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    r = rules.select(F.col("verdict").alias("r_verdict"), F.col("host").alias("r_host"), F.col("path").alias("r_path"))
-    hit = rows.select("__gm_no", "path", F.explode(suffixes).alias("r_host")).join(r, "r_host").where("startswith(path, r_path)")
-    rank = F.struct(F.length("r_host").alias("h"), F.length("r_path").alias("p"), F.concat("r_host", "r_path").alias("rule"))
+    r = rules.groupBy(F.col("host").alias("r_host"), F.col("path").alias("r_path")).agg(F.min("verdict").alias("r_verdict"))
+    slashes = lambda c: F.length(c) - F.length(F.replace(c, F.lit("/"), F.lit("")))
+    r = r.withColumn("folder", _before("r_path", slashes(F.col("r_path"))))
+    deepest = rules.agg(F.coalesce(F.max(slashes(F.col("path"))), F.lit(0))).first()[0]
+    folders = F.transform(F.sequence(F.lit(0), F.least(slashes(F.col("path")), F.lit(deepest))), lambda n: _before("path", n))
+    own = rows.select("__gm_no", "path", F.explode(suffixes).alias("r_host"), folders.alias("folders"))
+    own = own.select("__gm_no", "path", "r_host", F.explode(F.array_distinct("folders")).alias("folder"))
+    hit = own.join(r, ["r_host", "folder"]).where("startswith(path, r_path)")
+    rank = F.struct(F.length("r_host").alias("h"), F.length("r_path").alias("p"))
     best = hit.groupBy("__gm_no").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), rank).alias("b"))
     return rows.join(best, "__gm_no", "left").select(*parts.columns, F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
 
