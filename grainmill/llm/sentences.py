@@ -1,18 +1,19 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences at full stops, question and exclamation marks and line breaks, and further
-before each word whose hash is the least of some ``WINDOW`` words in a row (winnowing). So each ``WINDOW`` words hold a cut, and
-cuts inside a shared passage depend on no word outside but for its first and last ``WINDOW`` - 1 words: a passage of 49 words
-(3 * ``WINDOW`` - 2 before the span's first cut and after its end, 27 in the span at most) always holds a whole span. From each sentence on, the shortest span of at least ``SENTENCES`` sentences and ``WORDS`` words is hashed. Spans
-are counted over the corpus; the occurrences of repeated spans are ranked by (id, position), and the sentences that any
-occurrence but the first covers are removed.
+A text is cut into sentences at full stops, question and exclamation marks and line breaks. Only sentences of more than
+``LONGEST`` words are cut further, before each word whose hash is the least of some ``WINDOW`` words in a row of the sentence
+(winnowing): such a cut depends on no word that is further away, so a passage that is shared inside running text without
+marks still holds whole units. From each sentence on, the shortest span of at least ``SENTENCES`` sentences and ``WORDS`` words is
+hashed. Spans are counted over the corpus; the occurrences of repeated spans are ranked by (id, position), and the sentences
+that any occurrence but the first covers are removed.
 
 Counts are pre-aggregated before they are shuffled, joins on a span's hash can be split when it is very common, and what is
 gathered for one document is bounded by that document.
 
-Defined results: a null text is returned as null, a text without words as it is; rows of equal id and text count as one
-document, so they don't repeat one another; null ids come first in the order; shorter repeats than a span stay; an empty
-table gives an empty result; other columns are ignored.
+Defined results: a null text is returned as null, a text without words as it is; a very long text is one text like others.
+Of rows of equal id and text (null ids included) one counts as the first, and the others lose every sentence that a span
+covers; null ids come first in the order; shorter repeats than a span stay; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,19 +21,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import written
-from ._tokens import _R, _power, mixed, word_places
+from ._shared import lean, written
+from ._tokens import _R, _power, mixed, pieces, word_places
 
-SENTENCES, WORDS, WINDOW = 3, 20, 8
+SENTENCES, WORDS, LONGEST, WINDOW = 3, 20, 12, 8
 _END = np.zeros(256, np.int64)
 _END[list(b".!?\n\r")] = 1
-PIECE = 1_000_000
 
 
 def _over(x: np.ndarray, of, size: int) -> np.ndarray:
@@ -46,12 +45,12 @@ def _over(x: np.ndarray, of, size: int) -> np.ndarray:
 
 
 def least_of_windows(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether each word's hash is the least of a window of ``WINDOW`` words of its text."""
+    """Whether each word's hash is the least of a window of ``WINDOW`` words of equal ``doc``."""
     n, w = len(h), WINDOW
     if n < w:
         return np.zeros(n, bool)
     key = mixed(h + np.uint64(13)) | np.uint64(1)
-    least = np.where(doc[: n - w + 1] == doc[w - 1 :], _over(key, np.minimum, w), np.uint64(0))  # 0: a window over the end of a text
+    least = np.where(doc[: n - w + 1] == doc[w - 1 :], _over(key, np.minimum, w), np.uint64(0))  # 0: a window over an end
     edge = np.zeros(w - 1, np.uint64)
     return _over(np.r_[edge, least, edge], np.maximum, w) == key  # no window of a word has a larger minimum than the word itself
 
@@ -66,7 +65,11 @@ class Cut:
         new = np.ones(n, bool)
         if n > 1:
             marked = ends[start[1:] - 1] > ends[stop[:-1] - 1]
-            new[1:] = (doc[1:] != doc[:-1]) | marked | least_of_windows(self.h, doc)[1:]
+            new[1:] = (doc[1:] != doc[:-1]) | marked
+            first = np.flatnonzero(new)
+            size = np.diff(np.r_[first, n])
+            if (size > LONGEST).any():
+                new |= np.repeat(size > LONGEST, size) & least_of_windows(self.h, np.repeat(np.arange(len(first)), size))
         self.first = np.flatnonzero(new)
         self.doc = doc[self.first]
         self.byte = start[self.first] - self.offsets[self.doc]  # within its text
@@ -89,29 +92,20 @@ class Cut:
         return mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)), begin, end
 
 
-def _pieces(texts: list) -> Iterator[tuple[int, int]]:
-    first, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or b"")
-        if held > PIECE or i == len(texts) - 1:
-            yield first, i + 1
-            first, held = i + 1, 0
-
-
 def _span_rows(docs: DataFrame, places: bool) -> DataFrame:
     """A row for each span: its hash, and with ``places`` its document, first sentence and the one after its last (numbered in the text)."""
     kind = T.StructType([T.StructField("h", T.LongType()), *([T.StructField("id", docs.schema["id"].dataType), T.StructField("mark", T.LongType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())] if places else [])])
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in _pieces(texts):
-                cut = Cut(texts[lo:hi])
+            for lo, texts in pieces(batch.column(0)):
+                cut = Cut(texts)
                 h, begin, end = cut.spans()
                 cols = [pa.array(h.view(np.int64))]
                 if places:
                     at = cut.doc[begin]
-                    head = np.searchsorted(cut.doc, np.arange(hi - lo))[at]
+                    head = np.searchsorted(cut.doc, np.arange(len(texts)))[at]
                     own = pa.array(lo + at)
                     cols += [batch.column(1).take(own), batch.column(2).take(own), pa.array((begin - head).astype(np.int32)), pa.array((end - head).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, names=kind.names)
@@ -130,33 +124,58 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return later.groupBy("id", "mark").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
-def _without(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    """Texts without the sentences of the given spans; removed has the code points (start:end) of what has gone."""
-    out = []
-    for raw, gone in zip(texts, spans, strict=True):
-        raw = bytes(raw) if raw is not None else None
-        cut = Cut([raw])
-        n = len(cut.first)
-        if gone is None or not len(gone):
-            out.append((raw.decode() if raw is not None else None, n, 0, ""))
-            continue
-        dead = np.zeros(n + 1, np.int64)
-        for s in gone:
-            dead[s["a"]] += 1
-            dead[s["b"]] -= 1
-        dead = np.r_[False, np.cumsum(dead)[:n] > 0, False]
-        edge = np.r_[cut.byte, len(raw)]
-        a, b = edge[np.flatnonzero(dead[1:] & ~dead[:-1])], edge[np.flatnonzero(~dead[1:] & dead[:-1])]
-        points = np.r_[0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)]
-        kept = [raw[x:y] for x, y in zip(np.r_[0, b].tolist(), np.r_[a, len(raw)].tolist(), strict=True)]
-        out.append((b"".join(kept).decode("utf-8", "replace"), n, int(dead.sum()), ",".join(f"{points[x]}:{points[y]}" for x, y in zip(a.tolist(), b.tolist(), strict=True))))
-    return pd.DataFrame(out, columns=["text", "n_sentences", "n_removed", "removed"])
+def _dead(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
+    """Which of ``n`` sentences the spans cover."""
+    change = np.zeros(n + 1, np.int64)
+    for a, b in spans:
+        change[a] += 1
+        change[b] -= 1
+    return np.cumsum(change)[:n] > 0
+
+
+def _left(raw: bytes, byte: np.ndarray, dead: np.ndarray) -> tuple[bytes, str]:
+    """The text without its dead sentences, and the code points (start:end) of what has gone."""
+    dead, edge = np.r_[False, dead, False], np.r_[byte, len(raw)]
+    a, b = edge[np.flatnonzero(dead[1:] & ~dead[:-1])], edge[np.flatnonzero(~dead[1:] & dead[:-1])]
+    points = np.r_[0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)]
+    kept = [raw[x:y] for x, y in zip(np.r_[0, b].tolist(), np.r_[a, len(raw)].tolist(), strict=True)]
+    return b"".join(kept), ",".join(f"{points[x]}:{points[y]}" for x, y in zip(a.tolist(), b.tolist(), strict=True))
+
+
+@lean
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (t, id, spans, again) without the sentences of the given spans, or of all their spans if the row is there ``again``."""
+    for batch in batches:
+        for lo, texts in pieces(batch.column(0)):
+            cut, size = Cut(texts), len(texts)
+            head = np.searchsorted(cut.doc, np.arange(size + 1))
+            gone = {i: [(x["a"], x["b"]) for x in v] for i, v in enumerate(batch.column(2).slice(lo, size).to_pylist()) if v}
+            again = [i for i, v in enumerate(batch.column(3).slice(lo, size).to_pylist()) if v]
+            if again:
+                _, begin, end = cut.spans()
+                of = cut.doc[begin]
+                gone |= {i: list(zip((begin[of == i] - head[i]).tolist(), (end[of == i] - head[i]).tolist(), strict=True)) for i in again}
+            out, removed, where = list(texts), np.zeros(size, np.int64), [""] * size
+            for i, spans in gone.items():
+                dead = _dead(int(head[i + 1] - head[i]), spans)
+                if dead.any():
+                    out[i], where[i] = _left(texts[i], cut.byte[head[i] : head[i + 1]], dead)
+                    removed[i] = dead.sum()
+            cols = [batch.column(1).slice(lo, size), pa.array(out, pa.binary()).view(pa.string()), pa.array(np.diff(head).astype(np.int64)), pa.array(removed), pa.array(where, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "text", "n_sentences", "n_removed", "removed"])
 
 
 def remove_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, n_sentences, n_removed, removed) for each row of ``df``."""
     gone = written(repeated_spans(df, id_col, text_col).withColumnsRenamed({"id": "g_id", "mark": "g_mark"}), "repeats")
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"))
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"))
+    twice = written(docs.groupBy("id", "mark").count().where("count > 1").select(F.col("id").alias("t_id"), F.col("mark").alias("t_mark")), "twice")
     both = docs.join(gone, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("mark") == F.col("g_mark")), "left")
-    without = F.pandas_udf(_without, "text string, n_sentences bigint, n_removed bigint, removed string")
-    return both.select(F.col("id").alias(id_col), without(F.col("t").cast("binary"), "spans").alias("o")).select(id_col, "o.*")
+    rows = both.select("t", "id", "spans", F.lit(False).alias("again"))
+    if not twice.isEmpty():
+        same = F.col("id").eqNullSafe(F.col("t_id")) & (F.col("mark") == F.col("t_mark"))
+        number = F.row_number().over(Window.partitionBy("id", "mark").orderBy("mark"))  # rows are passed on one by one, however many are equal
+        rows = both.join(twice, same, "left_anti").select("t", "id", "spans", F.lit(False).alias("again"))
+        rows = rows.unionByName(both.join(twice, same, "left_semi").withColumn("again", number > 1).select("t", "id", "spans", "again"))
+    kind = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("text", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.StringType())])
+    return rows.mapInArrow(_without, kind).withColumnRenamed("id", id_col)
