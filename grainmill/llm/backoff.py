@@ -1,7 +1,7 @@
 """Stupid-backoff language-model scores from n-gram counts over the whole corpus.
 
 1. Documents are gathered into blocks of about ``BLOCK`` words: a vocabulary of word hashes and a stream of numbers in it.
-2. Each block explodes into its n-grams of orders 1 to n, counted within the block and dealt by hash into buckets.
+2. Each block explodes into its n-grams, one order after the other, counted within the block and dealt by hash into buckets.
 3. A bucket of the count table adds the counts of its n-grams over all blocks and joins them back: each block gets the
    corpus counts of its n-grams in their order. The number of buckets follows the corpus, so that a bucket stays small,
    and a common n-gram is one entry for each block, so none is hot.
@@ -11,10 +11,12 @@ The score of a word is count(n-gram) / count(context) where the n-gram occurs at
 the score of the next lower order; that of a single word is count / total.
 
 Rows would be the plainer form of steps 2 and 3, but their shuffle exceeds the disk that is allowed; packed by block and
-bucket an n-gram takes about 6 bytes.
+bucket an n-gram takes about 6 bytes. In a corpus of so many buckets that a block has few n-grams in each, the packed rows
+come near to rows of one n-gram.
 
-Defined results: a null or wordless text has no words, score 0 and no perplexity; repeated rows count and are scored as often
-as they occur; null ids are kept; an empty table gives an empty result; other columns are ignored.
+Defined results: a null or wordless text has no words, score 0 and no perplexity; a very long text is scored whole, and may
+make a block of its own; repeated rows count and are scored as often as they occur; null ids are kept; equal counts of a
+context and its n-gram give a score of 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,40 +30,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import new_path, power_of_two
-from ._tokens import _R, mixed, words
+from ._shared import lean, new_path, power_of_two
+from ._tokens import _R, mixed, pieces, words
 
-ALPHA, BLOCK, BUCKET_ROWS, PIECE = 0.4, 500_000, 1_000_000, 1_000_000
+ALPHA, BLOCK, BUCKET_ROWS = 0.4, 2_000_000, 1_000_000
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Unsigned integers as byte planes: all lowest bytes, then the next; high planes of zeros compress to nothing."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+def _packed(x: np.ndarray) -> bytes:
+    """Unsigned integers as compressed byte planes: all lowest bytes, then the next; high planes of zeros compress to nothing."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), codec="zstd", asbytes=True) if len(x) else b""
 
 
-def _unplanes(raw: bytes, kind: type) -> np.ndarray:
+def _unpack(raw: bytes, n: int, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+    if not n:
+        return np.empty(0, kind)
+    plain = pa.decompress(raw, decompressed_size=n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
-def _grams(h: np.ndarray, doc: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Of a block: its distinct n-grams sorted, how often each occurs, and for each order the places of the last words and the n-grams' numbers there."""
-    keys, places, gram = [], [], h
+def _grams(h: np.ndarray, doc: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of a block, for each order from 1: the places of the last words of its n-grams, and the n-grams' hashes."""
+    gram = h
     for n in range(1, order + 1):
         if n > 1:
             gram = mixed(gram[:-1] * _R + h[n - 1 :] + np.uint64(n)) if len(gram) else gram
-        at = np.arange(n - 1, len(h))
         whole = doc[n - 1 :] == doc[: max(0, len(doc) - n + 1)]
-        keys.append(mixed(gram + np.uint64(n))[whole])
-        places.append(at[whole])
-    distinct, number, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    return distinct, times, places, np.split(number, np.cumsum([len(k) for k in keys])[:-1])
+        yield np.flatnonzero(whole) + n - 1, mixed(gram + np.uint64(n))[whole]
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    vocabulary, stream = np.frombuffer(row["vocabulary"], np.uint64), _unplanes(row["stream"], np.uint32)
+    vocabulary, stream = np.frombuffer(row["vocabulary"], np.uint64), _unpack(row["stream"], row["words"], np.uint32)
     sizes = np.frombuffer(row["sizes"], np.int32)
-    return vocabulary[stream], np.repeat(np.arange(len(sizes)), sizes)
+    return vocabulary[stream], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -70,6 +71,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
     schema = to_arrow_schema(kind)
 
+    @lean
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no, part = 0, TaskContext.get().partitionId()
         ids: list = []
@@ -80,25 +82,21 @@ def _blocks(docs: DataFrame) -> DataFrame:
             nonlocal no
             h = np.concatenate(hashes)
             vocabulary, stream = np.unique(h, return_inverse=True)
-            made = [[part << 32 | no], [ids], [np.concatenate(sizes).astype(np.int32).tobytes()], [vocabulary.tobytes()], [_planes(stream.astype(np.uint32))], [len(h)], [len(h) + len(vocabulary)]]
+            made = [[part << 32 | no], [ids], [np.concatenate(sizes).astype(np.int32).tobytes()], [vocabulary.tobytes()], [_packed(stream.astype(np.uint32))], [len(h)], [len(h) + len(vocabulary)]]
             no += 1
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, schema, strict=True)], schema=schema)
 
         held = 0
         for batch in batches:
-            texts, own = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            first, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or b"")
-                if size > PIECE or i == len(texts) - 1:
-                    h, doc = words(texts[first : i + 1])
-                    ids += own[first : i + 1]
-                    hashes.append(h)
-                    sizes.append(np.bincount(doc, minlength=i + 1 - first))
-                    held, first, size = held + len(h), i + 1, 0
-                    if held >= BLOCK:
-                        yield out()
-                        ids, hashes, sizes, held = [], [], [], 0
+            for first, texts in pieces(batch.column(0)):
+                h, doc = words(texts)
+                ids += batch.column(1).slice(first, len(texts)).to_pylist()
+                hashes.append(h)
+                sizes.append(np.bincount(doc, minlength=len(texts)))
+                held += len(h)
+                if held >= BLOCK:
+                    yield out()
+                    ids, hashes, sizes, held = [], [], [], 0
         if ids:
             yield out()
 
@@ -114,51 +112,56 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
     total, grams = blocks.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("grams"), F.lit(0))).first()
     buckets = power_of_two(max(64, order * grams / BUCKET_ROWS))
     shift = np.uint64(64 - buckets.bit_length() + 1)
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("keys", pa.binary()), ("times", pa.binary())])
 
+    @lean
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                distinct, times, *_ = _grams(*_unpacked(row), order)
-                bucket = (distinct >> shift).astype(np.int64)
-                edge = np.searchsorted(bucket, np.arange(buckets + 1))
-                at = [k for k in range(buckets) if edge[k + 1] > edge[k]]
-                cut = [(edge[k], edge[k + 1]) for k in at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(at, pa.int32()), pa.array([row["block"]] * len(at), pa.int64()), pa.array([_planes(np.diff(distinct[a:b], prepend=np.uint64(0))) for a, b in cut], pa.binary()), pa.array([_planes(times[a:b].astype(np.uint32)) for a, b in cut], pa.binary())],
-                    names=["bucket", "block", "keys", "times"],
-                )
+                for n, (_, keys) in enumerate(_grams(*_unpacked(row), order), 1):
+                    distinct, times = np.unique(keys, return_counts=True)
+                    bucket = (distinct >> shift).astype(np.int64)
+                    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
+                    cut = list(zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True)) if len(first) else []
+                    for at in range(0, len(cut), 4096):
+                        some = cut[at : at + 4096]
+                        rows = [bucket[[a for a, _ in some]], [row["block"]] * len(some), [n] * len(some), [b - a for a, b in some], [_packed(np.diff(distinct[a:b], prepend=np.uint64(0))) for a, b in some], [_packed(times[a:b].astype(np.uint32)) for a, b in some]]
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema)
 
     def add(table: pa.Table) -> pa.Table:
-        keys = [np.cumsum(_unplanes(x.as_py(), np.uint64), dtype=np.uint64) for x in table["keys"]]
-        times = np.concatenate([_unplanes(x.as_py(), np.uint32) for x in table["times"]])
-        distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
+        sizes = table["m"].to_pylist()
+        keys = np.concatenate([np.cumsum(_unpack(x.as_py(), m, np.uint64), dtype=np.uint64) for x, m in zip(table["keys"], sizes, strict=True)])
+        times = np.concatenate([_unpack(x.as_py(), m, np.uint32) for x, m in zip(table["times"], sizes, strict=True)])
+        distinct, number = np.unique(keys, return_inverse=True)
         count = np.bincount(number, weights=times, minlength=len(distinct)).astype(np.uint64)[number]
-        back = np.split(count, np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "counts": pa.array([_planes(np.ascontiguousarray(c)) for c in back], pa.binary())})
+        back = np.split(count, np.cumsum(sizes)[:-1])
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "n": table["n"], "m": table["m"], "counts": pa.array([_packed(np.ascontiguousarray(c)) for c in back], pa.binary())})
 
-    exploded = blocks.select("block", "vocabulary", "stream", "sizes").mapInArrow(explode, "bucket int, block bigint, keys binary, times binary")
-    counted = exploded.groupBy("bucket").applyInArrow(add, "block bigint, bucket int, counts binary")
+    exploded = blocks.select("block", "vocabulary", "stream", "sizes", "words").mapInArrow(explode, "bucket int, block bigint, n int, m int, keys binary, times binary")
+    counted = exploded.groupBy("bucket").applyInArrow(add, "block bigint, bucket int, n int, m int, counts binary")
     kind = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType())])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         h, doc = _unpacked(row)
         ids = row["ids"]
-        answers = sorted(zip(right["bucket"].to_pylist(), right["counts"].to_pylist(), strict=True))
-        counts = np.concatenate([_unplanes(c, np.uint64) for _, c in answers]).astype(np.float64) if answers else np.empty(0)
-        _, _, places, numbers = _grams(h, doc, order)
-        own = np.zeros(len(h))
-        own[places[0]] = counts[numbers[0]]
-        value = np.log(np.maximum(own, 1)) - np.log(max(1, total))
-        for at, number in zip(places[1:], numbers[1:], strict=True):
-            c = counts[number]
-            value[at] = np.where(c >= least, np.log(c) - np.log(np.maximum(1, own[at - 1])), np.log(ALPHA) + value[at])
+        answers = sorted(zip(right["n"].to_pylist(), right["bucket"].to_pylist(), right["m"].to_pylist(), right["counts"].to_pylist(), strict=True))
+        value, own = np.zeros(len(h)), np.zeros(len(h))
+        for n, (at, keys) in enumerate(_grams(h, doc, order), 1):
+            told = [_unpack(c, m, np.uint64) for k, _, m, c in answers if k == n]
+            if not told:
+                break
+            c = np.concatenate(told).astype(np.float64)[np.unique(keys, return_inverse=True)[1]]
+            if n == 1:
+                value[at] = np.log(c) - np.log(max(1, total))
+            else:
+                value[at] = np.where(c >= least, np.log(c) - np.log(np.maximum(1, own[at - 1])), np.log(ALPHA) + value[at])
             own = np.zeros(len(h))
             own[at] = c
         return pa.table({"id": pa.array(ids, left.schema.field("ids").type.value_type), "n_words": pa.array(np.bincount(doc, minlength=len(ids)), pa.int64()), "log_score": pa.array(np.bincount(doc, weights=value, minlength=len(ids)), pa.float64())})
 
-    out = blocks.select("block", "ids", "vocabulary", "stream", "sizes").groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(score, kind)
+    out = blocks.select("block", "ids", "vocabulary", "stream", "sizes", "words").groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(score, kind)
     mean = F.col("log_score") / F.col("n_words")
     some = F.col("n_words") > 0
     return out.select(F.col("id").alias(id_col), "n_words", "log_score", F.when(some, mean).alias("mean_log_score"), F.when(some, F.exp(-mean)).alias("perplexity"))
