@@ -3,13 +3,15 @@
 Each page makes a request, a response (or revisit) and a metadata record, which name the response in WARC-Concurrent-To.
 The sink writes a record as one row and closes it by the two line breaks that the format asks for, so archives can be
 written to any store Spark knows, and a lost task's files are never committed. The reader follows Content-Length, so a
-payload may hold anything, and takes plain and gzip files of any number of members. A file is read as one row: keep files
-within the 2 GB that a row may hold; the writer starts a new one after ``per_file`` records.
+payload may hold anything, and takes plain and gzip files of any number of members. A file is read as one row: files
+have to stay within the 2 GB that a row may hold. The writer starts a new one after ``per_file`` records, and writes pages of more
+than ``PAGE_BYTES`` apart, by classes of size, of which each step has ``STEP`` times fewer records in a file.
 
 Of captures with equal payloads (of ``least`` bytes at least) that of the smallest page id is the response, others revisit
-it. Defined results: a null html is an empty payload; a null url leaves its header out, line breaks in one are escaped;
-null ids come last in their group and are written as no id; rows repeated in full are captures of their own, and all
-responses where they are the first of their group; an empty table gives an empty archive and result.
+it. Defined results: a null html is an empty payload, very long ones are one record like others; a null url leaves its header
+out, line breaks in one are escaped; null ids come last in their group and are written as no id; rows repeated in full are
+captures of their own, with record ids of their own, and all responses where they are the first of their group; other columns
+are ignored, whatever their names; an empty table gives an empty archive and result.
 """
 
 from __future__ import annotations
@@ -20,14 +22,15 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import new_path, written
+from ._shared import lean, new_path, written
 
 CRLF = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CAPTURES = ("response", "revisit", "resource")
+PAGE_BYTES, STEP = 1 << 16, 8
 
 
 def sha1_base32(data: Column) -> Column:
@@ -49,12 +52,27 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     page = pages.select(F.col(id_col).alias("id"), F.regexp_replace(F.regexp_replace(F.col(url_col), "\r", "%0D"), "\n", "%0A").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     page = page.withColumn("digest", sha1_base32(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", F.coalesce("url", F.lit("")).alias("url"))
-    groups = page.where(F.col("bytes") >= least).select("digest", order.alias("o")).groupBy("digest").agg(F.min("o").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    page = page.withColumn("o", order).join(written(groups, "payloads"), "digest", "left")
-
-    name = lambda kind, o: F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(F.concat_ws("|", F.lit(kind), o["id"].cast("string"), o["url"], F.col("digest")).cast("binary")), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), F.lit(">"))
+    page = page.withColumn("o", order)
+    size = F.greatest(F.lit(0), F.ceil(F.log(float(STEP), F.col("bytes") / PAGE_BYTES))).cast("int")
+    page = page.withColumn("size", F.when(F.col("bytes") > PAGE_BYTES, size).otherwise(0))
+    # of payloads that occur more than once or are large; equal payloads have equal sizes
+    groups = page.groupBy("digest", "o").agg(F.count("*").alias("k"), F.max("size").alias("size"), F.max("bytes").alias("bytes"))
+    groups = groups.groupBy("digest").agg(F.min("o").alias("first"), F.sum("k").alias("n"), F.max("k").alias("k"), F.max("size").alias("size"), F.max("bytes").alias("bytes"))
+    groups = written(groups.where("n > 1 OR size > 0"), "payloads")
+    sizes = sorted({0} | {r["size"] for r in groups.select("size").distinct().collect()})
+    shared = groups.where((F.col("n") > 1) & (F.col("bytes") >= least))
+    page = page.join(shared.select("digest", "first"), "digest", "left")
+    if groups.where("k > 1").isEmpty():
+        page = page.withColumn("no", F.lit(1))
+    else:  # rows repeated in full are numbered, for their record ids
+        again = groups.where("k > 1").select("digest")
+        number = F.row_number().over(Window.partitionBy("digest", "o").orderBy("digest"))
+        page = page.join(again, "digest", "left_anti").withColumn("no", F.lit(1)).unionByName(page.join(again, "digest", "left_semi").withColumn("no", number))
+
+    name = lambda kind, o, no: F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(F.concat_ws("|", F.lit(kind), o["id"].cast("string"), o["url"], F.col("digest"), F.when(no > 1, no.cast("string"))).cast("binary")), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), F.lit(">"))
     revisit = F.col("first").isNotNull() & (F.col("o") != F.col("first"))
-    capture = name("capture", F.col("o"))
+    own = lambda kind: name(kind, F.col("o"), F.col("no"))
+    capture = own("capture")
     uri, on = ("WARC-Target-URI", F.col("url")), ("WARC-Date", F.lit(date))
     only = lambda c: F.when(revisit, c)
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes"), F.lit(CRLF * 2))
@@ -63,15 +81,17 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     field = lambda key, value: F.concat(F.lit(f"{key}: "), value.cast("string"), F.lit(CRLF))
     fields = F.concat_ws("", field("page-id", F.col("id")), field("payload-length", F.col("bytes")), field("refers-to-page", only(F.col("first.id"))))
     records = F.array(
-        _record("request", [("WARC-Record-ID", name("request", F.col("o"))), ("WARC-Concurrent-To", capture), uri, on, ("Content-Type", F.lit("application/http; msgtype=request"))], request),
+        _record("request", [("WARC-Record-ID", own("request")), ("WARC-Concurrent-To", capture), uri, on, ("Content-Type", F.lit("application/http; msgtype=request"))], request),
         _record(
             F.when(revisit, "revisit").otherwise("response"),
-            [("WARC-Record-ID", capture), uri, on, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), ("WARC-Refers-To", only(name("capture", F.col("first")))), ("WARC-Profile", only(F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))), ("Content-Type", F.lit("application/http; msgtype=response"))],
+            [("WARC-Record-ID", capture), uri, on, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), ("WARC-Refers-To", only(name("capture", F.col("first"), F.lit(1)))), ("WARC-Profile", only(F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))), ("Content-Type", F.lit("application/http; msgtype=response"))],
             F.concat(head, F.when(revisit, "").otherwise(F.col("html"))),
         ),
-        _record("metadata", [("WARC-Record-ID", name("metadata", F.col("o"))), ("WARC-Concurrent-To", capture), uri, on, ("Content-Type", F.lit("application/warc-fields"))], fields),
+        _record("metadata", [("WARC-Record-ID", own("metadata")), ("WARC-Concurrent-To", capture), uri, on, ("Content-Type", F.lit("application/warc-fields"))], fields),
     )
-    page.select(F.explode(records).alias("value")).write.option("maxRecordsPerFile", per_file).text(path, compression=compression, lineSep=CRLF * 2)
+    for k in sizes:
+        rows = page.where(F.col("size") == k) if len(sizes) > 1 else page
+        rows.select(F.explode(records).alias("value")).write.mode("append").option("maxRecordsPerFile", max(3, per_file // STEP**k)).text(path, compression=compression, lineSep=CRLF * 2)
 
 
 class _Plain:
@@ -152,6 +172,7 @@ def _row(headers: list[tuple[str, str]], block: bytes, payload: bool) -> tuple:
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """A row for each record of the archives under ``path``; without ``payload`` the bodies are measured and left."""
 
+    @lean
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
 
@@ -164,7 +185,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
                 for headers, block in parse_records(raw.as_py()):
                     rows.append(_row(headers, block, payload))
                     held += len(block) if payload else 0
-                    if len(rows) >= 5000 or held > 1 << 24:
+                    if len(rows) >= 5000 or held > 1 << 22:
                         yield out()
                         rows, held = [], 0
         yield out()
