@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ._shared import spread
 from .backoff import scores
 from .decontaminate import contaminated
 from .exact_content import exact_duplicates
@@ -22,7 +23,7 @@ URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allo
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,21 +80,21 @@ _PATTERNS = {
 
 def _secret_sql() -> str:
     each = " UNION ALL ".join(
-        f"""SELECT doc_id, owner, '{kind}' AS kind, {k} AS k, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS m, unnest(v) AS v, unnest(g[1:len(m)]) AS g
-            FROM (SELECT doc_id, owner, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {group}) AS v, string_split_regex(t, '{p}') AS g FROM d)"""
+        f"""SELECT doc_id, owner, repo, '{kind}' AS kind, {k} AS k, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS m, unnest(v) AS v, unnest(g[1:len(m)]) AS g
+            FROM (SELECT doc_id, owner, repo, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {group}) AS v, string_split_regex(t, '{p}') AS g FROM d)"""
         for k, (kind, (p, group, _)) in enumerate((a, (b.replace("'", "''"), c, e)) for a, (b, c, e) in _PATTERNS.items())
     )
     least = " ".join(f"WHEN '{kind}' THEN {n}" for kind, (_, _, n) in _PATTERNS.items())
     return f"""
-        WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS repo, split_part(coalesce(source, ''), '/', 1) AS owner, coalesce(text, '') AS t FROM documents),
         m AS ({each}),
         s AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS e FROM m),
-        f AS (SELECT doc_id, owner, kind, k, CAST(e - length(m) AS BIGINT) AS st, CAST(e AS BIGINT) AS e, sha256(v) AS h, length(m) AS n FROM s WHERE length(v) >= CASE kind {least} END),
-        o AS (SELECT h, count(DISTINCT owner) >= 3 AS copied FROM f GROUP BY h),
+        f AS (SELECT doc_id, owner, repo, kind, k, CAST(e - length(m) AS BIGINT) AS st, CAST(e AS BIGINT) AS e, sha256(v) AS h, v FROM s WHERE length(v) >= CASE kind {least} END),
+        o AS (SELECT h, count(DISTINCT owner) >= 3 OR (count(DISTINCT owner) = 2 AND count(DISTINCT repo) >= 5) AS copied FROM f GROUP BY h),
         j AS (SELECT f.*, copied, kind || ':' || st || ':' || e AS span FROM f JOIN o USING (h)),
         r AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
                      string_agg(span, ',' ORDER BY st, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY st, k) AS spans,
-                     count(*) FILTER (NOT copied AND n >= 16) AS n_live, count(*) FILTER (copied) AS n_copied
+                     count(*) FILTER (NOT copied AND strlen(v) >= 16 AND len(list_distinct(string_split(v, ''))) >= 5 AND ((lower(v) <> v AND upper(v) <> v) OR (v SIMILAR TO '.*[0-9].*' AND lower(v) <> upper(v)))) AS n_live, count(*) FILTER (copied) AS n_copied
               FROM j WHERE k < 3 OR NOT copied GROUP BY doc_id)
         SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
                coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied

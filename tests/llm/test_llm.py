@@ -335,11 +335,13 @@ def test_decontamination(spark, odd, none):
         para[k] = "changed"
     held[200] = [*words(rng, 33, 5000), *para, *words(rng, 33, 5000)]
     df = odd.unionByName(spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in {**clean, **held}.items()], DOCS))
-    bench = spark.createDataFrame([(k, " ".join(w).upper()) for k, w in enumerate(items)] + [(50, None), (51, ""), (52, "the")], "item_id bigint, text string")
+    short = clean[7][100:105]
+    bench = spark.createDataFrame([(k, " ".join(w).upper()) for k, w in enumerate(items)] + [(50, None), (51, ""), (52, "the"), (53, " ".join(short)), (54, " ".join(short[::-1])), (55, " ".join(short))], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()}
-    assert got == {(100 + k, k) for k in range(5)} | {(200, 3)}
+    the = {r.doc_id for r in df.collect() if "the" in (r.text or "").split()}
+    assert got == {(100 + k, k) for k in range(5)} | {(200, 3)} | {(i, 52) for i in the} | {(7, 53), (7, 55)} and len(the) == 60
     stay = decontaminate.drop_contaminated(df, bench)
-    assert stay.columns == df.columns and stay.count() == df.count() - 6
+    assert stay.columns == df.columns and stay.count() == df.count() - 67
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
@@ -435,6 +437,19 @@ def test_backoff_query_backs_off_twice(spark):
     assert got == told(backoff.scores(docs, order=3)) and got != told(backoff.scores(docs, order=2))
 
 
+def test_pipeline_of_odd_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline as cp
+
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/odd/benchmark.parquet")
+    odd.withColumns({"copy": F.lit("c"), "Row": F.lit(1), "fp": F.lit(2), "__item": F.lit(3)}).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    out = cp.run(spark, f"{tmp_path}/odd")
+    assert out.columns == [*odd.columns, "copy", "Row", "fp", "__item", "copy_"]
+    assert {r.text for r in out.collect()} <= {"x y z", "another text", "the very same text in many rows of the table", *(r.text for r in odd.where("doc_id = 6").collect())}
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    none.write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert cp.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
