@@ -11,7 +11,7 @@ The score of a word is count(n-gram) / count(context) where the n-gram occurs at
 the score of the next lower order; that of a single word is count / total.
 
 Rows would be the plainer form of steps 2 and 3, but their shuffle exceeds the disk that is allowed; packed by block and
-bucket an n-gram takes about 6 bytes. In a corpus of so many buckets that a block has few n-grams in each, the packed rows
+bucket an n-gram takes about 5 bytes. In a corpus of so many buckets that a block has few n-grams in each, the packed rows
 come near to rows of one n-gram.
 
 Defined results: a null or wordless text has no words, score 0 and no perplexity; a very long text is scored whole, and may
@@ -34,6 +34,7 @@ from ._shared import lean, new_path, power_of_two
 from ._tokens import _R, mixed, pieces, words
 
 ALPHA, BLOCK, BUCKET_ROWS = 0.4, 2_000_000, 1_000_000
+KEY_BITS = 56  # of an n-gram's hash: among N different ones, one shares its key with another with a chance of N / 2^56
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -56,7 +57,7 @@ def _grams(h: np.ndarray, doc: np.ndarray, order: int) -> Iterator[tuple[np.ndar
         if n > 1:
             gram = mixed(gram[:-1] * _R + h[n - 1 :] + np.uint64(n)) if len(gram) else gram
         whole = doc[n - 1 :] == doc[: max(0, len(doc) - n + 1)]
-        yield np.flatnonzero(whole) + n - 1, mixed(gram + np.uint64(n))[whole]
+        yield np.flatnonzero(whole) + n - 1, mixed(gram + np.uint64(n))[whole] >> np.uint64(64 - KEY_BITS)
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -81,8 +82,12 @@ def _blocks(docs: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             nonlocal no
             h = np.concatenate(hashes)
-            vocabulary, stream = np.unique(h, return_inverse=True)
-            made = [[part << 32 | no], [ids], [np.concatenate(sizes).astype(np.int32).tobytes()], [vocabulary.tobytes()], [_packed(stream.astype(np.uint32))], [len(h)], [len(h) + len(vocabulary)]]
+            vocabulary, stream, times = np.unique(h, return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")  # frequent words get small numbers, which compress well
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            vocabulary, stream = vocabulary[order], rank[stream]
+            made = [[part << 32 | no], [ids], [np.concatenate(sizes).astype(np.int32).tobytes()], [vocabulary.tobytes()], [_packed(stream)], [len(h)], [len(h) + len(vocabulary)]]
             no += 1
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, schema, strict=True)], schema=schema)
 
@@ -111,7 +116,7 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
     blocks = _blocks(docs)
     total, grams = blocks.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("grams"), F.lit(0))).first()
     buckets = power_of_two(max(64, order * grams / BUCKET_ROWS))
-    shift = np.uint64(64 - buckets.bit_length() + 1)
+    shift = np.uint64(KEY_BITS - buckets.bit_length() + 1)
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("keys", pa.binary()), ("times", pa.binary())])
 
     @lean
