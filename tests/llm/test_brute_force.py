@@ -175,9 +175,10 @@ def spans_of(text):
 
 def test_spans_by_brute_force(spark):
     rng = random.Random(6)
-    pool = [" ".join(words(rng, rng.randrange(1, 12), 900)) for _ in range(60)]
-    texts = ["".join(rng.choice(pool) + rng.choice([". ", "! ", "?\n", "\n", " é. "]) for _ in range(rng.randrange(0, 25))) for _ in range(60)]
-    texts += ["".join(x + ". " for x in pool[10:20])] * 3 + [None, "", "!!"]
+    sentence = lambda: " ".join(words(rng, rng.randrange(1, 12), 900)) + rng.choice([". ", "! ", "?\n", "\n", " é. "])
+    pool = ["".join(sentence() for _ in range(rng.randrange(2, 6))) for _ in range(40)]
+    texts = ["".join(rng.choice([rng.choice(pool), sentence()]) for _ in range(rng.randrange(0, 8))) for _ in range(60)]
+    texts += ["".join(pool[10:13])] * 3 + [None, "", "!!"]
     rows = [(i if i % 9 else None, t) for i, t in enumerate(texts)] + [(5, texts[5]), (5, texts[5]), (None, texts[9]), (None, texts[9])]
     assert all(len(s[0]) <= sentences.LONGEST for t in texts for s in cut(t or ""))
     mark = {t: spark.createDataFrame([(t,)], "t string").select(F.xxhash64(F.coalesce("t", F.lit("")))).first()[0] for t in set(texts)}
