@@ -40,8 +40,8 @@ def tokens_before(n: Column, place: Column, size: int, stride: int) -> Column:
 
 
 def document_offsets(docs: DataFrame, size: int, stride: int, least: int = 0, full_only: bool = False, tokens: Callable[[Column], Column] = X.word_tokens, normalize: Callable[[Column], Column] = X.normalize_simple) -> DataFrame:
-    """(doc_id, n_tokens, n_chunks, chunks_before, tokens_before): by arithmetic on each document's number of tokens, without making a window."""
-    n = docs.select("doc_id", F.size(tokens(normalize(F.col("text")))).cast("bigint").alias("n_tokens"))
+    """(doc_id, n_tokens, n_chunks, chunks_before, tokens_before): by arithmetic on each document's number of tokens, which is written once, without making a window."""
+    n = written(docs.select("doc_id", F.size(tokens(normalize(F.col("text")))).cast("bigint").alias("n_tokens")), "tokens")
     n = n.withColumn("n_chunks", window_count(F.col("n_tokens"), size, stride, least, full_only)).where("n_chunks > 0")
     n = n.withColumn("__all", tokens_before(F.col("n_tokens"), F.col("n_chunks"), size, stride) + F.col("n_chunks"))
     before = running_offset(n, ["doc_id"], ["n_chunks", "__all"])
@@ -54,7 +54,7 @@ def sharded_chunks(docs: DataFrame, shard_size: int, size: int, stride: int, lea
     Windows below ``least`` tokens are a document's last, so a chunk's place among its document's chunks is its position.
     """
     offsets = document_offsets(docs, size, stride, least, **{k: v for k, v in how.items() if k in ("full_only", "tokens", "normalize")})
-    placed = docs.join(offsets.select("doc_id", "chunks_before"), "doc_id")
+    placed = docs.join(written(offsets.select("doc_id", "chunks_before"), "offsets"), "doc_id")  # of known size, so that a small one is broadcast
     at = F.col("chunks_before") + F.col("position")
     chunks = build_chunks(placed, size, stride, least, carry=("chunks_before",), **how)
     return chunks.withColumn("shard_id", F.floor(at / shard_size).cast("bigint")).withColumn("local_index", (at % shard_size).cast("bigint")).drop("chunks_before")

@@ -23,8 +23,8 @@ def marked(df: DataFrame, key: Column, *order: str) -> DataFrame:
 
 
 def _rows(df: DataFrame, marks: DataFrame, order: tuple[str, ...], how: str) -> DataFrame:
-    """``df`` joined with a table of its own order columns."""
-    own = marks.select(*[F.col(c).alias(f"__{c}") for c in order], *[c for c in marks.columns if c not in order])
+    """``df`` joined with a table of its own order columns, which is written, so that a small one is known to be small and is broadcast."""
+    own = written(marks, "marks").select(*[F.col(c).alias(f"__{c}") for c in order], *[c for c in marks.columns if c not in order])
     return df.join(own, reduce(lambda a, b: a & b, [df[c].eqNullSafe(own[f"__{c}"]) for c in order]), how).drop(*[f"__{c}" for c in order])
 
 

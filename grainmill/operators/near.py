@@ -120,7 +120,8 @@ def signed(df: DataFrame, how: Shingles, num_perm: int = 128, seed: int = 17, ro
         shown = signatures if each is None else _bands(signatures, each)
         return [i for i, _ in sets], [pa.array([xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for _, x in sets], pa.int64()), _lists(list(shown))]
 
-    some = df.select("ord", how.length.alias("length"), how.text.cast("binary").alias("t")).where(F.col("length") >= skip_short)
+    some = df.select("ord", how.length.alias("length"), how.text.cast("binary").alias("t"))
+    some = some.where(F.col("length") >= skip_short) if skip_short > 0 else some  # a filter would be pushed below a join, and the text be normalised there once more
     return _mapped(some, [T.StructField("key", T.LongType()), T.StructField("signature" if rows is None else "bands", T.ArrayType(T.LongType()))], make)
 
 
