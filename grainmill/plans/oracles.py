@@ -45,11 +45,13 @@ _JACCARD = """sz AS (SELECT doc_id, any_value(words) AS words, count(*) AS k FRO
     p AS (SELECT a, b, shared / (x.k + y.k - shared) AS jaccard, x.words AS len_a, y.words AS len_b FROM sh2 JOIN sz x ON x.doc_id = a JOIN sz y ON y.doc_id = b WHERE shared / (x.k + y.k - shared) >= 0.7)"""
 _LONGER = "CASE WHEN len_b > len_a THEN a ELSE b END"
 
+#: One row of a signature. The product wraps at 64 bits, by a mask, as remainders of 128-bit numbers are slow.
+_ROW = "((a::HUGEINT * v + b::HUGEINT) & 18446744073709551615::HUGEINT)::UBIGINT % 2305843009213693951::UBIGINT"
 _A, _B = permutations(128, 17)
 _PERMS = ", ".join(f"({i}, {a}::UBIGINT, {b}::UBIGINT)" for i, (a, b) in enumerate(zip(_A.tolist(), _B.tolist(), strict=True)))
 _SIG = f"""{_SETS}, pm(i, a, b) AS (VALUES {_PERMS}),
     hs AS (SELECT doc_id, {_hash64('g')} & 2305843009213693951 AS v FROM sets),
-    mh AS (SELECT doc_id, i, CAST(min((((a::HUGEINT * v) % 18446744073709551616 + b::HUGEINT) % 18446744073709551616) % 2305843009213693951) AS BIGINT) AS m FROM hs, pm GROUP BY doc_id, i)"""
+    mh AS (SELECT doc_id, i, CAST(min({_ROW}) AS BIGINT) AS m FROM hs, pm GROUP BY doc_id, i)"""
 _BANDS = "bk AS (SELECT doc_id, CAST(i // 4 AS BIGINT) AS band, string_agg(m, ',' ORDER BY i) AS rows FROM mh GROUP BY ALL)"
 _CAND = "cp AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bk x JOIN bk y ON x.band = y.band AND x.rows = y.rows AND x.doc_id < y.doc_id)"
 
@@ -84,7 +86,7 @@ def _manifest_near() -> str:
     return f"""WITH {_cut(128, 128, 32, full=True)}, r AS (SELECT *, row_number() OVER (ORDER BY doc_id, position) AS k, min((doc_id, position)) OVER (PARTITION BY text) = (doc_id, position) AS first FROM c),
         g AS (SELECT k, unnest(list_distinct([substr(text, i + 1, 32) FOR i IN range(0, length(text) - 32, 4)])) AS g FROM r),
         h AS (SELECT k, {_hash64('g')} AS v FROM g), pm(i, a, b) AS (VALUES {perms}),
-        mh AS (SELECT k, i, min((((a::HUGEINT * v) % 18446744073709551616 + b::HUGEINT) % 18446744073709551616) % 2305843009213693951) AS m FROM h, pm GROUP BY k, i),
+        mh AS (SELECT k, i, min({_ROW}) AS m FROM h, pm GROUP BY k, i),
         al AS (SELECT r.k, pm.i, coalesce(m, 2305843009213693951) AS m FROM r CROSS JOIN pm LEFT JOIN mh ON mh.k = r.k AND mh.i = pm.i),
         bk AS (SELECT k, i // 32 AS band, string_agg(m, ',' ORDER BY i) AS rows FROM al GROUP BY ALL),
         cp AS (SELECT DISTINCT x.k AS a, y.k AS b FROM bk x JOIN bk y ON x.band = y.band AND x.rows = y.rows AND x.k < y.k),
