@@ -1,12 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words over all documents.
-2. A randomised SVD of the TF-IDF matrix of the passages (blocks of ``BLOCK`` words) of a bounded sample of about
-   ``SPACE_DOCS`` documents, drawn by hash: it only shapes the index. The sample is dealt to ``SKETCHES`` tasks, so that
-   their sums, of up to 8 MB each, don't grow with the number of input splits. Each task multiplies its rows A by a
-   random test matrix O and back, the sums A'AO are added up by bucket in Spark, and the driver takes the leading right
-   singular vectors from this sketch (its size is fixed by ``BITS`` and ``RANK``). Coordinates are scaled by the inverse
-   singular values, so that topic or language alone doesn't make passages similar.
+2. A randomised SVD of the TF-IDF matrix of the passages (blocks of ``BLOCK`` words) of all documents, in one task for each
+   ``SKETCH_WORDS`` words (``SKETCHES`` at least), so that their sums, of up to 8 MB each, don't grow with the number of
+   input splits. Each task multiplies its rows A by a random test matrix O and back, the sums A'AO are added up by bucket
+   in Spark, and the driver takes the leading right singular vectors from this sketch (its size is fixed by ``BITS`` and
+   ``RANK``). O is sparse, ``ENTRIES`` numbers for each bucket, so that a word costs a few additions for each word of its
+   block. Coordinates are scaled by the inverse singular values, so that topic or language alone doesn't make passages
+   similar. ``SPACE_DOCS`` may be set to a number of documents, drawn by hash, that shape the space instead; passages whose
+   words all lie outside these have no coordinates then, and aren't found even word for word. No query does so.
 3. Cosine search: every passage (two blocks, moved by one) of every document against every window of every benchmark
    item, in blocks of matrix products. Pairs of ``COSINE`` or more are candidates (``COSINE_SHORT`` for items that are
    shorter than a window, of which a passage holds more than the item).
@@ -43,7 +45,8 @@ from ._tokens import _R, mixed, pieces, words
 BITS, RANK, BLOCK, STEP, COSINE, COSINE_SHORT = 15, 64, 12, 6, 0.4, 0.4
 VERBATIM, PARAPHRASE, ANSWER, LEAST = 0.8, 0.6, 5, 8
 ITEMS, ITEM_BYTES, WINDOWS = 5000, 4 << 20, 40_000
-SPACE_DOCS, SKETCHES = 50_000, 12
+SKETCHES, SKETCH_WORDS, ENTRIES = 12, 5_000_000, 2  # a word counts once in each document that holds it
+SPACE_DOCS: int | None = None  # all
 FOLD = 3  # windows hold sets of buckets in 2^(BITS - FOLD) bits
 _SHIFT = np.uint64(64 - BITS)
 
@@ -69,9 +72,9 @@ def _block_sums(matrix: np.ndarray, ids: np.ndarray, start: np.ndarray, end: np.
     for k in range(BLOCK):
         own = np.flatnonzero(size > k)
         if len(own) == len(out):
-            out += matrix[ids[start + k]]
+            out += matrix.take(ids[start + k], axis=0)
         else:
-            out[own] += matrix[ids[start[own] + k]]
+            out[own] += matrix.take(ids[start[own] + k], axis=0)
     return out
 
 
@@ -85,7 +88,9 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         for batch in batches:
             for _, texts in pieces(batch.column(0)):
                 h, doc = words(texts)
-                n[: 1 << BITS] += np.bincount(np.unique((doc << BITS) | _buckets(h)) & ((1 << BITS) - 1), minlength=1 << BITS)
+                held = ((doc << BITS) | _buckets(h)).astype(np.uint32 if len(texts) <= 1 << (32 - BITS) else np.int64)
+                held.sort()  # short numbers sort many times faster
+                n[: 1 << BITS] += np.bincount(held[_starts(held)].astype(np.int64) & ((1 << BITS) - 1), minlength=1 << BITS)
                 n[-1] += len(texts)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], schema=schema)
@@ -96,8 +101,17 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return n[:-1], int(n[-1])
 
 
+def _test_entries(rank: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The columns and the numbers of the entries of the sparse test matrix, by entry and bucket; signs alone could cancel out."""
+    rng, shape = np.random.default_rng(seed), (ENTRIES, 1 << BITS)
+    return rng.integers(0, rank, shape), rng.uniform(0.5, 1.5, shape) * rng.choice([-1.0, 1.0], shape)
+
+
 def _test_matrix(rank: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((1 << BITS, rank), np.float32)
+    out = np.zeros((1 << BITS, rank))
+    for column, number in zip(*_test_entries(rank, seed), strict=True):
+        out[np.arange(1 << BITS), column] += number
+    return out
 
 
 def latent_space(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> np.ndarray:
@@ -108,20 +122,23 @@ def latent_space(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
 
     @lean
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        o = _test_matrix(rank, seed)
-        o *= weight
-        z = np.zeros((1 << BITS, rank), np.float32)
+        columns, numbers = _test_entries(rank, seed)
+        numbers *= idf
+        z = np.zeros((1 << BITS) * rank)
         for batch in batches:
             for _, texts in pieces(batch.column(0)):
                 h, doc = words(texts)
                 if not len(h):
                     continue
                 ids, start, end, _ = _blocks(h, doc)
-                number = np.repeat(np.arange(len(start)), end - start)
-                square = np.bincount(number, weights=idf[ids] ** 2)
-                y = _block_sums(o, ids, start, end) / np.maximum(square, 1e-9).astype(np.float32)[:, None]
-                order = np.argsort(ids.astype(np.uint16), kind="stable")
-                z[ids[order][_starts(ids[order])]] += _sums(y, number[order], ids[order])
+                size = end - start
+                for m in np.unique(size).tolist():  # blocks of m words: a row of z for each word, and there the entries of all of them
+                    block = ids[start[size == m][:, None] + np.arange(m)]
+                    square = np.maximum((idf[block] ** 2).sum(axis=1, keepdims=True), 1e-9)
+                    for column, number in zip(columns, numbers, strict=True):
+                        at = (block * rank)[:, :, None] + column[block][:, None, :]
+                        np.add.at(z, at.ravel(), np.broadcast_to((number[block] / square)[:, None, :], at.shape).ravel())
+        z = z.reshape(1 << BITS, rank).astype(np.float32)
         at = np.flatnonzero(z.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(z[at, i]) for i in range(rank)]], schema=schema)
 
@@ -137,7 +154,7 @@ def latent_space(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
     core, gram = np.zeros((rank, rank)), np.zeros((rank, rank))
     for s in range(0, 1 << BITS, 4096):  # in double precision, a part at a time
         part = z[s : s + 4096].astype(np.float64)
-        core += test[s : s + 4096].T.astype(np.float64) @ part
+        core += test[s : s + 4096].T @ part
         gram += part.T @ part
     core = (core + core.T) / 2
     factor = np.linalg.inv(np.linalg.cholesky(core + (1e-6 * max(np.trace(core), 1e-6) / rank) * np.eye(rank))).T
@@ -322,9 +339,10 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     if n and not docs.isEmpty():
         df_of, total = document_frequencies(docs)
         idf = np.log((1 + total) / (1 + df_of)) + 1e-3
-        share = min(1.0, SPACE_DOCS / max(1, total))
-        sample = docs.where(F.pmod(F.xxhash64(F.lit(3), "id", "mark"), F.lit(1 << 30)) < int(share * (1 << 30)))
-        space = latent_space(sample.select("t").repartition(SKETCHES), idf)
+        shaping = docs
+        if SPACE_DOCS and SPACE_DOCS < total:
+            shaping = docs.where(F.pmod(F.xxhash64(F.lit(3), "id", "mark"), F.lit(1 << 30)) < int(SPACE_DOCS / total * (1 << 30)))
+        space = latent_space(shaping.select("t").coalesce(max(SKETCHES, int(df_of.sum()) // SKETCH_WORDS)), idf)
         blocks = -(-max(n, size * ITEMS // ITEM_BYTES) // ITEMS)
         shared: list[Broadcast] = []
         for b in range(blocks):

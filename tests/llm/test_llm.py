@@ -398,6 +398,20 @@ def test_recall_with_a_small_index_sample(spark, monkeypatch, share):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def items_among_short_texts(spark):
+    """(documents, their benchmark): 120,000 texts of two words, and 8 that each hold an item of words that occur nowhere else."""
+    items = [(k, " ".join(f"w{k}x{n}" for n in range(40))) for k in range(8)]
+    df = spark.range(120_000).select(F.col("id").alias("doc_id"), F.lit("two words").alias("text"))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    return df.unionByName(spark.createDataFrame([(200_000 + k, t) for k, t in items], "doc_id bigint, text string")), bench
+
+
+def test_every_document_shapes_the_index(spark):
+    df, bench = items_among_short_texts(spark)
+    got = {(r.doc_id, r.item_id, round(r.cosine, 3)) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == {(200_000 + k, k, 1.0) for k in range(8)}
+
+
 def test_common_subsequence():
     rng = random.Random(8)
     for _ in range(50):
