@@ -412,6 +412,15 @@ def test_every_document_shapes_the_index(spark):
     assert got == {(200_000 + k, k, 1.0) for k in range(8)}
 
 
+def test_pipeline_drops_items_among_short_texts(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    df, bench = items_among_short_texts(spark)
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = cp.decontamination(spark, df, str(tmp_path))
+    assert left.count() == 120_000 and left.where("doc_id >= 200000").isEmpty()
+
+
 def test_common_subsequence():
     rng = random.Random(8)
     for _ in range(50):
