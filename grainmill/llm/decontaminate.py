@@ -157,7 +157,8 @@ def latent_space(docs: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int =
         core += test[s : s + 4096].T @ part
         gram += part.T @ part
     core = (core + core.T) / 2
-    factor = np.linalg.inv(np.linalg.cholesky(core + (1e-6 * max(np.trace(core), 1e-6) / rank) * np.eye(rank))).T
+    own, factor = np.linalg.eigh(core)  # none below zero but by rounding, as with few different words
+    factor /= np.sqrt(np.maximum(own, 0) + 1e-6 * max(np.trace(core), 1e-6) / rank)
     squares, turn = np.linalg.eigh(factor.T @ gram @ factor)  # the singular values of z @ factor, squared
     values = np.sqrt(np.maximum(squares, 0))
     scale = np.where(values > 1e-6 * max(values[-1], 1e-9), 1 / np.maximum(values, 1e-12) ** 2, 0)

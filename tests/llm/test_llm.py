@@ -421,6 +421,16 @@ def test_pipeline_drops_items_among_short_texts(spark, tmp_path):
     assert left.count() == 120_000 and left.where("doc_id >= 200000").isEmpty()
 
 
+@pytest.mark.parametrize("text", [
+    "v43 v7390 v6450 v43 v2411 v43 v43 v2411 v2411 v43 v7390",
+    "v9240 v3720 v2604 v3720 v2604 v2604 v3720 v3720 v3720 v2604",
+    "v4611 v4611 v323 v4611 v9391 v323",
+])
+def test_few_different_words_shape_the_index(spark, text):
+    df, bench = spark.createDataFrame([(1, text)], "doc_id bigint, text string"), spark.createDataFrame([(2, text)], "item_id bigint, text string")
+    assert [(r.doc_id, r.item_id, r.coverage) for r in decontaminate.contaminated(df, bench).collect()] == [(1, 2, 1.0)]
+
+
 def test_common_subsequence():
     rng = random.Random(8)
     for _ in range(50):
