@@ -14,6 +14,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from grainmill.llm._shared import give_back
 from grainmill.llm.decontaminate import drop_contaminated
 from grainmill.llm.exact_content import drop_exact_duplicates
 from grainmill.llm.language import keep_identified
@@ -26,13 +27,14 @@ _before: dict[str, list[str]] = {}
 
 
 def stage(function: Stage) -> Stage:
-    """A stage that deletes the tables of the one before."""
+    """A stage that deletes the tables of the one before, and gives back the driver's memory that this has freed."""
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         app = spark.sparkContext.applicationId
         for path in _before.pop(app, []):
             delete(spark, path)
+        give_back()
         with collected() as _before[app]:
             return function(spark, docs, sf_dir)
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 
 from ..tables import collected, delete, new_path, released, shared_dir, shuffle_partitions, spread, written
 
-__all__ = ["collected", "delete", "lean", "new_path", "power_of_two", "released", "shared_dir", "shuffle_partitions", "spread", "written"]
+__all__ = ["collected", "delete", "give_back", "lean", "new_path", "power_of_two", "released", "shared_dir", "shuffle_partitions", "spread", "written"]
 
 
 def power_of_two(x: float) -> int:
@@ -19,7 +19,7 @@ def power_of_two(x: float) -> int:
     return 1 << max(0, math.ceil(math.log2(max(1.0, x))))
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Free memory goes back to the system: Python workers live on between tasks, beside an executor's JVM."""
     pa.default_memory_pool().release_unused()
     try:
@@ -36,6 +36,6 @@ def lean(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return iterate

@@ -22,8 +22,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b: any orderable type), root being the smallest node reachable.
 
-    Each round is two pre-aggregated minima and two joins, whose skewed sides Spark may split; a round's edges are
-    written, so that the lineage stays short. Neither edges nor nodes reach the driver.
+    Each round is two pre-aggregated minima and two joins, whose skewed sides Spark may split. The edges are written after
+    each of the two stars: a star reads its edges several times, so one plan of both would hold the first star as often,
+    and the driver would keep that. Neither edges nor nodes reach the driver.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     sign = None
@@ -34,8 +35,9 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         sign = tuple(state)
         if not state[0]:
             break
-        before, now = now, written(_star(_star(now, large=True), large=False), "edges")
-        released(before)
+        for large in (True, False):
+            before, now = now, written(_star(now, large), "edges")
+            released(before)
     else:
         raise RuntimeError("components have not settled")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -195,6 +195,20 @@ def test_components(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 102: 100}
 
 
+def test_star_rounds_have_small_plans(spark, monkeypatch):
+    plans = []
+
+    def planned(df, tag, write=components.written):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, tag)
+
+    monkeypatch.setattr(components, "written", planned)
+    got = dict(components.components(spark.createDataFrame([(k, k + 1) for k in range(20)], "a bigint, b bigint")).distinct().collect())
+    assert got == dict.fromkeys(range(21), 0)
+    assert max(p.count("Scan parquet") for p in plans) <= 6  # the driver keeps the plans
+    assert max(p.count("Exchange") for p in plans) <= 6
+
+
 def test_secrets(spark, none):
     texts = [None, "", 'token = "abcdefghijkl" password:short secret=token=abcdefghijkl', "AKIAABCDEFGHIJKLMN AKIAAB", "é 0123456789abcdef0 😀 0123456789abcde", "API-KEY: nope api_key: 'A.B.C.D.E.F.G-H'", "password: secret: abcdefghijklmnop"]
     df = spark.createDataFrame([(i, t, "en", f"o{i}/r", 0) for i, t in enumerate(texts)], DOCS)
