@@ -15,6 +15,9 @@ the shingle sets themselves, for which only texts that take part in a link are r
 bucket of more than ``SMALL`` yields spanning forests of its links, never all pairs; buckets beyond ``CHUNK`` fingerprints are
 dealt out as pairs of chunks, so no task gets an unbounded group.
 
+A small bucket offers all its pairs, so of a group of near copies most pairs are offered in some bucket. Not all are verified: a forest
+of the nearest ones goes first, and of the others only those whose ends it hasn't joined follow, as the rest can't join anything.
+
 Where links are verified later, a forest isn't enough: an edge of it may fail while another pair would have joined its ends. So a
 bucket also names its groups of fingerprints that links within the bits connect. Those whose members the verified links haven't all
 joined are gone through once more with the shingle sets at hand, in pairs of chunks of ``OPEN``: there, every pair that is still apart
@@ -44,7 +47,7 @@ from ._shared import lean, shuffle_partitions, written
 from ._tokens import mixed, pieces
 from .components import components
 
-PIVOTS, CHUNK, SMALL, OPEN, PIECE = 16, 4096, 32, 512, 1 << 17
+PIVOTS, CHUNK, SMALL, OPEN, PIECE, AHEAD = 16, 4096, 32, 512, 1 << 17, 1 << 17
 WIDE, MISS, SLACK = 4, 0.01, 0.045
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -179,6 +182,22 @@ def _forest(x: np.ndarray, table: np.ndarray, bits: int) -> list[tuple[int, int]
             left = np.setdiff1d(left, hit, assume_unique=True)
 
 
+def _without_circles(ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of the links ``ends`` (pairs of numbers below ``n``) join what the ones before them haven't joined."""
+    up = list(range(n))
+
+    def top(u: int) -> int:
+        while up[u] != u:
+            up[u] = u = up[up[u]]
+        return u
+
+    new = np.zeros(len(ends), bool)
+    for k, (u, v) in enumerate(ends.tolist()):
+        if (u := top(u)) != (v := top(v)):
+            up[u], new[k] = v, True
+    return new
+
+
 def _groups(x: np.ndarray, edges: list[tuple[int, int]]) -> list[np.ndarray]:
     """The members of each tree of a forest, of three at least: a tree of two is offered whole by its edge."""
     tree = np.arange(len(x))
@@ -239,9 +258,9 @@ def _linker(bits: int, width: int):
                     break
                 pairs.append(np.column_stack(_close(x, table, a, a + step, bits)))
             for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-                for most in levels:
-                    edges = _forest(x[s : s + n], table[s : s + n], most)
-                    pairs.append(np.array(edges, int).reshape(-1, 2) + s)
+                forests = [np.array(edges := _forest(x[s : s + n], table[s : s + n], most), int).reshape(-1, 2) for most in levels]
+                offered = np.concatenate(forests)
+                pairs.append((offered[_without_circles(offered, n)] if len(levels) > 1 else offered) + s)
                 if len(levels) > 1:
                     for m in _groups(x[s : s + n], edges):
                         members.append(m + s)
@@ -299,10 +318,60 @@ def _sets(df: DataFrame, id_col: str, text_col: str, size: int, base: DataFrame,
     return written(held.dropDuplicates(["fp"]), tag)
 
 
-def _verified(df: DataFrame, id_col: str, text_col: str, size: int, similarity: float, base: DataFrame, found: DataFrame) -> DataFrame:
-    """The links (a, b) whose shingle sets are as similar as asked for."""
+def _nearest_first(found: DataFrame) -> DataFrame:
+    """The links (a, b) with ``first``: whether a spanning forest that takes the nearest ones holds them, of some ``AHEAD`` links that a task reads together."""
+    words = pa.list_(pa.int64())
+    schema = pa.schema([("a", words), ("b", words), ("first", pa.bool_())])
+
+    def marked(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+        a, b = (c.flatten().to_numpy().reshape(len(c), -1) for c in rows.columns)
+        far = np.bitwise_count((a[:, :WIDE] ^ b[:, :WIDE]).view(np.uint64)).sum(axis=1)
+        order = np.argsort(far, kind="stable")
+        nodes, number = np.unique(np.concatenate([a, b]), axis=0, return_inverse=True)
+        first = np.empty(len(a), bool)
+        first[order] = _without_circles(number.reshape(2, -1).T[order], len(nodes))
+        return pa.RecordBatch.from_arrays([_rows(a.view(np.uint64)), _rows(b.view(np.uint64)), pa.array(first)], schema=schema)
+
+    @lean
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some: list[pa.RecordBatch] = []
+        for batch in batches:
+            some += [batch] if batch.num_rows else []
+            if sum(x.num_rows for x in some) >= AHEAD:
+                yield marked(some)
+                some = []
+        if some:
+            yield marked(some)
+
+    return found.select("a", "b").mapInArrow(mark, "a array<bigint>, b array<bigint>, first boolean")
+
+
+def _linked(df: DataFrame, id_col: str, text_col: str, size: int, similarity: float, base: DataFrame, found: DataFrame) -> DataFrame:
+    """The components of the links (a, b) whose shingle sets are as similar as asked for.
+
+    A forest of the nearest links is verified first; of the others, those whose ends it hasn't joined. The rest can't join anything.
+    """
     ends = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp"))).distinct()
     held = _sets(df, id_col, text_col, size, base, ends, "sets")
+    found = written(_nearest_first(found), "nearest")
+    label = written(components(written(_verified(held, similarity, found.where("first")), "verified")), "labels")
+    root = lambda end: label.select(F.col("node").alias(end), F.col("root").alias(f"r_{end}"))
+    rest = found.where("NOT first").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    rest = written(rest.where(~F.coalesce("r_a", "a").eqNullSafe(F.coalesce("r_b", "b"))).select("a", "b"), "rest")
+    if rest.isEmpty():
+        return label
+    return _joined(label, written(_verified(held, similarity, rest), "verified"))
+
+
+def _joined(label: DataFrame, more: DataFrame) -> DataFrame:
+    """The components of ``label`` with more links: a node and its root are a link too, so the ones behind ``label`` aren't needed again."""
+    return written(components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "labels")
+
+
+def _verified(held: DataFrame, similarity: float, found: DataFrame) -> DataFrame:
+    """The links (a, b) whose shingle sets, as ``held``, are as similar as asked for."""
+    found = found.select("a", "b")
     side = lambda name: held.select(F.col("fp").alias(name), F.col("s").alias(f"s_{name}"))
     both = found.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
@@ -371,10 +440,9 @@ def _members(df: DataFrame, id_col: str, text_col: str, bits: int, size: int, si
     found = written(found.distinct(), "links") if similarity else found
     members = found.where("g IS NOT NULL").select("g", F.col("b").alias("fp"))
     found = found.where("g IS NULL").select("a", "b")
-    found = written(_verified(df, id_col, text_col, size, similarity, base, found), "verified") if similarity else found
-    label = written(components(found), "labels")
+    label = _linked(df, id_col, text_col, size, similarity, base, found) if similarity else written(components(found), "labels")
     more = _within_groups(df, id_col, text_col, size, similarity, most, base, members, label) if similarity else None
-    label = written(components(found.unionByName(more)), "labels") if more is not None else label
+    label = _joined(label, more) if more is not None else label
     label = label.withColumnRenamed("node", "fp")
     least = label.join(nodes, "fp").groupBy("root").agg(F.min("own").alias("least"))
     whole = nodes.join(label.join(least, "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "own").alias("component_id"))

@@ -142,6 +142,29 @@ def test_copies_around_one_original(spark):
     assert stay <= {0} | apart and len(apart) <= 20  # only sampling misses, which MISS bounds; some of these are joined through a sibling
 
 
+def test_near_copies_are_not_verified_in_all_pairs(spark, monkeypatch):
+    rng = random.Random(13)
+    base, texts = words(rng, 400, 50_000), []
+    for i in range(80):
+        w = list(base)
+        for k in range(2):  # a pair has about 0.9 of its shingles in common
+            w[200 * k + rng.randrange(200)] = f"new{i}x{k}"
+        texts.append(" ".join(w))
+    df, rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), []
+
+    def counted(made, tag, write=simhash.written):
+        out = write(made, tag)
+        rows.extend([out.count()] if tag == "verified" else [])
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    assert [r.doc_id for r in simhash.drop_near_duplicates(df).collect()] == [0]
+    assert 79 <= sum(rows) <= 4 * 79  # a forest for each of four partitions at most, of 3160 pairs
+    # links that aren't in a forest are verified where their ends are still apart
+    monkeypatch.setattr(simhash, "_nearest_first", lambda found: found.select("a", "b", F.lit(False).alias("first")))
+    assert [r.doc_id for r in simhash.drop_near_duplicates(df).collect()] == [0]
+
+
 def test_similarity_is_of_distinct_shingles(spark, monkeypatch):
     rng = random.Random(12)
     texts = []
