@@ -13,16 +13,16 @@ from ..operators.sampling import limited, shuffled
 from ..tables import hadoop_path
 
 
-def documents(spark: SparkSession, path: str | list[str], fmt: str = "parquet", text_field: str = "text", limit: int | None = None, shuffle_seed: int | None = None) -> DataFrame:
-    """Documents with text: the named field, ``raw_content``, ``text``, then the first string column that isn't blank.
+def documents(spark: SparkSession, path: str | list[str], fmt: str = "parquet", text_field: str = "text", limit: int | None = None, shuffle_seed: int | None = None, stand_in: bool = True) -> DataFrame:
+    """Documents with text: the named field, ``raw_content``, ``text``, then (with ``stand_in``) the first string column that isn't blank.
 
-    ``limit`` counts documents that have text. Formats: parquet, json (lines), text (a line is a document), csv.
+    Without ``stand_in`` an id or a label is never taken for text. ``limit`` counts documents that have text. Formats: parquet, json (lines), text (a line is a document), csv.
     """
     raw = spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.format(fmt).load(path)
     raw = raw.withColumnRenamed("value", "text") if fmt == "text" else raw
     strings = [f.name for f in raw.schema.fields if isinstance(f.dataType, T.StringType)]
     named = [c for c in (text_field, "raw_content", "text") if c in raw.columns]
-    order = list(dict.fromkeys([*named, *strings]))
+    order = list(dict.fromkeys([*named, *(strings if stand_in else [])]))
     if not order:
         raise ValueError("no column holds text")
     docs = raw.withColumn("text", first_text(F.col(order[0]), *[F.col(c) for c in order[1:]]))

@@ -354,3 +354,28 @@ def test_near_stream(spark, tmp_path):
         near_stream(src, f"{tmp_path}/bands", f"{tmp_path}/kept", f"{tmp_path}/cp").awaitTermination()
         docs(spark, text).withColumn("doc_id", F.lit(9).cast("bigint")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     assert sorted(r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/kept").collect()) == [1, 3]
+
+
+ODD_TEXTS = ["plain text", "", "   ", "\u00a0\t", '" led by a mark', 'led out "', '"', "a, b\\", "-", "#x", "null", "doc_id", "\u0085\u2028", "x\x00y", "\x01 low", None, "plain text"]
+
+
+def odd_tables(spark, tmp_path):
+    """Documents with odd texts, in a folder as the queries read it."""
+    rows = [(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(ODD_TEXTS)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["scan_documents", "scan_formats", "scan_shuffled"])
+def test_scans_of_odd_texts_match_sql(spark, tmp_path, name):
+    import duckdb
+    from oracle import rows
+
+    from grainmill.plans.oracles import ORACLE
+    from grainmill.plans.queries import QUERIES
+
+    df = QUERIES[name](spark, odd_tables(spark, tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cols = sorted(df.columns)
+    assert rows(df.select(cols).toArrow()) == rows(con.sql(ORACLE[name]).select(*[duckdb.ColumnExpression(c) for c in cols]).to_arrow_table())
