@@ -379,3 +379,93 @@ def test_scans_of_odd_texts_match_sql(spark, tmp_path, name):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     cols = sorted(df.columns)
     assert rows(df.select(cols).toArrow()) == rows(con.sql(ORACLE[name]).select(*[duckdb.ColumnExpression(c) for c in cols]).to_arrow_table())
+
+
+def test_full_normal_form_holds_few_strings():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([None, "a &amp; \ufb01" + "x" * 20_000, "plain"] * 500)
+    tracemalloc.start()
+    got = X.decoded_batch(texts, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist()[:3] == [None, "a & fi" + "x" * 20_000, "plain"] and len(got) == 1500 and peak < 5_000_000
+
+
+def test_character_sets_by_brute_force(spark):
+    import hashlib
+
+    texts = ["", "short", "x" * 33, "abcdefgh" * 20, "é" * 40 + "abc\U0001f600" * 20, None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = {}
+    for i, t in enumerate(texts):
+        grams = {t[k : k + 32] for k in range(0, len(t) - 32, 4)} if t else set()
+        want[i] = (len(grams), ",".join(sorted(hashlib.sha1(g.encode()).hexdigest() for g in grams)))
+    assert {r["doc_id"]: (r["n"], r["shingles"]) for r in near.char_sets(d, F.col("text")).collect()} == want
+
+
+def near_texts(n=60, seed=4):
+    """Two groups of near copies, some lone texts, copies of equal sets, and texts of few words."""
+    rng = random.Random(seed)
+    bases = [[f"{c}{i}" for i in range(90)] for c in "ab"]
+    out = []
+    for i in range(n):
+        words = list(bases[i % 2])
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(90)] = f"z{rng.randrange(10**6)}"
+        out.append(" ".join(words))
+    lone = [" ".join(f"q{rng.randrange(10**6)}" for _ in range(60)) for _ in range(15)]
+    return [*out, *lone, out[0], out[1], "p q r s t p q r s t p q r s t", "p q r s t p q r s t p q r s t p q r s t", "few words", "few words", ""]
+
+
+def grams(t):
+    w = t.split()
+    return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else set(w)
+
+
+def alike(s, t, threshold=0.7):
+    x, y = grams(s), grams(t)
+    return bool(x and y) and len(x & y) / len(x | y) >= threshold
+
+
+@pytest.mark.parametrize("most", [7, 512])
+def test_pairs_of_large_groups_by_brute_force(spark, most):
+    texts = near_texts()
+    d = spark.createDataFrame([(i, t, len(t.split())) for i, t in enumerate(texts)], "ord bigint, t string, length int").repartition(3)
+    how = near.Shingles(F.col("t"), F.col("length"))
+    rows = near.signed(d, how, rows=4).localCheckpoint()
+    met = near.meeting(rows.select(F.col("ord").alias("id"), F.col("ord").alias("rank"), "size", "bands"))
+    want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if alike(texts[a], texts[b])}
+    got = near.similar(met, near.sets_from(d, how), 0.7, most=most).collect()
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+    x, y = next((grams(texts[r["a"]]), grams(texts[r["b"]])) for r in got)
+    assert any(abs(r["jaccard"] - len(x & y) / len(x | y)) < 1e-12 for r in got)
+    later = near.similar(met, near.sets_from(d, how), 0.7, "later", most=most).collect()
+    assert sorted(r["id"] for r in later) == sorted({b for _, b in want})
+    pairs = [tuple(r) for r in near.candidate_pairs(rows).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) >= want
+
+
+def test_sets_travel_with_buckets_and_not_with_pairs(spark):
+    """Of twice the near copies, twice the rows go to be verified, not four times as many."""
+    counts = []
+    for n in (100, 200):
+        d = spark.createDataFrame([(i, t, len(t.split())) for i, t in enumerate(near_texts(n)[:n])], "ord bigint, t string, length int")
+        rows = near.signed(d, near.Shingles(F.col("t"), F.col("length")), rows=4).localCheckpoint()
+        met = near.meeting(rows.select(F.col("ord").alias("id"), F.col("ord").alias("rank"), "size", "bands"))
+        counts.append((near._units(met, 0.7, 512).count(), near.met_pairs(met).count()))
+    assert counts[1][0] < 3 * counts[0][0] and counts[1][1] > 3.5 * counts[0][1]
+
+
+def test_clean_train_by_brute_force(spark, monkeypatch):
+    texts = near_texts()
+    rows = [(i, t, len(t.split()), "train" if i % 3 else "other") for i, t in enumerate(texts)] + [(1000, None, 0, "train"), (1001, None, 0, "other")]
+    d = spark.createDataFrame(rows, "ord bigint, t string, length int, split string")
+    calls, signed = [], near.signed
+    monkeypatch.setattr(cross, "signed", lambda *a, **k: calls.append(1) or signed(*a, **k))
+    got = cross.clean_train(d.where("split = 'train'"), d.where("split = 'other'"), F.col("t"), F.col("length"), 0.7, 3).collect()
+    other = [t for _, t, _, s in rows if s == "other" and t is not None]
+    want = {i for i, t, n, s in rows if s == "train" and (t is None or t not in other and not (n >= 3 and any(alike(t, o) for o in other)))}
+    assert {r["ord"] for r in got} == want and len(calls) == 2
