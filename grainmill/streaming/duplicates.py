@@ -27,30 +27,33 @@ def exact_stream(docs: DataFrame, event_time: str | None = None, within: str = "
 def near_stream(docs: DataFrame, bands_path: str, kept_path: str, checkpoint: str, threshold: float = 0.85, rows: int = 4, num_perm: int = 128):
     """A query that keeps what isn't like anything kept before or earlier in the same micro-batch.
 
-    Signature bands and shingle sets of kept documents are a table; each batch joins its bands with it, verifies, and appends.
-    A batch's rows are written under its number, so that a batch run again replaces them; what it needs itself is deleted after it.
+    The bands of kept documents are a table; each batch signs its texts once, joins its bands with the table, verifies, and appends. The
+    sets of older documents are made again from what is kept, for those that share a band. A batch's rows are written under its number, so
+    that a batch run again replaces them; what it needs itself is deleted after it.
     """
     text = X.normalize_simple(F.col("text"))
-    how = near.Shingles(text, X.word_count(text))
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        how = near.Shingles(F.col("t"), F.col("length"))
+        formed = lambda df: df.select(F.col("doc_id").alias("ord"), text.alias("t")).withColumn("length", X.word_count(F.col("t")))
         with collected() as paths:
-            own = written(batch.withColumn("ord", F.col("doc_id")), "batch")
-            gone = near.near_losers(own, how.text, how.length, threshold, num_perm=num_perm, rows=rows, rule="earlier")
-            bands = near.band_rows(written(near.signed(own, how, num_perm, 17, rows), "bands"), "ord")
-            sets = written(near.shingle_sets(own, how), "sets")
+            raw = written(batch, "batch")
+            own = formed(raw)
+            members = written(near.signed(own, how, num_perm, 17, rows, empty=True), "members")
+            gone = near.losers(members, own, how, threshold, "earlier")
+            bands = near.band_rows(members.where("size > 0"), "ord")
             if _exists(spark, bands_path):
                 known = spark.read.parquet(bands_path).where(F.col("batch") < number)
                 hits = written(bands.join(known.select("band", "band_key", F.col("ord").alias("b")), ["band", "band_key"]).select(F.col("ord").alias("a"), "b").distinct(), "hits")
-                old = spark.read.parquet(f"{bands_path}-sets").where(F.col("batch") < number).drop("batch")
-                old = old.join(hits.select(F.col("b").alias("ord")).distinct(), "ord", "left_semi")
-                gone = gone.unionByName(near.compared(hits, sets.unionByName(old), threshold).select(F.col("a").alias("ord"))).distinct()
-            kept = written(own.join(gone, "ord", "left_anti"), "kept")
+                old = formed(spark.read.parquet(kept_path).where(F.col("batch") < number))
+                sets = lambda df, side: near.shingle_sets(df.join(hits.select(F.col(side).alias("ord")).distinct(), "ord", "left_semi"), how)
+                like = near.compared(hits, written(sets(own, "a").unionByName(sets(old, "b")), "sets"), threshold)
+                gone = gone.unionByName(like.select(F.col("a").alias("ord"))).distinct()
+            gone = written(gone, "gone")
             part = f"batch={number}"
-            kept.drop("ord").write.mode("overwrite").parquet(f"{kept_path}/{part}")
-            sets.join(kept.select("ord"), "ord", "left_semi").write.mode("overwrite").parquet(f"{bands_path}-sets/{part}")
-            bands.join(kept.select("ord"), "ord", "left_semi").write.mode("overwrite").parquet(f"{bands_path}/{part}")
+            raw.join(gone, raw["doc_id"] == gone["ord"], "left_anti").write.mode("overwrite").parquet(f"{kept_path}/{part}")
+            bands.join(gone, "ord", "left_anti").write.mode("overwrite").parquet(f"{bands_path}/{part}")
         for path in paths:
             delete(spark, path)
 
