@@ -41,7 +41,9 @@ def tokens_before(n: Column, place: Column, size: int, stride: int) -> Column:
 
 def document_offsets(docs: DataFrame, size: int, stride: int, least: int = 0, full_only: bool = False, tokens: Callable[[Column], Column] = X.word_tokens, normalize: Callable[[Column], Column] = X.normalize_simple) -> DataFrame:
     """(doc_id, n_tokens, n_chunks, chunks_before, tokens_before): by arithmetic on each document's number of tokens, which is written once, without making a window."""
-    n = written(docs.select("doc_id", F.size(tokens(normalize(F.col("text")))).cast("bigint").alias("n_tokens")), "tokens")
+    t = docs.select("doc_id", normalize(F.col("text")).alias("t"))
+    count = X.word_count(F.col("t")) if (tokens, normalize) == (X.word_tokens, X.normalize_simple) else F.size(tokens(F.col("t")))
+    n = written(t.select("doc_id", count.cast("bigint").alias("n_tokens")), "tokens")
     n = n.withColumn("n_chunks", window_count(F.col("n_tokens"), size, stride, least, full_only)).where("n_chunks > 0")
     n = n.withColumn("__all", tokens_before(F.col("n_tokens"), F.col("n_chunks"), size, stride) + F.col("n_chunks"))
     before = running_offset(n, ["doc_id"], ["n_chunks", "__all"])

@@ -11,6 +11,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import exact, near
 from ..operators.chunks import sharded_chunks, usable_chunks
 from ..sources import readers, sinks
@@ -24,21 +25,21 @@ STEPS = ("chunks", "drops", "blocks")
 
 def write_chunks(cfg: Settings, docs: DataFrame, out: str, shard_size: int) -> None:
     w = cfg.windows
-    sinks.write_shard_set(sharded_chunks(docs, shard_size, w.size, w.stride, w.least, normalize=normalizer(cfg.cleaning)), f"{out}/chunks", shard_size, cfg.near.lsh["n"])
+    sinks.write_shard_set(sharded_chunks(docs, shard_size, w.size, w.stride, w.least, normalize=normalizer(cfg.cleaning)), f"{out}/chunks", shard_size, cfg.near.lsh["n"], X.word_tokens)
 
 
 def write_drops(spark: SparkSession, cfg: Settings, out: str) -> None:
     """The union of exact copies and, if these are enabled, of the later of near copies."""
     copies = exact.drop_list(readers.chunk_metadata(spark, f"{out}/chunks/chunk_metadata"))
     if cfg.near.enabled:
-        rows = spark.read.parquet(f"{out}/chunks/shards").withColumn("ord", F.struct("shard_id", "local_index"))
+        rows = readers.shards(spark, f"{out}/chunks/shards").withColumn("ord", F.struct("shard_id", "local_index"))
         gone = near.near_losers(rows, F.col("text"), F.col("length"), cfg.near.threshold, seed=cfg.seed, rule="earlier", short="none", skip_short=cfg.near.skip_short, **cfg.near.lsh)
         copies = copies.unionByName(gone.select(F.col("ord.shard_id").cast("int").alias("shard_id"), F.col("ord.local_index").cast("int").alias("local_index")))
     sinks.write_drop_list(copies, f"{out}/drops")
 
 
 def write_blocks(spark: SparkSession, out: str, block: int) -> None:
-    chunks = spark.read.parquet(f"{out}/chunks/shards")
+    chunks = readers.shards(spark, f"{out}/chunks/shards")
     usable_chunks(chunks, readers.drop_list(spark, f"{out}/drops"), block).write.mode("overwrite").parquet(f"{out}/blocks")
 
 

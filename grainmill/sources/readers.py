@@ -56,6 +56,17 @@ def jsonl_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("text string").json(path)
 
 
+def shards(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks of ``sinks.write_shards``. Their folders are listed in few tasks; by default each folder, up to 10,000, is a task of its own."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 4 * spark.sparkContext.defaultParallelism)
+    try:
+        return spark.read.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+
+
 def chunk_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("shard_id int, local_index int, exact_hash bigint").json(path)
 

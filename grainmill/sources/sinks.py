@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,25 +11,36 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.near import Shingles, shingle_sets
+from ..tables import written
 
 
-def write_shards(sharded: DataFrame, path: str, shard_size: int = 10_000) -> None:
-    """Chunks as Parquet, a folder for each shard: columns tokens, text, length, doc_id, position, local_index."""
-    sharded.repartition("shard_id").sortWithinPartitions("shard_id", "local_index").write.option("maxRecordsPerFile", shard_size).partitionBy("shard_id").mode("overwrite").parquet(path)
+def write_shards(sharded: DataFrame, path: str, shard_size: int = 10_000, tokens: Callable[[Column], Column] | None = None) -> None:
+    """Chunks as Parquet, a folder for each shard: columns tokens, text, length, doc_id, position, local_index.
+
+    With ``tokens``, the tokens are cut from the text again and don't travel with it. There are many small files, so tasks put
+    theirs in place themselves: done by the driver, one by one, that would take longer than the rest.
+    """
+    order = sharded.columns
+    rows = (sharded.drop("tokens") if tokens else sharded).repartition("shard_id").sortWithinPartitions("shard_id", "local_index")
+    rows = rows.withColumn("tokens", tokens(F.col("text"))).select(*order) if tokens and "tokens" in order else rows
+    rows.write.options(**{"maxRecordsPerFile": shard_size, "mapreduce.fileoutputcommitter.algorithm.version": 2}).partitionBy("shard_id").mode("overwrite").parquet(path)
 
 
-def write_shard_set(sharded: DataFrame, path: str, shard_size: int = 10_000, shingle_size: int = 5) -> None:
+def write_shard_set(sharded: DataFrame, path: str, shard_size: int = 10_000, shingle_size: int = 5, tokens: Callable[[Column], Column] | None = None) -> None:
     """Everything that later steps read of a set of shards, under ``path``:
 
     ``shards`` (Parquet), ``chunk_metadata`` (JSON lines of shard_id, local_index, length, exact_hash), ``shingles`` (JSON lines of
-    shard_id, local_index, shingles) and ``manifest`` (one JSON object: a record for each shard, the two paths, and the total of tokens).
+    shard_id, local_index, shingles; gzip) and ``manifest`` (one JSON object: a record for each shard, the two paths, and the total of tokens).
+
+    The chunks are cut once and written; all four are made of that table, not of the shards' many files. ``tokens`` as in ``write_shards``.
     """
-    write_shards(sharded.drop("exact_hash"), f"{path}/shards", shard_size)
-    rows = sharded.sparkSession.read.parquet(f"{path}/shards").withColumn("shard_id", F.col("shard_id").cast("bigint"))
+    sharded = sharded.drop("exact_hash")
+    rows = written(sharded.drop("tokens") if tokens else sharded, "sharded")
+    write_shards(rows.withColumn("tokens", tokens(F.col("text"))).select(*sharded.columns) if tokens else rows, f"{path}/shards", shard_size, tokens)
     rows.select("shard_id", "local_index", "length", X.sha1_signed64(F.col("text")).alias("exact_hash")).write.mode("overwrite").json(f"{path}/chunk_metadata")
     own = rows.withColumn("ord", F.struct("shard_id", "local_index"))
     sets = shingle_sets(own, Shingles(F.col("text"), F.col("length"), shingle_size, "none"))
-    sets.select("ord.*", "shingles").write.mode("overwrite").json(f"{path}/shingles")
+    sets.select("ord.*", "shingles").write.mode("overwrite").option("compression", "gzip").json(f"{path}/shingles")
     shards = rows.groupBy("shard_id").agg(F.count("*").alias("chunk_count"), F.sum("length").alias("token_count"))
     record = F.struct("shard_id", F.concat(F.lit(f"{path}/shards/shard_id="), F.col("shard_id")).alias("path"), "chunk_count", "token_count")
     whole = shards.agg(F.sort_array(F.collect_list(record)).alias("shards"), F.lit(f"{path}/chunk_metadata").alias("chunk_metadata_path"), F.lit(f"{path}/shingles").alias("shingle_path"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("total_tokens"))

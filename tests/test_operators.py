@@ -469,3 +469,41 @@ def test_clean_train_by_brute_force(spark, monkeypatch):
     other = [t for _, t, _, s in rows if s == "other" and t is not None]
     want = {i for i, t, n, s in rows if s == "train" and (t is None or t not in other and not (n >= 3 and any(alike(t, o) for o in other)))}
     assert {r["ord"] for r in got} == want and len(calls) == 2
+
+
+def test_recipes_sign_each_chunk_once(spark, monkeypatch):
+    from grainmill.plans import recipes
+    from grainmill.plans.queries import recipe_settings
+
+    texts = [t + " " + " ".join(f"w{i}" for i in range(40)) for t in near_texts()]
+    d = spark.createDataFrame([(i, t, ("train", "val", "test")[i % 3]) for i, t in enumerate(texts)], "doc_id bigint, text string, split string")
+    calls, signed = [], near.signed
+    monkeypatch.setattr(near, "signed", lambda *a, **k: calls.append(1) or signed(*a, **k))
+    rows = {r["run"]: r for r in recipes.summary(d, recipe_settings()).collect()}
+    assert len(calls) == 1 and rows["near"]["train_chunks"] <= rows["exact"]["train_chunks"] <= rows["no_dedup"]["train_chunks"] and rows["near"]["exact_chunks"] == rows["exact"]["exact_chunks"]
+
+
+def test_sets_of_shards_are_not_read_back(spark, tmp_path, monkeypatch):
+    d = docs(spark, *[" ".join(f"w{i * k % 97}" for i in range(50)) for k in range(1, 9)], "")
+    s = chunks.sharded_chunks(d, 3, 20, 20, 5)
+    read = []
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, *a, f=type(spark.read).parquet: read.extend(a) or f(self, *a))
+    sinks.write_shard_set(s, f"{tmp_path}/set", 3, tokens=X.word_tokens)
+    assert not [p for p in read if p.startswith(str(tmp_path))]
+    monkeypatch.undo()
+    want = {(r["shard_id"], r["local_index"]): (r["tokens"], r["text"], r["length"]) for r in s.collect()}
+    got = {(r["shard_id"], r["local_index"]): (r["tokens"], r["text"], r["length"]) for r in readers.shards(spark, f"{tmp_path}/set/shards").collect()}
+    assert got == want and readers.shingle_sets(spark, f"{tmp_path}/set/shingles").count() == readers.chunk_metadata(spark, f"{tmp_path}/set/chunk_metadata").count() == len(want)
+    m = readers.shard_set_manifest(spark, f"{tmp_path}/set").first()
+    assert m["total_tokens"] == sum(x[2] for x in want.values()) and [x["chunk_count"] for x in m["shards"]] == [3] * (len(want) // 3) + [len(want) % 3] * (len(want) % 3 > 0)
+
+
+@pytest.mark.parametrize("name, most", [("apply_drop_list", 1), ("exact_keep_first", 1)])
+def test_chunks_are_cut_once(spark, monkeypatch, name, most):
+    from grainmill.plans import queries
+
+    used = []
+    monkeypatch.setattr(queries.chunks, "usable_chunks", lambda c, dropped, block, f=chunks.usable_chunks: used.append(c) or f(c, dropped, block))
+    monkeypatch.setattr(queries.exact, "keep_first", lambda c, *a, f=exact.keep_first: used.append(c) or f(c, *a))
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(used) == most and "Generate" not in used[0]._jdf.queryExecution().executedPlan().toString()
